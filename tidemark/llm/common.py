@@ -6,9 +6,12 @@ any executor. Text is handled as UTF-8 bytes, a couple of megabytes at a time, w
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SLICE_BYTES = 2 << 20
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,6 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, unless their Python path has it already."""
+    top = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    to = Path(tempfile.mkdtemp(prefix="spark-")) / "tidemark_llm.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for file in [top / "tidemark" / "__init__.py", *(top / "tidemark" / "llm").glob("*.py")]:
+            z.write(file, file.relative_to(top))
+    spark.sparkContext.addPyFile(str(to))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
@@ -79,11 +97,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE modulo 2**64 and of its inverse there."""
     global _powers, _inverse
     if len(_powers) < n:
-        n = max(n, SLICE_BYTES + 1)
+        m = max(n, SLICE_BYTES + 1)
         back = np.uint64(pow(int(BASE), -1, 1 << 64))
         with np.errstate(over="ignore"):
-            _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, BASE))])
-            _inverse = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, back))])
+            _powers = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(m - 1, BASE))])
+            _inverse = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(m - 1, back))])
     return _powers[:n], _inverse[:n]
 
 

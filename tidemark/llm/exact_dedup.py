@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import ship, stage
 
 WHITE = r"[\x20\x09-\x0D]+"
 COUNTERS = 1024
@@ -49,6 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id and a text count each, and stay or go together. An empty table gives an empty
     result. Columns other than the two named are ignored, whatever their names.
     """
+    ship(docs.sparkSession)
     text = F.regexp_replace(F.coalesce(docs[text_col], F.lit("")), WHITE, " ")
     digests = stage(docs.select(docs[id_col].alias("id"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
     summary = stage(digests.select("digest").mapInArrow(_summaries(counters), "digest binary, cnt long, off long, seen long"), "summaries")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import ship, slices
 
 #: Phrases and labels whose places are counted.
 BASE = (
@@ -184,6 +184,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or score; rows that repeat stay repeated; an empty table gives an empty result; other columns are
     ignored.
     """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     found = rows.mapInArrow(_scan("id", signatures, base), f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -8,6 +8,8 @@ from tidemark.llm import url_filter
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.ngram_join import similar_components
+from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_output import read_tokens, write_tokens
 
 
@@ -19,6 +21,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -27,6 +33,10 @@ def op5_token_output(spark, sf_dir):
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return similar_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,7 +45,7 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op5_token_output, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op5_token_output, op6_ngram_join, op9_mix_sources, op10_license_scan)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
