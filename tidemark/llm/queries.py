@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from tidemark.llm import url_filter
+from tidemark.llm import lang_id, toxicity, url_filter
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
@@ -29,6 +30,12 @@ def op3_url_filter(spark, sf_dir):
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.learn_toxicity(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    return toxicity.score_toxicity(docs, model).withColumn("held_out", lang_id.held_out(F.col("doc_id"), 0, 5))
+
+
 def op5_token_output(spark, sf_dir):
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -37,6 +44,12 @@ def op6_ngram_join(spark, sf_dir):
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_lang_id(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    profiles = lang_id.learn_profiles(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    return lang_id.identify(docs, profiles).withColumn("held_out", lang_id.held_out(F.col("doc_id")))
+
+
 def op9_mix_sources(spark, sf_dir):
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +58,7 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op5_token_output, op6_ngram_join, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op8_lang_id, op9_mix_sources, op10_license_scan)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
