@@ -55,6 +55,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    # Spark removes the shuffle files of jobs that are over when the driver collects its garbage.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -78,16 +78,18 @@ class Orders:
 
 def _prefixes(n: int, orders: Orders):
     def run(batches):
+        seen: set[bytes] = set()
         for rows, raw, offsets in slices(batches, "text"):
-            sets = shingles(raw, offsets, n)
-            full = [s for s in sets if len(s)]
+            # Of equal sets in one partition one row goes on; groups of copies thin out before the shuffle.
+            full = [(f, s) for s in shingles(raw, offsets, n) if len(s) and (f := _print(s)) not in seen and not seen.add(f)]
+            if not full:
+                continue
+            fps, sizes = pa.array([f for f, _ in full], pa.binary()), np.array([len(s) for _, s in full])
             for o in range(ORDERS):
-                first = [orders.prefix(s, o) for s in full]
-                if not full:
-                    continue
+                first = [orders.prefix(s, o) for _, s in full]
                 each = np.array([len(p) for p in first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate(first).view(np.int64)), pa.array([_print(s) for s in full], pa.binary()).take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat([len(s) for s in full], each))],
+                    [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate(first).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each))],
                     names=["o", "gram", "fp", "n"],
                 )
 
@@ -141,11 +143,22 @@ def _groups(t: Fraction, small: int):
     return run
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """The leading 40 bits of every n-gram: enough to tell those of two documents apart, and less to shuffle."""
+    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.int64)
+
+
 def _sets(n: int):
     def run(batches):
         for rows, raw, offsets in slices(batches, "text"):
             sets = shingles(raw, offsets, n)
-            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), pa.array([pack(s) for s in sets], pa.binary())], names=["fp", "grams"])
 
     return run
 
@@ -160,7 +173,7 @@ def _verify(t: Fraction):
             for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 keep = []
                 for x, y in zip(rows.column(2), rows.column(3), strict=True):
-                    x, y = x.values.to_numpy(), y.values.to_numpy()
+                    x, y = unpack(x.as_py()), unpack(y.as_py())
                     keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), t))
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(keep)), rows.column(1).filter(pa.array(keep))], names=["u", "v"])
 
@@ -173,7 +186,7 @@ def _block(t: Fraction):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         fps = table.column("fp").to_pylist()
-        sets = [s.values.to_numpy() for s in table.column("grams").combine_chunks()] if len(fps) else []
+        sets = [unpack(s) for s in table.column("grams").to_pylist()]
         sizes = np.array([len(s) for s in sets], np.int64)
         edges: list[tuple[bytes, bytes]] = []
         if len(sets) > 1:
@@ -231,7 +244,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     orders = Orders(common, t)
     prefixes = rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes.distinct().repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
+    dealt = prefixes.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
     groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary"), "groups")
     large = groups.where("b is null").select("o", "gram", F.col("a").alias("fp"))
     inside = large.select("o", "fp").distinct()
@@ -251,15 +264,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(first.select("fp")).distinct()
     reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
     wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
-    sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams array<bigint>").dropDuplicates(["fp"]), "sets")
+    sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
     x, y = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
+    # Rows that repeat an id and a text repeat a set, and so a link; that does no harm.
     links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "u binary, v binary")
     # Blocks of a larger group: each class meets those of every block once.
     sized = first.join(first.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block).alias("k")), "gram")
     mine = sized.withColumn("i", F.pmod(F.xxhash64("fp"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     blocks = mine.select("gram", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp").join(sets, "fp")
     more = blocks.groupBy("gram", "i", "j").applyInArrow(_block(t), "u binary, v binary")
-    roots = components(links.unionByName(more))
+    roots = components(stage(links.unionByName(more), "links"))
     classes = nodes.groupBy("fp").agg(F.min("id").alias("least")).where("fp is not null").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     alone = nodes.where("fp is null").select("id", "n", F.col("id").alias("component"))

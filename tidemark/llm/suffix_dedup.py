@@ -8,9 +8,12 @@ the corpus, so suffixes that cannot have a partner are ruled out first, exactly:
    hash. Equal windows have equal anchors at the same place, so consecutive windows of one anchor form a run,
    and only runs whose anchor's string occurs twice go on.
 2. Runs that are equal as a whole (anchor and all bytes) are repeated as a whole; one of them stands for all.
-3. What is left are the ends of repeated passages. The suffixes of these runs are dealt to partitions by
-   ranges of their leading tokens (splitters are sampled), sorted there by multikey quicksort, and compared
-   with their neighbours, also across partition boundaries. A suffix carries its leading 8-byte tokens and a
+3. What is left are the ends of repeated passages. Every ``STEP`` windows of a run, placed from the anchor,
+   share an inner stretch of bytes, which must occur in another run for one of them to have a partner; where
+   all they cover occurs in another run, all of them have.
+4. The suffixes that start at the windows still open are dealt to partitions by ranges of their leading
+   tokens (splitters are sampled), sorted there by multikey quicksort, and compared with their neighbours,
+   also across partition boundaries. A suffix carries its leading 8-byte tokens and a
    128-bit digest of its first ``length`` bytes as last tokens.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, prefix_hash, ship, slices, span_hash, stage
 
-LENGTH, GRAM = 400, 100
+LENGTH, GRAM, STEP = 400, 100, 16
 POSITION = np.uint64((1 << 24) - 1)
 BLOCK = 8 << 20
 
@@ -43,7 +46,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, first window, last window, anchor hash) of the runs; windows are positions in ``raw``."""
+    """(row, first window, last window, hash and place of the anchor) of the runs; places are positions in ``raw``."""
     spans = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         spans += [(a + i, min(a + i + BLOCK + length - 1, b)) for i in range(0, b - a - length + 1, BLOCK)]
@@ -63,35 +66,65 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(windows) != 1))
         first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(windows) - 1]])
         start = windows[first] + low
-        out.append((np.searchsorted(offsets, start, "right") - 1, start, windows[last] + low, grams[anchor[first]].view(np.int64)))
+        out.append((np.searchsorted(offsets, start, "right") - 1, start, windows[last] + low, grams[anchor[first]].view(np.int64), anchor[first] + low))
         i = j
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _runs(length: int, gram: int):
     def run(batches):
         for rows, raw, offsets in slices(batches, "text"):
-            row, first, last, anchor = runs_of(raw, offsets, length, gram)
+            row, first, last, anchor, at = runs_of(raw, offsets, length, gram)
             data = raw.tobytes()
             whole = [xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             base = offsets[row]
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(anchor), pa.array(whole, pa.binary()), pa.array(first - base), pa.array(last - base)],
-                names=["id", "dig", "anchor", "whole", "first", "last"],
+                [rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(anchor), pa.array(whole, pa.binary()), pa.array(at - base), pa.array(first - base), pa.array(last - base)],
+                names=["id", "dig", "anchor", "whole", "at", "first", "last"],
             )
 
     return run
 
 
+def _blocks(length: int, step: int):
+    """Rows (id, dig, text, runs) to rows per ``step`` windows of a run: digests of the bytes that all of
+    the windows have in common (inner) and that they have together (outer), with the windows' place."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                who, out = [], []
+                for k, (text, runs) in enumerate(zip(rows.column(2).cast(pa.large_binary()).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                    for r in runs:
+                        # Places are counted from the anchor, so that equal blocks of other runs are cut alike.
+                        low = r["first"] - (r["first"] - r["at"]) % step
+                        for a in range(low, r["last"] + 1, step):
+                            first, last = max(a, r["first"]), min(a + step - 1, r["last"])
+                            whole = first == a and last == a + step - 1
+                            inner = xxhash.xxh3_128_digest(text[a + step - 1 : a + length])
+                            outer = xxhash.xxh3_128_digest(text[a : a + step - 1 + length]) if whole else None
+                            who.append(k)
+                            out.append((r["anchor"], a - r["at"], inner, outer, first, last, r["n"] == 1))
+                if out:
+                    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+                    at = pa.array(who)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0).take(at), rows.column(1).take(at), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))],
+                        names=["id", "dig", "anchor", "off", "inner", "outer", "first", "last", "single"],
+                    )
+
+    return run
+
+
 def _suffixes(length: int):
-    """Rows (id, dig, text, wanted runs) to suffixes: two leading tokens, the digest as two more, and where it is."""
+    """Rows (id, dig, text, runs) to suffixes: two leading tokens, the digest as two more, and where it is."""
 
     def run(batches):
         for batch in batches:
             for rows in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
                 texts, wanted = rows.column(2).cast(pa.large_binary()).to_pylist(), rows.column(3).to_pylist()
                 for k, (text, runs) in enumerate(zip(texts, wanted, strict=True)):
-                    where = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) * 2 + (r["n"] == 1) for r in runs]))
+                    where = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) * 2 + r["single"] for r in runs]))
                     at = where >> 1
                     raw = np.frombuffer(text, np.uint8)
                     lead = [np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[at + s]).view(">u8").ravel().astype(np.uint64) for s in (0, 8)]
@@ -170,20 +203,40 @@ def _cut(batches):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(id, dig, spans) of the rows (id, dig, text) that hold repeated strings; spans are [a, b) and may overlap."""
     kind = docs.schema["id"].dataType.simpleString()
-    runs = stage(docs.mapInArrow(_runs(length, gram), f"id {kind}, dig long, anchor long, whole binary, first long, last long"), "runs")
+    runs = stage(docs.mapInArrow(_runs(length, gram), f"id {kind}, dig long, anchor long, whole binary, at long, first long, last long"), "runs")
     twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     likely = stage(runs.join(twice, "anchor", "left_semi"), "likely")
     discard(runs)
-    place = F.struct("id", "dig", "first", "last")
+    place = F.struct("id", "dig", "at", "first", "last")
     classes = stage(likely.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("rep")), "classes")
-    equal = likely.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select("id", "dig", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    span = [F.col("id"), F.col("dig"), F.col("first").alias("a"), (F.col("last") + length).alias("b")]
+    equal = stage(likely.join(classes.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select(*span), "equal")
+    discard(likely)
+    # Only runs that are alone have windows left to judge, against all others with their anchor.
+    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("anchor")
     wanted = (
-        classes.join(mixed, "anchor", "left_semi").select("rep.*", "n")
-        .groupBy("id", "dig").agg(F.collect_list(F.struct("first", "last", "n")).alias("runs"))
+        classes.join(mixed, "anchor", "left_semi").select("rep.*", "anchor", "n")
+        .groupBy("id", "dig").agg(F.collect_list(F.struct("anchor", "at", "first", "last", "n")).alias("runs"))
+    )
+    texts = stage(docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", F.col("d.text").cast("binary").alias("text"), "w.runs"), "texts")
+    discard(classes)
+    block = ["anchor", "off", "inner"]
+    blocks = stage(texts.mapInArrow(_blocks(length, STEP), f"id {kind}, dig long, anchor long, off long, inner binary, outer binary, first long, last long, single boolean"), "blocks")
+    met = blocks.groupBy(*block).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*block)
+    blocks, before = stage(blocks.join(met, block, "left_semi"), "met"), blocks
+    discard(before)
+    whole = blocks.where("outer is not null").groupBy(*block, "outer").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "dig", "first", "last")).alias("rep"), F.max("single").alias("single"))
+    whole = stage(whole, "whole")
+    covered = stage(blocks.where("single").join(whole.where("c > 1").select(*block, "outer"), [*block, "outer"]).select(*span), "covered")
+    rest = whole.select(*block, "rep.*", (F.col("single") & (F.col("c") == 1)).alias("single")).unionByName(blocks.where("outer is null").select(*block, "id", "dig", "first", "last", "single"))
+    open_ = rest.groupBy(*block).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("s")).where("c > 1 and s").select(*block)
+    left = (
+        rest.join(open_, block, "left_semi")
+        .groupBy("id", "dig").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs"))
     )
-    with_text = docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", F.col("d.text").cast("binary").alias("text"), "w.runs")
+    with_text = texts.alias("d").join(left.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", "d.text", "w.runs")
     suffixes = stage(with_text.mapInArrow(_suffixes(length), f"id {kind}, dig long, t0 long, t1 long, t2 long, t3 long, at long, single boolean"), "suffixes")
+    discard(texts, blocks, whole)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = ["t0", "t1", "t2", "t3"]
     # Equal suffixes may be many: the place breaks ties, so they spread over partitions and meet at the boundaries.
@@ -193,7 +246,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # The edges are two rows a partition; a lone edge matches when another partition ends or starts with it.
     met = compared.where("edge and single and not matched").join(across.select(*tokens), tokens)
     windows = compared.where("matched and single").select("id", "dig", "at").unionByName(met.select("id", "dig", "at"))
-    spans = equal.unionByName(windows.select("id", "dig", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
+    spans = equal.unionByName(covered).unionByName(windows.select("id", "dig", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
     return spans.groupBy("id", "dig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
