@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidemark.llm import lang_id, toxicity, url_filter
+from tidemark.llm.decontam import find_leaks
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
@@ -44,6 +45,10 @@ def op6_ngram_join(spark, sf_dir):
     return similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_lang_id(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     profiles = lang_id.learn_profiles(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
@@ -58,7 +63,7 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op8_lang_id, op9_mix_sources, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op7_decontaminate, op8_lang_id, op9_mix_sources, op10_license_scan)}
 
 ORACLES = {
     "op1_exact_dedup": r"""
