@@ -204,7 +204,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """(id, dig, spans) of the rows (id, dig, text) that hold repeated strings; spans are [a, b) and may overlap."""
     kind = docs.schema["id"].dataType.simpleString()
     runs = stage(docs.mapInArrow(_runs(length, gram), f"id {kind}, dig long, anchor long, whole binary, at long, first long, last long"), "runs")
-    twice = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # Key tables are written first: both sides of the joins are then plain tables, and hot keys can be split.
+    twice = stage(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "twice")
     likely = stage(runs.join(twice, "anchor", "left_semi"), "likely")
     discard(runs)
     place = F.struct("id", "dig", "at", "first", "last")
@@ -214,6 +215,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     discard(likely)
     # Only runs that are alone have windows left to judge, against all others with their anchor.
     mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("anchor")
+    mixed = stage(mixed, "mixed")
     wanted = (
         classes.join(mixed, "anchor", "left_semi").select("rep.*", "anchor", "n")
         .groupBy("id", "dig").agg(F.collect_list(F.struct("anchor", "at", "first", "last", "n")).alias("runs"))
@@ -222,14 +224,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     discard(classes)
     block = ["anchor", "off", "inner"]
     blocks = stage(texts.mapInArrow(_blocks(length, STEP), f"id {kind}, dig long, anchor long, off long, inner binary, outer binary, first long, last long, single boolean"), "blocks")
-    met = blocks.groupBy(*block).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*block)
+    met = stage(blocks.groupBy(*block).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*block), "blocks-twice")
     blocks, before = stage(blocks.join(met, block, "left_semi"), "met"), blocks
     discard(before)
     whole = blocks.where("outer is not null").groupBy(*block, "outer").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "dig", "first", "last")).alias("rep"), F.max("single").alias("single"))
     whole = stage(whole, "whole")
     covered = stage(blocks.where("single").join(whole.where("c > 1").select(*block, "outer"), [*block, "outer"]).select(*span), "covered")
     rest = whole.select(*block, "rep.*", (F.col("single") & (F.col("c") == 1)).alias("single")).unionByName(blocks.where("outer is null").select(*block, "id", "dig", "first", "last", "single"))
-    open_ = rest.groupBy(*block).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("s")).where("c > 1 and s").select(*block)
+    open_ = stage(rest.groupBy(*block).agg(F.count(F.lit(1)).alias("c"), F.max("single").alias("s")).where("c > 1 and s").select(*block), "open")
     left = (
         rest.join(open_, block, "left_semi")
         .groupBy("id", "dig").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs"))
