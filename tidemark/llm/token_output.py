@@ -9,6 +9,7 @@ unpacks one frame.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -18,23 +19,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, slices, stage
+from tidemark.llm.common import new_path, ship, slices, stage
 
 FRAME_TOKENS = 1 << 16
 # Fixed values of the public format.
 SKIPPABLE, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 
 #: The byte-level vocabulary's own split of text into pieces, which it encodes one by one.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on whose classes all Unicode versions agree; other texts go to the library whole.
-PLAIN = re.compile("[\t-\r -~¡-¬®-ʯ‐-‧]*")
-CACHE = 300_000
+PLAIN = re.compile("[\t-\r -~¡-©«-¬®-±´¶-¸»¿-ʯ‐-‧]*")
+WORD = re.compile(r" [^\W\d_]+")
+CACHE = 600_000
 
 
 class Encoder:
@@ -44,36 +45,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
-        self.special = [t.content for t in self.special]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        self.cache: dict[str, bytes] = {}
-        self.by_piece = bool(PLAIN) and "ByteLevel" in repr(self.tokenizer.pre_tokenizer)
+        self.pieces: dict[str, bytes] = {}
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        kind = repr(self.tokenizer.pre_tokenizer)
+        self.by_piece = self.tokenizer.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Encode pieces that the cache lacks."""
+        # Spaced words are encoded in one text: each of them starts with a token that starts with a space.
+        words = [p for p in new if WORD.fullmatch(p)]
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            data = ids.tobytes()
+            self.pieces.update(zip(words, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
+        for p in new.difference(words):
+            self.pieces[p] = self.whole(p)
+
+    def one(self, text: str) -> bytes:
+        if not self.by_piece or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        pieces = PIECES.findall(text)
+        if new := set(pieces).difference(self.pieces):
+            self.learn(new)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cache, out = self.cache, []
+        out = []
         for text in texts:
-            if not self.by_piece or not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end)
-                continue
-            pieces = PIECES.findall(text)
-            try:
-                out.append(b"".join(map(cache.__getitem__, pieces)) + self.end)
-                continue
-            except KeyError:
-                pass
-            if len(cache) > CACHE:
-                cache.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in cache]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(cache.__getitem__, pieces)) + self.end)
+            if len(self.pieces) > CACHE:
+                self.pieces.clear()
+            out.append(self.one(text) + self.end)
         return out
 
 
+@functools.lru_cache(2)
+def encoder_of(path: str, end_id: int | None) -> Encoder:
+    """One per Python worker, whose later tasks find the pieces of its earlier ones."""
+    return Encoder(path, end_id)
+
+
 def write_frames(to, docs: Iterator[tuple[int | None, bytes]]) -> tuple[int, int]:
     """Write (doc id, id bytes) pairs in order to the open file; documents and ids written."""
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=1)
     ids, sizes, frames, held, size = [], [], [], [], 0
 
     def flush():
@@ -168,7 +188,7 @@ def _writer(folder: str, tokenizer: str, end_id: int | None):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
         first = next(batches := (s for s in slices(batches, "text")), None)
         if first is None:
             return
@@ -202,6 +222,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Null text is empty (its document has the end id alone); null ids come first and are kept as null; rows
     that repeat an id are documents of their own; an empty table writes no file.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
