@@ -1,9 +1,8 @@
 """Benchmark decontamination: passages of training documents query a BM25 index of test items.
 
 The index is inverted and small; the queries are many. Items stand in blocks, and the index knows for every
-term the largest score it gives within a block. For a passage the sum of these maxima bounds the score of
-all items of a block at once (prefix sums over the document's terms make that one subtraction a passage and
-block), and only blocks whose bound reaches the lowest threshold among their items are scored, as in
+term the largest score it gives within a block. For a passage the sum of these maxima over its distinct terms
+bounds the score of all items of a block at once, and only blocks whose bound reaches the lowest threshold among their items are scored, as in
 block-max WAND; every item at or above its threshold is retrieved. A retrieved item is a leak when the
 passage holds enough of the word shingles of both its question and its answer.
 """
@@ -24,7 +23,7 @@ from tidemark.llm.toxicity import GAP
 SHARD, BLOCK = 256, 8
 K1, B = 1.2, 0.75
 #: An item is retrieved from this share of the score that its own text gets.
-SHARE = 0.6
+SHARE = 0.7
 SHINGLE, OVERLAP = 5, 0.8
 
 
@@ -96,24 +95,27 @@ class Index:
         at = np.minimum(np.searchsorted(self.terms, words), len(self.terms) - 1)
         hit = np.flatnonzero(self.terms[at] == words)
         term = at[hit]
-        sums = np.zeros((len(hit) + 1, self.blocks))
-        np.cumsum(self.most[term], axis=0, dtype=np.float64, out=sums[1:])
         n = np.where(counts > 0, np.maximum(-(-(counts - self.size) // self.stride), 0) + 1, 0)
         row = np.repeat(np.arange(len(counts)), n)
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         base = np.cumsum(counts) - counts
         first = base[row] + k * self.stride
-        last = np.minimum(first + self.size, base[row] + counts[row])
-        low, high = np.searchsorted(hit, first), np.searchsorted(hit, last)
-        reach = sums[high] - sums[low] >= self.lowest - 1e-3
-        for p in np.flatnonzero(reach.any(axis=1)):
-            terms = np.unique(term[low[p] : high[p]])
-            for b in np.flatnonzero(reach[p]):
-                if self.most[terms, b].sum() < self.lowest[b]:
-                    continue
-                score = self.impact[terms, b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
-                for j in np.flatnonzero(score >= self.threshold[b * BLOCK : (b + 1) * BLOCK]):
-                    yield int(row[p]), int(first[p] - base[row[p]]), int(b * BLOCK + j), float(score[j])
+        low, high = np.searchsorted(hit, first), np.searchsorted(hit, np.minimum(first + self.size, base[row] + counts[row]))
+        # The distinct terms of every passage, passage by passage.
+        m = high - low
+        within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low, m)
+        pairs = np.unique(np.repeat(np.arange(len(row)), m) * len(self.terms) + term[within])
+        passage, term = pairs // len(self.terms), pairs % len(self.terms)
+        if not len(pairs):
+            return
+        start = np.flatnonzero(np.concatenate([[True], np.diff(passage) != 0]))
+        stop = np.append(start[1:], len(passage))
+        bound = np.add.reduceat(self.most[term], start, axis=0)
+        for q, b in zip(*np.nonzero(bound >= self.lowest - 1e-3), strict=True):
+            score = self.impact[term[start[q] : stop[q]], b * BLOCK : (b + 1) * BLOCK].sum(axis=0)
+            p = passage[start[q]]
+            for j in np.flatnonzero(score >= self.threshold[b * BLOCK : (b + 1) * BLOCK]):
+                yield int(row[p]), int(first[p] - base[row[p]]), int(b * BLOCK + j), float(score[j])
 
     def leaks(self, words: np.ndarray, counts: np.ndarray):
         """(row, item id, share of the item's own score, question overlap, answer overlap, first word): the best passage of every leak."""
