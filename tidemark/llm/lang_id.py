@@ -104,7 +104,8 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     ship(docs.sparkSession)
     known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].alias("lang"), docs[text_col].alias("text"), F.pmod(F.xxhash64(docs[by_col].cast("string"), F.lit("sample")), F.lit(1 << 20)).alias("h"))
     share = known.groupBy("lang").agg(F.least(F.lit(1 << 20), F.ceil(F.lit(sample * (1 << 20)) / F.count(F.lit(1)))).alias("upto"))
-    taken = known.join(share, "lang").where("h < upto").select("lang", "text")
+    # One row a language, and the profiles of all languages are held in memory anyway.
+    taken = known.join(F.broadcast(share), "lang").where("h < upto").select("lang", "text")
     counts = taken.mapInArrow(_counted, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram"))).where(F.col("rank") <= ranks)
     lists: dict[str, list[int]] = {}
