@@ -20,10 +20,9 @@ from tidemark.llm.common import LOWER, prefix_hash, ship, slices, span_hash, sta
 STEPS, STRIDE = 64, 48
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
 #: Labelled documents of either class that training is expected to read.
-SAMPLE = 2500
-ROUNDS, BATCH, RATE = 5, 128, 0.005
+SAMPLE = 2000
+ROUNDS, BATCH, RATE = 4, 128, 0.01
 CHUNK = 2048
-VERBOSE = 0
 RARE, DECAY = 8, 1e-4
 
 # Words are runs of ASCII letters and digits and of anything beyond ASCII.
@@ -260,7 +259,6 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, share: float |
             high = np.maximum.reduceat(best, start)
             # Log loss at a cap, as some labels are wrong whatever the text says.
             loss = float((weight * np.minimum(np.log1p(np.exp(np.where(label == 1, -high, high))), 2))[check].mean()) if check.any() else -turn
-            if VERBOSE: print(turn, loss, kept and kept[0])
             if kept is None or loss < kept[0]:
                 kept = (loss, {k: a.copy() for k, a in m.items()})
             if turn == ROUNDS:
