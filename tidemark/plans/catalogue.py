@@ -445,7 +445,7 @@ def csv_round_trip(spark, d):
 
 @query
 def argmin_first_dims(spark, d):
-    return derive.session_dims(_ds(spark, d).events)
+    return derive.session_dims(_ds(spark, d).events).fillna(0, ["last_end"])
 
 
 @query
@@ -464,11 +464,11 @@ def any_left_join(spark, d):
 
 @query
 def asof_join(spark, d):
-    """The state that every session was in at each of its errors."""
+    """The state that every session was in at each of its errors, -1 if it had none yet."""
     ds = _ds(spark, d)
     errors = ds.events.where("event_type = 'VideoError'").select("sid", "ts").distinct()
     state = derive.event_state(ds.events.where("event_type != 'VideoError'")).select("sid", "ts", "is_open")
-    return with_times(core.asof(errors, state, ["sid"], "ts", "is_open"), ts="ms")
+    return with_times(core.asof(errors, state, ["sid"], "ts", "is_open").fillna(-1, ["is_open"]), ts="ms")
 
 
 @query

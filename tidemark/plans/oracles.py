@@ -287,10 +287,10 @@ ORACLES["retract_netting"] = sql("SELECT count(*) AS retracted, count(*) AS asse
 
 # -- single operators
 ORACLES["csv_round_trip"] = sql("SELECT event_type, event, platform, count(*) AS events, min(ts) AS first, max(ts) AS last, count(DISTINCT sid) AS sessions FROM ev GROUP BY event_type, event, platform")
-ORACLES["argmin_first_dims"] = sql(f"SELECT sid, user_id, {EDIMS}, last_end FROM fd")
+ORACLES["argmin_first_dims"] = sql(f"SELECT sid, user_id, {EDIMS}, coalesce(last_end, 0) AS last_end FROM fd")
 ORACLES["exact_quantiles"] = sql(f"SELECT platform, {', '.join(f'{q_exact("e - s", p)} AS q{int(p * 100)}' for p in (0.5, 0.6, 0.9, 0.95))} FROM iv GROUP BY platform")
 ORACLES["any_left_join"] = sql("SELECT ev.content_id, count(*) AS events, any_value(title) AS title FROM ev LEFT JOIN ct ON ev.content_id = ct.content_id GROUP BY ev.content_id")
-ORACLES["asof_join"] = sql(f"SELECT x.sid, {at_ms('x.ts')} AS ts, s.is_open FROM er x ASOF LEFT JOIN s2 s ON x.sid = s.sid AND x.ts >= s.ts", "er AS (SELECT DISTINCT sid, ts FROM ev WHERE event_type = 'VideoError')",
+ORACLES["asof_join"] = sql(f"SELECT x.sid, {at_ms('x.ts')} AS ts, coalesce(s.is_open, -1) AS is_open FROM er x ASOF LEFT JOIN s2 s ON x.sid = s.sid AND x.ts >= s.ts", "er AS (SELECT DISTINCT sid, ts FROM ev WHERE event_type = 'VideoError')",
     f"c2 AS (SELECT sid, ts, min(CASE WHEN event_type IN ('AppBackgrounded','VideoSessionEnd') OR event IN {PAUSE} THEN 0 WHEN event_type IN ('VideoSessionStart','VideoPlay','AppForegrounded') OR event IN {RESUME} THEN 1 END) AS c FROM ev WHERE event_type <> 'VideoError' GROUP BY sid, ts)",
     "s2 AS (SELECT sid, ts, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY sid ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS is_open FROM c2)")
 ORACLES["fill_interpolate"] = sql(f"SELECT {at('t * 60')} AS t, v AS value FROM se", series(START, END, {"country": "US"}))
