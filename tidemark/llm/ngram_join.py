@@ -3,7 +3,8 @@
 Under any one order of all n-grams, two sets with Jaccard similarity t or more share one of their first
 ``n - ceil(t n) + 1`` members. So they do under every order, and a pair is verified only if it shares a
 prefix member under each of them. N-grams that many documents hold come last in all orders (a list found by
-counting over all documents, of bounded length), the others in the order of salted hashes.
+counting over all documents, of bounded length), the others in the order of salted hashes. What precedes the
+last member that two prefixes share bounds the similarity, too.
 
 Documents with equal sets are one class. In groups of up to ``small`` classes that share a prefix member the
 pairs are listed; a larger group is compared in blocks, whose tasks return a spanning forest of the links
@@ -25,7 +26,7 @@ from tidemark.llm.components import components
 SMALL = 48
 BLOCK = 256
 #: An n-gram is common from this share of all documents on; the list of common ones is broadcast, this long at most.
-COMMON, MOST_COMMON = 1 / 500, 1 << 16
+COMMON, MOST_COMMON = 1 / 5000, 1 << 16
 ORDERS = 2
 
 
@@ -46,7 +47,7 @@ def _classes(n: int, share: float):
                 names=["id", "dig", "n", "fp", "gram", "c"],
             )
             grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(2, share * len(sets))
+            often = counts >= max(3, share * len(sets))
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, rows.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(grams[often].view(np.int64)), pa.array(counts[often])],
@@ -62,43 +63,68 @@ class Orders:
     def __init__(self, common: list[tuple[int, int]], t: Fraction):
         grams = np.array([g for g, _ in common], np.int64).view(np.uint64)
         by = np.argsort(grams)
-        self.grams, self.counts, self.t = grams[by], np.array([c for _, c in common], np.uint64)[by], t
+        self.grams, self.t = grams[by], t
+        counts = np.array([c for _, c in common], np.int64)[by]
+        # Ranks are all different, as the order of a prefix must not depend on the set.
+        self.rank = np.empty(len(grams), np.uint64)
+        self.rank[np.lexsort((self.grams, counts))] = np.arange(len(grams))
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
 
     def prefix(self, grams: np.ndarray, order: int) -> np.ndarray:
         """The first members of a set under an order."""
         size = len(grams) - -(-len(grams) * self.t.numerator // self.t.denominator) + 1
         key = mix(grams, 20 + order) >> np.uint64(1)
         if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-            known = self.grams[at] == grams
-            key[known] = np.uint64(1 << 63) + self.counts[at[known]] * np.uint64(1 << 16) + (key[known] & np.uint64(0xFFFF))
-        # Equal keys keep the order of the sorted n-grams themselves, the same everywhere.
-        return grams[np.argsort(key, kind="stable")[:size]] if size < len(grams) else grams
+            some = np.flatnonzero(self.maybe[grams & np.uint64((1 << 22) - 1)])
+            at = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
+            known = self.grams[at] == grams[some]
+            key[some[known]] = np.uint64(1 << 63) + self.rank[at[known]]
+        first = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
+        return grams[first[np.argsort(key[first])]]
+
+
+def _rows(o: int, full: list[tuple[bytes, np.ndarray]], orders: Orders) -> pa.RecordBatch:
+    """Rows (o, gram, fp, n, pos) of the prefixes of some sets under one order."""
+    fps, sizes = pa.array([f for f, _ in full], pa.binary()), np.array([len(s) for _, s in full])
+    first = [orders.prefix(s, o) for _, s in full]
+    each = np.array([len(p) for p in first])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate(first).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each)), pa.array(np.concatenate([np.arange(m) for m in each]))],
+        names=["o", "gram", "fp", "n", "pos"],
+    )
 
 
 def _prefixes(n: int, orders: Orders):
+    """The first order's prefixes, from texts."""
+
     def run(batches):
         seen: set[bytes] = set()
-        for rows, raw, offsets in slices(batches, "text"):
+        for _, raw, offsets in slices(batches, "text"):
             # Of equal sets in one partition one row goes on; groups of copies thin out before the shuffle.
             full = [(f, s) for s in shingles(raw, offsets, n) if len(s) and (f := _print(s)) not in seen and not seen.add(f)]
-            if not full:
-                continue
-            fps, sizes = pa.array([f for f, _ in full], pa.binary()), np.array([len(s) for _, s in full])
-            for o in range(ORDERS):
-                first = [orders.prefix(s, o) for _, s in full]
-                each = np.array([len(p) for p in first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate(first).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each))],
-                    names=["o", "gram", "fp", "n"],
-                )
+            if full:
+                yield _rows(0, full, orders)
+
+    return run
+
+
+def _more_prefixes(orders: Orders):
+    """The further orders' prefixes, from the stored sets of the documents that are left."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                full = [(f, unpack(g).astype(np.uint64)) for f, g in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+                for o in range(1, ORDERS):
+                    yield _rows(o, full, orders)
 
     return run
 
 
 def _groups(t: Fraction, small: int):
-    """Sorted rows (o, gram, fp, n) to pairs within small groups (a, b) and the members of larger ones (a, null)."""
-    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+    """Sorted rows (o, gram, fp, n, pos) to pairs within small groups (a, b, their sizes and the places of the n-gram) and the members of larger ones (a alone)."""
+    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary())] + [(c, pa.int64()) for c in ("na", "nb", "pa", "pb")])
 
     def run(batches):
         out: list[tuple] = []
@@ -107,10 +133,10 @@ def _groups(t: Fraction, small: int):
         def close():
             if not large:
                 items = sorted(members.items())
-                for i, (a, n) in enumerate(items):
-                    for b, m in items[i + 1 :]:
+                for i, (a, (n, at)) in enumerate(items):
+                    for b, (m, to) in items[i + 1 :]:
                         if min(n, m) * t.denominator >= max(n, m) * t.numerator:
-                            out.append((key[0], key[1], a, b))
+                            out.append((*key, a, b, n, m, at, to))
 
         for batch in batches:
             o, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -124,14 +150,14 @@ def _groups(t: Fraction, small: int):
                 if (now := (int(o[at]), int(gram[at]))) != key:
                     close()
                     key, members, large = now, {}, False
-                for fp, size in zip(batch.column(2).slice(at, m).to_pylist(), batch.column(3).slice(at, m).to_pylist(), strict=True):
+                for fp, size, pos in zip(*(batch.column(c).slice(at, m).to_pylist() for c in (2, 3, 4)), strict=True):
                     if large:
-                        out.append((*key, fp, None))
+                        out.append((*key, fp, *[None] * 5))
                     else:
-                        members[fp] = size
+                        members[fp] = (size, pos)
                         if len(members) > small:
                             large = True
-                            out.extend((*key, f, None) for f in members)
+                            out.extend((*key, f, *[None] * 5) for f in members)
                             members = {}
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -242,38 +268,87 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = seen.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= max(4, COMMON * count))
     common = [tuple(r) for r in often.orderBy(F.desc("c"), "gram").limit(MOST_COMMON).collect()]
     orders = Orders(common, t)
-    prefixes = rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
-    groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary"), "groups")
-    large = groups.where("b is null").select("o", "gram", F.col("a").alias("fp"))
+
+    def candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs left by the orders of these prefixes (o, a, b, c), and the members of larger groups (o, gram, fp)."""
+        dealt = prefixes.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
+        groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, pa long, pb long"), "groups")
+        large = stage(groups.where("b is null").select("o", "gram", F.col("a").alias("fp")).distinct(), "large")
+        inside = large.select("o", "fp").distinct()
+        # Of what stands up to the last n-gram that a pair shares in its prefixes, all but the shared ones tell the sets
+        # apart. N-grams of larger groups aren't counted here, so documents with one are spared this test.
+        shared = groups.where("b is not null").groupBy("o", "a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.max(k).alias(k) for k in ("na", "nb", "pa", "pb")])
+        apart = F.col("pa") + F.col("pb") + 2 - 2 * F.col("c")
+        near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
+        marks = [inside.select("o", F.col("fp").alias(k), F.lit(True).alias(f"in_{k}")) for k in ("a", "b")]
+        tested = shared.join(marks[0], ["o", "a"], "left").join(marks[1], ["o", "b"], "left").where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | near)
+        left = stage(tested.select("o", "a", "b", "c"), "candidates")
+        discard(groups)
+        return left, large
+
+    pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, pos long"))
+    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
+    reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
+    wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
+    sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
+    short = Orders([(g >> 24 if g >= 0 else (g + (1 << 64)) >> 24, c) for g, c in common], t)
+    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, pos long"))
+    pairs, large = pairs.unionByName(more), large.unionByName(larger)
     inside = large.select("o", "fp").distinct()
-    # A pair counts for an order when it is listed there or both are in larger groups there.
-    pairs = groups.where("b is not null").groupBy("a", "b").agg(F.collect_set("o").alias("os"))
+    # A pair counts for an order when it is left there or both are in larger groups there.
+    held = pairs.groupBy("a", "b").agg(F.collect_set("o").alias("os"), F.max("c").alias("c"))
     for o in range(ORDERS):
         here = inside.where(F.col("o") == o).select("fp")
-        ok = pairs.where(F.array_contains("os", F.lit(o).cast("tinyint")))
-        other = pairs.where(~F.array_contains("os", F.lit(o).cast("tinyint")))
+        ok = held.where(F.array_contains("os", F.lit(o).cast("tinyint")))
+        other = held.where(~F.array_contains("os", F.lit(o).cast("tinyint")))
         other = other.join(here.withColumnRenamed("fp", "a"), "a", "left_semi").join(here.withColumnRenamed("fp", "b"), "b", "left_semi")
-        pairs = ok.unionByName(other.select(*ok.columns))
-    pairs = stage(pairs.select("a", "b"), "pairs")
+        held = ok.unionByName(other.select(*ok.columns))
+    pairs = stage(held.select("a", "b", "c"), "pairs")
     first = large.where("o = 0").select("gram", "fp")
     for o in range(1, ORDERS):
         first = first.join(inside.where(F.col("o") == o).select("fp"), "fp", "left_semi")
     first = stage(first, "large")
-    needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(first.select("fp")).distinct()
-    reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
-    wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
-    sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
+    # Documents that pairs connect, up to a block of them, come together once, rather than once for every pair.
+    clusters = stage(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
+    sized = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "root")
+    together = sized.where(F.col("c") <= block).select("root", F.col("node").alias("fp")).join(sets, "fp").groupBy("root").applyInArrow(_block(t), "u binary, v binary")
+    links = stage(together, "cluster-links")
+    wide = sized.where(F.col("c") > block).select(F.col("node").alias("fp"))
+    few = stage(sets.join(wide.unionByName(first.select("fp")).distinct(), "fp", "left_semi"), "few-sets")
+    discard(sets)
+    sets = few
+    pairs, every = stage(pairs.join(sized.where(F.col("c") > block).select(F.col("node").alias("a")), "a", "left_semi"), "wide-pairs"), pairs
+    discard(every)
     x, y = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-    # Rows that repeat an id and a text repeat a set, and so a link; that does no harm.
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "u binary, v binary")
+
+    n_sets = max(sets.count(), 1)
+
+    def verified(some: DataFrame, name: str) -> DataFrame:
+        """The links among some pairs, in as many rounds as keep what a round ships near the size of all the sets."""
+        rounds = -(-some.count() // n_sets)
+        out = None
+        for k in range(max(rounds, 1)):
+            now = some.where(F.pmod(F.xxhash64("a", "b"), F.lit(max(rounds, 1))) == k)
+            # Rows that repeat an id and a text repeat a set, and so a link; that does no harm.
+            found = stage(now.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "u binary, v binary"), name)
+            out = found if out is None else out.unionByName(found)
+        return out
+
+    # In larger clusters first every document's likeliest partner; pairs that these links connect need no look of their own.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+    likely = verified(best, "best")
+    roots = stage(components(likely), "roots")
+    ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = stage(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "rest")
+    links = links.unionByName(likely).unionByName(verified(rest, "rest-links"))
     # Blocks of a larger group: each class meets those of every block once.
     sized = first.join(first.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block).alias("k")), "gram")
     mine = sized.withColumn("i", F.pmod(F.xxhash64("fp"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     blocks = mine.select("gram", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp").join(sets, "fp")
-    more = blocks.groupBy("gram", "i", "j").applyInArrow(_block(t), "u binary, v binary")
-    roots = components(stage(links.unionByName(more), "links"))
+    grouped = blocks.groupBy("gram", "i", "j").applyInArrow(_block(t), "u binary, v binary")
+    roots = components(stage(links.unionByName(grouped), "links"))
     classes = nodes.groupBy("fp").agg(F.min("id").alias("least")).where("fp is not null").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     alone = nodes.where("fp is null").select("id", "n", F.col("id").alias("component"))
