@@ -138,14 +138,20 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return rows.mapInArrow(_predictions(profiles), f"id {kind}, text string, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
+def _known(profiles: Profiles, column: str, least: float):
+    def run(batches):
+        for batch in batches:
+            for rows, _, _ in text_slices(batch, column):
+                told = [profiles.predict(t or "") for t in rows.column(rows.schema.get_field_index(column)).to_pylist()]
+                yield rows.filter(pa.array([lang != "und" and score >= least for lang, score in told], pa.bool_()))
+
+    return run
+
+
 def keep_known(docs: DataFrame, profiles: Profiles, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The documents that are in one of the languages: not ``und``, and with a score of ``least`` or more; all their columns."""
+    """The documents that are in one of the languages: not ``und``, and with a score of ``least`` or more; all their columns, whatever their names."""
     ship(docs.sparkSession)
-    rows = docs.select("*") if text_col == "text" else docs.withColumnRenamed(text_col, "text")
-    schema = rows.schema
-    out = rows.mapInArrow(_predictions(profiles), schema.add("lang_pred", "string").add("score", "double"))
-    kept = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*rows.columns)
-    return kept if text_col == "text" else kept.withColumnRenamed("text", text_col)
+    return docs.mapInArrow(_known(profiles, text_col, least), docs.schema)
 
 
 def held_out(id_column, rest: int = 2, of: int = 4):

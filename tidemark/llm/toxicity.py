@@ -21,7 +21,8 @@ STEPS, STRIDE = 64, 48
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 12, 8, 8
 #: Labelled documents of either class that training is expected to read.
 SAMPLE = 2000
-ROUNDS, BATCH, RATE = 4, 128, 0.01
+#: Rounds over the sample, more of them where it makes few batches; the best one by held-out documents counts.
+ROUNDS, UPDATES, BATCH, RATE = 4, 160, 128, 0.01
 CHUNK = 2048
 RARE, DECAY = 8, 1e-4
 
@@ -252,7 +253,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, share: float |
     step, kept = 0, None
     # Every fifth document is left to tell after which round to stop.
     check = np.arange(len(start)) % 5 == 4
-    for turn in range(ROUNDS + 1):
+    rounds = min(max(ROUNDS, -(-UPDATES * BATCH // len(docs))), 60)
+    for turn in range(rounds + 1):
         if turn:
             x = v.inputs(m)
             best = np.concatenate([window_logits(m, x, ids[i : i + CHUNK]) for i in range(0, len(ids), CHUNK)])
@@ -261,7 +263,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, share: float |
             loss = float((weight * np.minimum(np.log1p(np.exp(np.where(label == 1, -high, high))), 2))[check].mean()) if check.any() else -turn
             if kept is None or loss < kept[0]:
                 kept = (loss, {k: a.copy() for k, a in m.items()})
-            if turn == ROUNDS:
+            if turn == rounds:
                 break
         # The highest window of each document; for documents of label 0 also one at random.
         top = np.array([s + int(np.argmax(best[s:e])) for s, e in zip(start, [*start[1:], len(row)], strict=True)])
@@ -279,7 +281,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7, share: float |
                 one, two = moment[name]
                 one += 0.1 * (grad - one)
                 two += 0.01 * (grad * grad - two)
-                m[name] -= (RATE * (0.5 if turn >= ROUNDS - 2 else 1) * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                m[name] -= (RATE * (0.5 if turn >= rounds - 2 else 1) * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     m = kept[1]
     # Windows were weighted as if both labels were equally frequent; the share of label 1 comes back in.
     m["base"][0] += np.float32(np.log(share / (1 - share)))

@@ -52,7 +52,7 @@ _TOPICS = {
 }
 #: The method's own rules: words of unwanted topics as whole tokens of the host, or of the path beside a second sign.
 TOPIC_RULES = tuple(
-    [Rule(f"{topic}:{word}", "block", (word,), rf"^[^:]*://[^/?#]*\b{word}\b") for topic, words in _TOPICS.items() for word in words]
+    [Rule(f"{topic}:{word}", "block", (word,), rf"(?i)^[^:]*://[^/?#]*\b{word}\b") for topic, words in _TOPICS.items() for word in words]
     + [Rule(f"{topic}:{word}:path", "block", (word,), rf"(?i)^[^:]*://[^/?#]*/[^?#]*\b(free|win|cheap|best|online|buy)[-_/]{word}\b") for topic, words in _TOPICS.items() for word in words]
 )
 
