@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import core
 from tidemark.operators import derive, insights, serving, validate, views
 from tidemark.operators.insights import with_times
-from tidemark.sources import files, fixture
+from tidemark.sources import files, fixture, scenarios
 from tidemark.streaming import tick
 
 #: The window that queries look at: 10 January 2024, and the middle of it.
@@ -533,3 +533,11 @@ def busiest(spark, d):
         row = top(c).select(F.lit(name).alias("what"), "value", "minutes")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@query
+def spike_healthy_weak(spark, d):
+    """The verdicts on two made audiences, one that stays and one that leaves."""
+    content = spark.createDataFrame([(scenarios.CONTENT, "stays", "live", "made", ""), (scenarios.CONTENT + 1, "leaves", "live", "made", "")], "content_id long, title string, video_type string, category string, show_name string")
+    both = scenarios.scenario(spark, scenarios.HEALTHY, START * 1000, name="h").unionByName(scenarios.scenario(spark, scenarios.WEAK, START * 1000, name="w", content=scenarios.CONTENT + 1))
+    return insights.spike_events(fixture.Dataset(both, content, 90), START, START + 7200)
