@@ -3,8 +3,8 @@
 Under any one order of all n-grams, two sets with Jaccard similarity t or more share one of their first
 ``n - ceil(t n) + 1`` members. So they do under every order, and a pair is verified only if it shares a
 prefix member under each of them. N-grams that many documents hold come last in all orders (a list found by
-counting over all documents, of bounded length), the others in the order of salted hashes. What precedes the
-last member that two prefixes share bounds the similarity, too.
+counting over all documents, of bounded length), the others in the order of salted hashes. What two
+prefixes don't share up to the smaller of their ends bounds the similarity, too.
 
 Documents with equal sets are one class. In groups of up to ``small`` classes that share a prefix member the
 pairs are listed; a larger group is compared in blocks, whose tasks return a spanning forest of the links
@@ -28,6 +28,8 @@ BLOCK = 256
 #: An n-gram is common from this share of all documents on; the list of common ones is broadcast, this long at most.
 COMMON, MOST_COMMON = 1 / 5000, 1 << 16
 ORDERS = 2
+#: A prefix's keys are noted at this many places.
+MARKS = 8
 
 
 def _print(grams: np.ndarray) -> bytes:
@@ -71,8 +73,8 @@ class Orders:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
 
-    def prefix(self, grams: np.ndarray, order: int) -> np.ndarray:
-        """The first members of a set under an order."""
+    def prefix(self, grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first members of a set under an order, and their keys, ascending."""
         size = len(grams) - -(-len(grams) * self.t.numerator // self.t.denominator) + 1
         key = mix(grams, 20 + order) >> np.uint64(1)
         if len(self.grams):
@@ -81,17 +83,27 @@ class Orders:
             known = self.grams[at] == grams[some]
             key[some[known]] = np.uint64(1 << 63) + self.rank[at[known]]
         first = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
-        return grams[first[np.argsort(key[first])]]
+        first = first[np.argsort(key[first])]
+        return grams[first], key[first]
 
 
-def _rows(o: int, full: list[tuple[bytes, np.ndarray]], orders: Orders) -> pa.RecordBatch:
-    """Rows (o, gram, fp, n, pos) of the prefixes of some sets under one order."""
+def _rows(o: int, full: list[tuple[bytes, np.ndarray]], orders: Orders):
+    """Rows (o, gram, fp, n, marks) of the prefixes of some sets under one order, and a row with ``-1 - o`` for each set.
+
+    The latter hold the prefix's length as ``n`` and its keys at every ``1 / MARKS`` of it as ``marks``.
+    """
     fps, sizes = pa.array([f for f, _ in full], pa.binary()), np.array([len(s) for _, s in full])
     first = [orders.prefix(s, o) for _, s in full]
-    each = np.array([len(p) for p in first])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate(first).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each)), pa.array(np.concatenate([np.arange(m) for m in each]))],
-        names=["o", "gram", "fp", "n", "pos"],
+    each = np.array([len(p) for p, _ in first])
+    names = ["o", "gram", "fp", "n", "marks"]
+    kind = pa.list_(pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate([p for p, _ in first]).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each)), pa.nulls(int(each.sum()), kind)],
+        names=names,
+    )
+    marks = [(keys[-(-len(keys) * np.arange(1, MARKS + 1) // MARKS) - 1] ^ np.uint64(1 << 63)).view(np.int64) for _, keys in first]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(full), -1 - o, np.int8)), pa.array([int.from_bytes(f[:8], "little", signed=True) for f, _ in full]), fps, pa.array(each), pa.array(marks, kind)], names=names
     )
 
 
@@ -104,7 +116,7 @@ def _prefixes(n: int, orders: Orders):
             # Of equal sets in one partition one row goes on; groups of copies thin out before the shuffle.
             full = [(f, s) for s in shingles(raw, offsets, n) if len(s) and (f := _print(s)) not in seen and not seen.add(f)]
             if full:
-                yield _rows(0, full, orders)
+                yield from _rows(0, full, orders)
 
     return run
 
@@ -117,14 +129,14 @@ def _more_prefixes(orders: Orders):
             for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 full = [(f, unpack(g).astype(np.uint64)) for f, g in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
                 for o in range(1, ORDERS):
-                    yield _rows(o, full, orders)
+                    yield from _rows(o, full, orders)
 
     return run
 
 
 def _groups(t: Fraction, small: int):
-    """Sorted rows (o, gram, fp, n, pos) to pairs within small groups (a, b, their sizes and the places of the n-gram) and the members of larger ones (a alone)."""
-    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary())] + [(c, pa.int64()) for c in ("na", "nb", "pa", "pb")])
+    """Sorted rows of _rows to pairs within small groups (a, b and their sizes), the members of larger ones (a alone), and the rows of single sets as they are."""
+    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         out: list[tuple] = []
@@ -133,15 +145,21 @@ def _groups(t: Fraction, small: int):
         def close():
             if not large:
                 items = sorted(members.items())
-                for i, (a, (n, at)) in enumerate(items):
-                    for b, (m, to) in items[i + 1 :]:
+                for i, (a, n) in enumerate(items):
+                    for b, m in items[i + 1 :]:
                         if min(n, m) * t.denominator >= max(n, m) * t.numerator:
-                            out.append((*key, a, b, n, m, at, to))
+                            out.append((*key, a, b, n, m, None))
 
         for batch in batches:
-            o, gram = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            o = batch.column(0).to_numpy()
+            alone = int(np.searchsorted(o, 0))
+            if alone:
+                b = batch.slice(0, alone)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.nulls(alone, pa.binary()), b.column(3), pa.nulls(alone, pa.int64()), b.column(4)], schema=schema)
+                batch, o = batch.slice(alone), o[alone:]
             if not len(o):
                 continue
+            gram = batch.column(1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(gram) != 0) | (np.diff(o) != 0)]))
             sizes = np.diff(np.append(cuts, len(o)))
             # Only the first and last group of a batch can go on elsewhere; other groups of one are done.
@@ -150,14 +168,14 @@ def _groups(t: Fraction, small: int):
                 if (now := (int(o[at]), int(gram[at]))) != key:
                     close()
                     key, members, large = now, {}, False
-                for fp, size, pos in zip(*(batch.column(c).slice(at, m).to_pylist() for c in (2, 3, 4)), strict=True):
+                for fp, size in zip(batch.column(2).slice(at, m).to_pylist(), batch.column(3).slice(at, m).to_pylist(), strict=True):
                     if large:
-                        out.append((*key, fp, *[None] * 5))
+                        out.append((*key, fp, *[None] * 4))
                     else:
-                        members[fp] = (size, pos)
+                        members[fp] = size
                         if len(members) > small:
                             large = True
-                            out.extend((*key, f, *[None] * 5) for f in members)
+                            out.extend((*key, f, *[None] * 4) for f in members)
                             members = {}
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -273,27 +291,31 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs left by the orders of these prefixes (o, a, b, c), and the members of larger groups (o, gram, fp)."""
         dealt = prefixes.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
-        groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, pa long, pb long"), "groups")
-        large = stage(groups.where("b is null").select("o", "gram", F.col("a").alias("fp")).distinct(), "large")
-        inside = large.select("o", "fp").distinct()
-        # Of what stands up to the last n-gram that a pair shares in its prefixes, all but the shared ones tell the sets
-        # apart. N-grams of larger groups aren't counted here, so documents with one are spared this test.
-        shared = groups.where("b is not null").groupBy("o", "a", "b").agg(F.count(F.lit(1)).alias("c"), *[F.max(k).alias(k) for k in ("na", "nb", "pa", "pb")])
-        apart = F.col("pa") + F.col("pb") + 2 - 2 * F.col("c")
+        groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, marks array<bigint>"), "groups")
+        large = stage(groups.where("b is null and o >= 0").select("o", "gram", F.col("a").alias("fp")).distinct(), "large")
+        held = large.select("o", "fp", F.lit(True).alias("in")).distinct()
+        shared = groups.where("b is not null").groupBy("o", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+        info = groups.where("o < 0").groupBy((-1 - F.col("o")).cast("tinyint").alias("o"), F.col("a").alias("fp")).agg(F.max("na").alias("p"), F.max("marks").alias("q"))
+        info = stage(info.join(held, ["o", "fp"], "left"), "prefix-marks")
+        for k in ("a", "b"):
+            shared = shared.join(info.select("o", F.col("fp").alias(k), F.col("p").alias(f"p{k}"), F.col("q").alias(f"q{k}"), F.col("in").alias(f"in_{k}")), ["o", k])
+        # Up to the smaller of the prefixes' last keys both sets are known, at least to within a mark: what isn't shared
+        # there tells them apart. N-grams of larger groups aren't counted here, so documents with one are spared this test.
+        last = F.least(F.element_at("qa", MARKS), F.element_at("qb", MARKS))
+        known = [F.ceil(F.col(f"p{k}") * F.size(F.filter(f"q{k}", lambda x: x <= last)) / MARKS) for k in ("a", "b")]
+        apart = known[0] + known[1] - 2 * F.col("c")
         near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
-        marks = [inside.select("o", F.col("fp").alias(k), F.lit(True).alias(f"in_{k}")) for k in ("a", "b")]
-        tested = shared.join(marks[0], ["o", "a"], "left").join(marks[1], ["o", "b"], "left").where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | near)
-        left = stage(tested.select("o", "a", "b", "c"), "candidates")
+        left = stage(shared.where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | near).select("o", "a", "b", "c"), "candidates")
         discard(groups)
         return left, large
 
-    pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, pos long"))
+    pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks array<bigint>"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
     wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
     sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
     short = Orders([(g >> 24 if g >= 0 else (g + (1 << 64)) >> 24, c) for g, c in common], t)
-    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, pos long"))
+    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, marks array<bigint>"))
     pairs, large = pairs.unionByName(more), large.unionByName(larger)
     inside = large.select("o", "fp").distinct()
     # A pair counts for an order when it is left there or both are in larger groups there.
