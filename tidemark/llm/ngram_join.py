@@ -25,8 +25,8 @@ from tidemark.llm.components import components
 
 SMALL = 48
 BLOCK = 256
-#: An n-gram is common from this share of all documents on; the list of common ones is broadcast, this long at most.
-COMMON, MOST_COMMON = 1 / 5000, 1 << 16
+#: N-grams that several documents within a stretch of text hold, counted so often in all; the most common ones are broadcast, this many at most.
+COMMON, MOST_COMMON = 4, 1 << 18
 ORDERS = 2
 #: A prefix's keys are noted at this many places.
 MARKS = 8
@@ -38,8 +38,8 @@ def _print(grams: np.ndarray) -> bytes:
         return np.array([mix(grams, s).sum(dtype=np.uint64) ^ np.uint64(len(grams)) for s in (11, 12)], "<u8").tobytes()
 
 
-def _classes(n: int, share: float):
-    """Rows (id, dig, text) to (id, dig, n, fp) and, apart, the n-grams that are common in a batch with their counts."""
+def _classes(n: int):
+    """Rows (id, dig, text) to (id, dig, n, fp) and, apart, the n-grams that repeat within a stretch of text, with their counts."""
 
     def run(batches):
         for rows, raw, offsets in slices(batches, "text", 8 << 20):
@@ -49,7 +49,7 @@ def _classes(n: int, share: float):
                 names=["id", "dig", "n", "fp", "gram", "c"],
             )
             grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(3, share * len(sets))
+            often = counts >= 2
             m = int(often.sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, rows.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(grams[often].view(np.int64)), pa.array(counts[often])],
@@ -96,14 +96,13 @@ def _rows(o: int, full: list[tuple[bytes, np.ndarray]], orders: Orders):
     first = [orders.prefix(s, o) for _, s in full]
     each = np.array([len(p) for p, _ in first])
     names = ["o", "gram", "fp", "n", "marks"]
-    kind = pa.list_(pa.int64())
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate([p for p, _ in first]).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each)), pa.nulls(int(each.sum()), kind)],
+        [pa.array(np.full(each.sum(), o, np.int8)), pa.array(np.concatenate([p for p, _ in first]).view(np.int64)), fps.take(pa.array(np.repeat(np.arange(len(full)), each))), pa.array(np.repeat(sizes, each)), pa.nulls(int(each.sum()), pa.binary())],
         names=names,
     )
-    marks = [(keys[-(-len(keys) * np.arange(1, MARKS + 1) // MARKS) - 1] ^ np.uint64(1 << 63)).view(np.int64) for _, keys in first]
+    marks = [keys[-(-len(keys) * np.arange(1, MARKS + 1) // MARKS) - 1].astype(">u8").tobytes() for _, keys in first]
     yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(full), -1 - o, np.int8)), pa.array([int.from_bytes(f[:8], "little", signed=True) for f, _ in full]), fps, pa.array(each), pa.array(marks, kind)], names=names
+        [pa.array(np.full(len(full), -1 - o, np.int8)), pa.array([int.from_bytes(f[:8], "little", signed=True) for f, _ in full]), fps, pa.array(each), pa.array(marks, pa.binary())], names=names
     )
 
 
@@ -136,7 +135,7 @@ def _more_prefixes(orders: Orders):
 
 def _groups(t: Fraction, small: int):
     """Sorted rows of _rows to pairs within small groups (a, b and their sizes), the members of larger ones (a alone), and the rows of single sets as they are."""
-    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("marks", pa.list_(pa.int64()))])
+    schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("marks", pa.binary())])
 
     def run(batches):
         out: list[tuple] = []
@@ -279,11 +278,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("dig"), text.alias("text"))
-    seen = stage(rows.mapInArrow(_classes(n, COMMON), f"id {kind}, dig long, n long, fp binary, gram long, c long"), "shingled")
+    seen = stage(rows.mapInArrow(_classes(n), f"id {kind}, dig long, n long, fp binary, gram long, c long"), "shingled")
     nodes = seen.where("n is not null")
-    count = nodes.count()
     # At most MOST_COMMON rows come to the driver; the list only sets the order of n-grams.
-    often = seen.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= max(4, COMMON * count))
+    often = seen.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
     common = [tuple(r) for r in often.orderBy(F.desc("c"), "gram").limit(MOST_COMMON).collect()]
     orders = Orders(common, t)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -291,7 +289,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs left by the orders of these prefixes (o, a, b, c), and the members of larger groups (o, gram, fp)."""
         dealt = prefixes.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram")
-        groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, marks array<bigint>"), "groups")
+        groups = stage(dealt.mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, marks binary"), "groups")
         large = stage(groups.where("b is null and o >= 0").select("o", "gram", F.col("a").alias("fp")).distinct(), "large")
         held = large.select("o", "fp", F.lit(True).alias("in")).distinct()
         shared = groups.where("b is not null").groupBy("o", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("na").alias("na"), F.max("nb").alias("nb"))
@@ -301,21 +299,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             shared = shared.join(info.select("o", F.col("fp").alias(k), F.col("p").alias(f"p{k}"), F.col("q").alias(f"q{k}"), F.col("in").alias(f"in_{k}")), ["o", k])
         # Up to the smaller of the prefixes' last keys both sets are known, at least to within a mark: what isn't shared
         # there tells them apart. N-grams of larger groups aren't counted here, so documents with one are spared this test.
-        last = F.least(F.element_at("qa", MARKS), F.element_at("qb", MARKS))
-        known = [F.ceil(F.col(f"p{k}") * F.size(F.filter(f"q{k}", lambda x: x <= last)) / MARKS) for k in ("a", "b")]
+        key = lambda k, i: F.substring(f"q{k}", 8 * i + 1, 8)
+        last = F.least(key("a", MARKS - 1), key("b", MARKS - 1))
+        upto = [sum(F.when(key(k, i) <= last, 1).otherwise(0) for i in range(MARKS)) for k in ("a", "b")]
+        known = [F.ceil(F.col(f"p{k}") * u / MARKS) for k, u in zip(("a", "b"), upto, strict=True)]
         apart = known[0] + known[1] - 2 * F.col("c")
         near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
         left = stage(shared.where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | near).select("o", "a", "b", "c"), "candidates")
         discard(groups)
         return left, large
 
-    pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks array<bigint>"))
+    pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
     wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
     sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
     short = Orders([(g >> 24 if g >= 0 else (g + (1 << 64)) >> 24, c) for g, c in common], t)
-    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, marks array<bigint>"))
+    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, marks binary"))
     pairs, large = pairs.unionByName(more), large.unionByName(larger)
     inside = large.select("o", "fp").distinct()
     # A pair counts for an order when it is left there or both are in larger groups there.
