@@ -27,6 +27,8 @@ SMALL = 48
 BLOCK = 256
 #: N-grams that several documents within a stretch of text hold, counted so often in all; the most common ones are broadcast, this many at most.
 COMMON, MOST_COMMON = 4, 1 << 18
+#: Bytes of text within which repeats are counted.
+STRETCH = 8 << 20
 ORDERS = 2
 #: A prefix's keys are noted at this many places.
 MARKS = 8
@@ -41,20 +43,31 @@ def _print(grams: np.ndarray) -> bytes:
 def _classes(n: int):
     """Rows (id, dig, text) to (id, dig, n, fp) and, apart, the n-grams that repeat within a stretch of text, with their counts."""
 
+    def common(sets: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+        often = counts >= 2
+        m = int(often.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(grams[often].view(np.int64)), pa.array(counts[often])], names=["id", "dig", "n", "fp", "gram", "c"]
+        )
+
     def run(batches):
-        for rows, raw, offsets in slices(batches, "text", 8 << 20):
+        held: list[np.ndarray] = []
+        size, kind = 0, pa.null()
+        for rows, raw, offsets in slices(batches, "text"):
             sets = shingles(raw, offsets, n)
+            kind = rows.column(0).type
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())],
                 names=["id", "dig", "n", "fp", "gram", "c"],
             )
-            grams, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= 2
-            m = int(often.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, rows.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(grams[often].view(np.int64)), pa.array(counts[often])],
-                names=["id", "dig", "n", "fp", "gram", "c"],
-            )
+            held += sets
+            size += len(raw)
+            if size >= STRETCH:
+                yield common(held, kind)
+                held, size = [], 0
+        if held:
+            yield common(held, kind)
 
     return run
 
