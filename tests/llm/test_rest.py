@@ -263,6 +263,32 @@ def test_leaks_of_whole_items_anywhere(spark):
     assert decontam.drop_leaks(docs, b.limit(0)).count() == docs.count()
 
 
+def test_single_word_changes_at_every_place():
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    # Few items share the words of the short ones, so one rare word carries much of their score.
+    texts = [[r.choice(words[:12] if n < 20 else words) for _ in range(n)] for n in (9, 9, 10, 12, 14, 19, 24, 29, 34, 40, 47, 60) for _ in range(3)]
+    for k, t in enumerate(texts[:18]):
+        t[0] = f"rare{k}"
+    index = decontam.Index([decontam.item(i, " ".join(t)) for i, t in enumerate(texts)])
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows_, want = [], set()
+    for i, t in enumerate(texts):
+        for at in range(len(t)):
+            changed = [*t[:at], "changed", *t[at + 1 :]]
+            if len(shingles(t) & shingles(changed)) >= 0.8 * len(shingles(t)):
+                want.add((len(rows_), i))
+            rows_.append(" ".join(["before"] * (at % 3) + changed + ["after"] * 5).encode())
+    hashes, counts = decontam.words_of(np.frombuffer(b"".join(rows_), np.uint8), np.cumsum([0, *map(len, rows_)]))
+    got = {(row, k) for row, k, *_ in index.leaks(hashes, counts)}
+    assert len(want) > 500 and want <= got
+    # An item with its own answer keeps the test of both parts.
+    apart = decontam.Index([decontam.item(0, " ".join(texts[-1][:45]), " ".join(texts[-1][45:]))])
+    raw = " ".join([*texts[-1][:52], "changed", *texts[-1][53:]]).encode()
+    hashes, counts = decontam.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert apart.leaks(hashes, counts) == []
+
+
 # -- pipeline
 
 def test_pipeline_stages(spark):

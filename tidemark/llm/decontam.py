@@ -4,11 +4,13 @@ The index is inverted and small; the queries are many. Items stand in blocks, an
 term the largest score it gives within a block. For a passage the sum of these maxima over its distinct terms
 bounds the score of all items of a block at once, and only blocks whose bound reaches the lowest threshold among their items are scored, as in
 block-max WAND; every item at or above its threshold is retrieved. A retrieved item is a leak when the
-passage holds enough of the word shingles of both its question and its answer.
+passage holds enough of the word shingles of both its question and its answer or, of an item without separate
+answer, enough of the shingles of the whole item.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -44,6 +46,8 @@ class Item(NamedTuple):
     words: np.ndarray
     question: np.ndarray
     answer: np.ndarray
+    #: Whether the answer was given apart, not cut off the text.
+    apart: bool = True
 
 
 def item(id, text: str | None, answer: str | None = None) -> Item:
@@ -53,7 +57,7 @@ def item(id, text: str | None, answer: str | None = None) -> Item:
         own = _words(answer)
         return Item(id, np.concatenate([words, own]), words, own)
     cut = max(len(words) - max(3, len(words) // 4), 0)
-    return Item(id, words, words[:cut], words[cut:])
+    return Item(id, words, words[:cut], words[cut:], False)
 
 
 def overlap(part: np.ndarray, passage: np.ndarray) -> float:
@@ -66,6 +70,21 @@ def overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return len(mine & rows(passage)) / len(mine)
 
 
+def least_share(words: np.ndarray, terms: np.ndarray, impact: np.ndarray, least: float) -> float:
+    """A lower bound of the score, as a share of the whole, that a passage gets which holds ``least`` of the item's shingles.
+
+    A term is lost only with all shingles that hold it, and a shingle holds up to ``SHINGLE`` terms; the most
+    that can be lost within that allowance is bounded by taking the dearest terms for it first, the last in part.
+    """
+    n = min(SHINGLE, len(words))
+    grams = np.unique(np.lib.stride_tricks.sliding_window_view(words, n), axis=0)
+    lost = len(grams) - math.ceil(least * len(grams) - 1e-9)
+    held = np.array([(grams == t).any(axis=1).sum() for t in terms])
+    order = np.argsort(-impact / held)
+    room = np.maximum(n * lost - (np.cumsum(held[order]) - held[order]), 0)
+    return 1 - float((impact[order] * np.minimum(room / held[order], 1)).sum() / impact.sum())
+
+
 class Index:
     def __init__(self, items: list[Item], share: float = SHARE, least: float = OVERLAP):
         self.items = items = [i for i in items if len(i.words)]
@@ -79,8 +98,14 @@ class Index:
             t, tf = np.unique(i.words, return_counts=True)
             at = np.searchsorted(self.terms, t)
             self.impact[at, k] = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(i.words) / mean))
+        # An item without separate answer is retrieved wherever enough of it stands, though its rarest words be lost.
+        shares = [share] * len(items)
+        for k, i in enumerate(items):
+            if not i.apart:
+                t = np.unique(i.words)
+                shares[k] = min(share, least_share(i.words, t, self.impact[np.searchsorted(self.terms, t), k], least))
         self.threshold = np.full(self.blocks * BLOCK, np.inf)
-        self.threshold[: len(items)] = share * self.impact.sum(axis=0)[: len(items)] - 1e-3
+        self.threshold[: len(items)] = np.array(shares) * self.impact.sum(axis=0)[: len(items)] - 1e-3
         self.most = self.impact.reshape(len(self.terms), self.blocks, BLOCK).max(axis=2)
         self.lowest = self.threshold.reshape(self.blocks, BLOCK).min(axis=1)
         self.longest = max((len(i.words) for i in items), default=1)
@@ -125,7 +150,7 @@ class Index:
             it = self.items[k]
             passage = words[base[row] + first : base[row] + min(first + self.size, counts[row])]
             q, a = overlap(it.question, passage), overlap(it.answer, passage)
-            if q >= self.least and a >= self.least:
+            if q >= self.least and a >= self.least or not it.apart and overlap(it.words, passage) >= self.least:
                 found = (q + a, score, -first)
                 if (row, k) not in best or found > best[row, k][0]:
                     best[row, k] = (found, (row, it.id, round(score / float(self.impact[:, k].sum()), 6), round(q, 6), round(a, 6), first))
@@ -162,7 +187,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per document and test item it leaks: id, item_id, score, question_overlap, answer_overlap, first_word.
 
     score is the passage's BM25 score as a share of what the item's own text gets; first_word is where the
-    passage starts. Null and empty texts leak nothing; a document's row that is repeated has its leaks
+    passage starts. Without ``answer_col`` a passage leaks an item, too, that holds enough of the shingles of its
+    whole text; then one of the two overlaps may be small. Null and empty texts leak nothing; a document's row that is repeated has its leaks
     repeated; equal items each have a row; an empty table on either side gives an empty result; other columns
     are ignored.
     """
