@@ -314,3 +314,27 @@ def test_pipeline_stages(spark):
     five = p.STAGES[4][1](spark, four, DATA)
     assert five.count() == four.count()
     assert five.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == five.agg(F.sum("n_tokens")).first()[0]
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(9)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    # Null ids with unrelated texts, a null-id copy of a document with an id, one id with two texts of which one is a copy.
+    given = [(None, a), (None, b), (3, c), (None, c), (4, d), (5, d), (5, e), (None, "new " + a), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "s", "en") for i, t in given], "doc_id long, text string, source string, lang string").repartition(3)
+    kept = p.near_duplicates(spark, docs, DATA)
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 7
+    assert {(None, b), (3, c), (4, d), (5, e), (7, None), (7, "")} <= set(got) and sum(x in ((None, a), (None, "new " + a)) for x in got) == 1
+    # Of rows that repeat an id each is taken as often as the mix says of it.
+    sources = [("big", 3)] * 30 + [("small", 1)] * 30
+    docs = spark.createDataFrame([(i % 3 or None, text(3 + i % 20), s) for i, (s, _) in enumerate(sources)], "doc_id long, text string, source string").repartition(3)
+    want = sum(x["taken"] for x in mix_sources(docs).collect())
+    mixed = p.mix(spark, docs, DATA)
+    assert mixed.columns == docs.columns and sum(len(x["text"].split()) for x in mixed.collect()) == want
+    # Order among rows that repeat an id does not depend on where they lie.
+    again = p.mix(spark, docs.repartition(5, "text"), DATA)
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))

@@ -41,19 +41,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return by.withColumn("target", F.least(F.col("cap"), F.col("weight") * found["r"])).select("source", "source_size", "target", "n")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 42) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies, taken (copies times size).
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 42, key_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies, taken (copies times size), then ``key_cols``.
 
     Size is the number of words (null text: 0). A null source is a source of its own. A source without words
     has target 0 and takes nothing; rows that repeat an id are documents of their own; an empty table gives
-    an empty result. Equal input gives equal results: order is by size and id, and the offset of a source is
-    made from its name and the seed.
+    an empty result. Equal input gives equal results: order is by size and id, then ``key_cols`` (which tell rows
+    that repeat an id apart), and the offset of a source is made from its name and the seed.
     """
     words = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("long")
-    sizes = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words.alias("size")), "sizes")
+    keys = [docs[c].alias(f"key{i}") for i, c in enumerate(key_cols)]
+    ties = [F.col("id").asc_nulls_first(), *(F.col(f"key{i}").asc_nulls_first() for i in range(len(keys)))]
+    sizes = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words.alias("size"), *keys), "sizes")
     targets = stage(source_targets(sizes.select("source", "size"), weights, most), "targets")
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("source").asc_nulls_first(), F.col("size").desc(), F.col("id").asc_nulls_first()]
+    order = [F.col("source").asc_nulls_first(), F.col("size").desc(), *ties]
     placed = stage(sizes.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order), "placed")
     share = F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * UNIT)).otherwise(0).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 6), 16, 10).cast("long")
@@ -66,8 +68,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("start", F.coalesce(F.sum(F.col("m") * F.col("units")).over(earlier), F.lit(0)) + F.col("offset"))
         .select("s", F.col("part").alias("p"), "source_size", "target", "units", "start")
     )
-    within = Window.partitionBy("part", "source").orderBy(F.col("size").desc(), F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("part", "source").orderBy(F.col("size").desc(), *ties).rowsBetween(Window.unboundedPreceding, 0)
     run = placed.join(ranges, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     upto = F.col("start") + F.sum("units").over(within)
     crossed = run.withColumn("copies", F.shiftright(upto, 24) - F.shiftright(upto - F.col("units"), 24))
-    return crossed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return crossed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"key{i}").alias(c) for i, c in enumerate(key_cols)))
