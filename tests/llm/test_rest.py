@@ -162,6 +162,24 @@ def test_language_edges(spark):
     assert lang_id.identify(docs.limit(0), learned).count() == 0
 
 
+def test_unlearned_languages_and_gibberish_go(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(10)
+    letters = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    bad = [letters(n) for n in (20, 100, 400)] + [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw. Sa oni obdarzeni rozumem i sumieniem i powinni postepowac wobec innych w duchu braterstwa.",
+    ]
+    clean = spark.read.parquet(f"{SMALL}/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    docs = clean.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(bad)], clean.schema))
+    got = p.language(spark, docs, SMALL)
+    assert got.columns == docs.columns and got.where("doc_id < 0").count() == 0
+    lost = docs.join(got, "doc_id", "left_anti").where("doc_id >= 0")
+    assert lost.where(F.col("text").rlike("[A-Za-z]")).count() == 0 and clean.where("length(text) < 60").count() > 5
+    assert lang_id.learn_least(docs.where("doc_id < 0")) == lang_id.learn_least(docs.limit(0)) == lang_id.LEAST
+
+
 # -- toxicity
 
 def test_gradients_are_those_of_the_loss():

@@ -19,8 +19,9 @@ from tidemark.llm.common import ship, stage, text_slices
 RANKS = 300
 #: Documents per language, as expected, that the profiles are made from.
 SAMPLE = 1500
-#: A document whose score is below this is in none of the languages.
-LEAST = 0.05
+#: A document is in none of the languages if its score is below this share of this quantile of what labelled documents
+#: get that the profiles were not made from, or below LEAST where there are none.
+PART, QUANTILE, LEAST = 0.6, 0.01, 0.05
 
 
 @functools.cache
@@ -138,6 +139,23 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return rows.mapInArrow(_predictions(profiles), f"id {kind}, text string, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
+def learn_least(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by_col: str = "doc_id", sample: int = SAMPLE, ranks: int = RANKS, part: float = PART, quantile: float = QUANTILE) -> float:
+    """The least score of a document in one of the languages, by the labelled rows.
+
+    Profiles of three quarters of these score the others, of which ``sample`` are expected to be read per
+    language; texts without a letter don't count. Quarters and sample are chosen by hashes of ``by_col``.
+    """
+    known = docs.where(docs[lang_col].isNotNull() & docs[text_col].isNotNull())
+    out = F.pmod(F.xxhash64(known[by_col].cast("string"), known[text_col], F.lit("least")), F.lit(4)) == 0
+    profiles = learn_profiles(known.where(~out), text_col, lang_col, by_col, sample, ranks)
+    rest = known.where(out).select(known[lang_col].alias("lang"), known[text_col].alias("text"), F.pmod(F.xxhash64(known[by_col].cast("string"), known[text_col], F.lit("rest")), F.lit(1 << 20)).alias("h"))
+    share = rest.groupBy("lang").agg(F.least(F.lit(1 << 20), F.ceil(F.lit(sample * (1 << 20)) / F.count(F.lit(1)))).alias("upto"))
+    taken = rest.where(F.col("lang").isin([lang for lang, *_ in profiles.of])).join(F.broadcast(share), "lang").where("h < upto").select("lang", "text")
+    scored = taken.mapInArrow(_predictions(profiles), "lang string, text string, lang_pred string, score double").where("lang_pred != 'und'")
+    low = scored.agg(F.percentile("score", F.lit(quantile))).first()[0]
+    return LEAST if low is None else max(LEAST, part * low)
+
+
 def _known(profiles: Profiles, column: str, least: float):
     def run(batches):
         for batch in batches:
