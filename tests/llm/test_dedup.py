@@ -10,7 +10,7 @@ import pytest
 
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.ngram_join import similar_components
-from tidemark.llm.suffix_dedup import multikey_order, remove_repeats
+from tidemark.llm.suffix_dedup import multikey_quicksort, remove_repeats
 
 SCHEMA = "doc_id long, text string, source string, id string, dig string, fp string"
 
@@ -74,14 +74,43 @@ def test_suffix_dedup_counts_repeated_rows_and_takes_nothing(spark):
     assert remove_repeats(table(spark, ["a"]).limit(0)).count() == 0
 
 
-def test_multikey_order_sorts_by_all_tokens():
+def passages(texts, ids, n):
+    """Ids of the documents that share a string of n words with another one."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    holders = collections.defaultdict(set)
+    for i, t in zip(ids, texts, strict=True):
+        w = word.findall(t or "")
+        for k in range(len(w) - n + 1):
+            holders[tuple(w[k : k + n])].add((i, t))
+    return {i for who in holders.values() if len(who) > 1 for i, _ in who}
+
+
+@pytest.mark.parametrize(("words", "gram", "kinds"), [(10, 3, 40), (12, 2, 3), (50, 8, 400)])
+def test_shared_passages_of_words(spark, words, gram, kinds):
+    r = random.Random(words)
+    some = lambda n: [f"w{r.randrange(kinds)}" for _ in range(n)]
+    shared = [some(words + r.randrange(-1, 4)) for _ in range(5)]
+    texts = [None, "", "x " * 3 * words, "  ", " ".join(some(words))]
+    texts += [" ".join(some(r.randrange(2 * words)) + (r.choice(shared) if r.random() < 0.4 else []) + some(r.randrange(3 * words))) for _ in range(60)]
+    twice = some(words + 2)
+    texts += [" ".join(twice + some(5) + twice), texts[7], texts[7] + " z", *[" ".join(some(9) + shared[0] + some(9)) for _ in range(30)]]
+    ids = [*range(len(texts)), 500, 500]
+    texts += [" ".join(some(3 * words))] * 2
+    got = {x["doc_id"] for x in remove_repeats(table(spark, texts, ids), words=words, word_gram=gram).where("shares_passage = 1").collect()}
+    assert got == passages(texts, ids, words)
+    if kinds > 3:
+        assert 500 not in got and ids[65] not in got
+
+
+def test_multikey_quicksort_sorts_by_all_tokens():
     import numpy as np
 
     r = np.random.default_rng(3)
-    tokens = [r.integers(0, k, 500) for k in (3, 2, 4, 50)]
-    order = multikey_order(tokens)
-    rows = list(zip(*(t[order].tolist() for t in tokens), strict=True))
-    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(500))
+    for kinds in ((3, 2, 4, 50), (1, 1, 1), (10**6, 2)):
+        tokens = [r.integers(-k, k, 3000) for k in kinds]
+        order = multikey_quicksort(tokens)
+        rows = list(zip(*(t[order].tolist() for t in tokens), strict=True))
+        assert rows == sorted(rows) and sorted(order.tolist()) == list(range(3000))
 
 
 def links(texts, n, t):

@@ -15,6 +15,10 @@ the corpus, so suffixes that cannot have a partner are ruled out first, exactly:
    tokens (splitters are sampled), sorted there by multikey quicksort, and compared with their neighbours,
    also across partition boundaries. A suffix carries its leading 8-byte tokens and a
    128-bit digest of its first ``length`` bytes as last tokens.
+
+Beside these bytes, the same steps tell which documents share a passage of ``words`` words with another one,
+however short its words are. There the tokens are words, and steps 1 and 2 (a run that stands in two documents
+settles both of them) leave only the documents that no whole run connects to be judged by their suffixes.
 """
 
 from __future__ import annotations
@@ -27,11 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, prefix_hash, ship, slices, span_hash, stage
+from tidemark.llm.common import discard, prefix_hash, ship, slices, span_hash, stage, text_slices, word_spans
 
 LENGTH, GRAM, STEP = 400, 100, 16
+#: Words of a passage that documents share, and of the grams that anchor it.
+WORDS, WORD_GRAM = 50, 8
 POSITION = np.uint64((1 << 24) - 1)
 BLOCK = 8 << 20
+#: Suffixes that one task sorts, about.
+RANGE = 500_000
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -45,8 +53,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(onward[: n - w + 1], upto[w - 1 : n])
 
 
-def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(row, first window, last window, hash and place of the anchor) of the runs; places are positions in ``raw``."""
+def runs_of(prefix, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """(row, first window, last window, hash and place of the anchor, hash of the whole) of the runs.
+
+    Rows are parted by ``offsets``; ``prefix(a, b)`` gives the prefix hashes of their units (bytes or words) from a to b.
+    """
     spans = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         spans += [(a + i, min(a + i + BLOCK + length - 1, b)) for i in range(0, b - a - length + 1, BLOCK)]
@@ -57,7 +68,7 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         while j < len(spans) and spans[j][1] - spans[i][0] < BLOCK:
             j += 1
         low, high = spans[i][0], spans[j - 1][1]
-        h = prefix_hash(raw[low:high])
+        h = prefix(low, high)
         at = np.arange(high - low - gram + 1)
         grams = span_hash(h, at, at + gram)
         best = sliding_min((grams & ~POSITION) | at.astype(np.uint64), length - gram + 1)
@@ -66,22 +77,38 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
         cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(windows) != 1))
         first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(windows) - 1]])
         start = windows[first] + low
-        out.append((np.searchsorted(offsets, start, "right") - 1, start, windows[last] + low, grams[anchor[first]].view(np.int64), anchor[first] + low))
+        whole = span_hash(h, windows[first], windows[last] + length).view(np.int64)
+        out.append((np.searchsorted(offsets, start, "right") - 1, start, windows[last] + low, grams[anchor[first]].view(np.int64), anchor[first] + low, whole))
         i = j
-    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+
 
+def word_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each row's begin."""
+    starts, ends, counts = word_spans(raw, offsets)
+    return span_hash(prefix_hash(raw), starts, ends), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _runs(length: int, gram: int, words: int, word_gram: int):
+    """Rows (id, dig, text) to runs of bytes, which have a digest as ``whole``, and runs of words, which have none."""
 
-def _runs(length: int, gram: int):
     def run(batches):
         for rows, raw, offsets in slices(batches, "text"):
-            row, first, last, anchor, at = runs_of(raw, offsets, length, gram)
             data = raw.tobytes()
-            whole = [xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-            base = offsets[row]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(anchor), pa.array(whole, pa.binary()), pa.array(at - base), pa.array(first - base), pa.array(last - base)],
-                names=["id", "dig", "anchor", "whole", "at", "first", "last"],
-            )
+            tokens, at_word = word_tokens(raw, offsets)
+            for of_words in (False, True):
+                edges = at_word if of_words else offsets
+                if of_words:
+                    row, first, last, anchor, at, mark = runs_of(lambda a, b: prefix_hash(tokens[a:b]), edges, words, word_gram)  # noqa: B023
+                    whole = pa.nulls(len(row), pa.binary())
+                else:
+                    row, first, last, anchor, at, mark = runs_of(lambda a, b: prefix_hash(raw[a:b]), edges, length, gram)  # noqa: B023
+                    whole = pa.array([xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
+                base = edges[row]
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)), pa.array(anchor), whole, pa.array(mark), pa.array(at - base), pa.array(first - base), pa.array(last - base)],
+                    names=["id", "dig", "anchor", "whole", "mark", "at", "first", "last"],
+                )
 
     return run
 
@@ -140,36 +167,66 @@ def _suffixes(length: int):
     return run
 
 
-def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """Order of rows by their tokens: sort by the first, then each stretch of equals by the next."""
-    order = np.argsort(tokens[0], kind="stable")
-    tied = np.ones(len(order), bool)
-    groups = np.zeros(len(order), np.int64)
-    for depth in range(1, len(tokens)):
-        before = tokens[depth - 1][order]
-        groups = np.cumsum(np.concatenate([[True], (np.diff(before) != 0) | (np.diff(groups) != 0)])) if len(order) else groups
-        size = np.bincount(groups)[groups] if len(order) else groups
-        tied = np.flatnonzero(size > 1)
-        if not len(tied):
-            break
-        order[tied] = order[tied][np.lexsort((tokens[depth][order[tied]], groups[tied]))]
+def _word_suffixes(words: int):
+    """Rows (id, dig, text, runs) to suffixes of words: two leading tokens, and two of a digest of the passage."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, raw, offsets in text_slices(batch, "text"):
+                tokens, at_word = word_tokens(raw, offsets)
+                for k, runs in enumerate(rows.column(3).to_pylist()):
+                    at = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs]))
+                    own = tokens[at_word[k] : at_word[k + 1]]
+                    digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(own[a : a + words].tobytes()) for a in at.tolist()), ">i8").astype(np.int64).reshape(-1, 2)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([rows.column(c)[k].as_py()] * n, rows.column(c).type) for c in (0, 1)]
+                        + [pa.array(t) for t in (own[at].view(np.int64), own[at + 1].view(np.int64), digest[:, 0].copy(), digest[:, 1].copy())],
+                        names=["id", "dig", "t0", "t1", "t2", "t3"],
+                    )
+
+    return run
+
+
+def multikey_quicksort(tokens: list[np.ndarray], few: int = 24) -> np.ndarray:
+    """Order of rows by their tokens: parted three ways by a pivot's token, the equal part going on with the next one."""
+    order = np.arange(len(tokens[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        if b - a < 2 or depth == len(tokens):
+            continue
+        part = order[a:b]
+        if b - a <= few:
+            order[a:b] = part[np.lexsort([t[part] for t in reversed(tokens[depth:])])]
+            continue
+        token = tokens[depth][part]
+        pivot = np.sort(token[[0, len(token) // 4, len(token) // 2, 3 * len(token) // 4, -1]])[2]
+        less, equal = token < pivot, token == pivot
+        low, mid = a + int(less.sum()), a + int(less.sum() + equal.sum())
+        order[a:b] = np.concatenate([part[less], part[equal], part[~(less | equal)]])
+        todo += [(a, low, depth), (low, mid, depth + 1), (mid, b, depth)]
     return order
 
 
+TOKENS = ["t0", "t1", "t2", "t3"]
+
+
 def _neighbours(batches):
-    """Sort a range and compare neighbours: matched rows; and the first and last suffixes, for the boundaries."""
+    """Sort a range and compare neighbours: rows whose like is another's (``who``), and the first and last one for the boundaries."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     table = pa.Table.from_batches(held).combine_chunks()
-    tokens = [table.column(f"t{i}").to_numpy() for i in range(4)]
-    order = multikey_order(tokens)
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for t in tokens:
-        same &= np.diff(t[order]) == 0
-    matched = np.zeros(len(order), bool)
-    matched[1:] |= same
-    matched[:-1] |= same
+    order = multikey_quicksort([table.column(t).to_numpy() for t in [*TOKENS, "who"]])
+    cut = np.zeros(len(order), bool)
+    cut[0] = True
+    for t in TOKENS:
+        cut[1:] |= np.diff(table.column(t).to_numpy()[order]) != 0
+    start = np.flatnonzero(cut)
+    # Within a stretch of equals rows stand in order of ``who``.
+    who = table.column("who").to_numpy()[order]
+    matched = (who[start] != who[np.append(start[1:], len(order)) - 1])[np.cumsum(cut) - 1]
     edge = np.zeros(len(order), bool)
     edge[[0, -1]] = True
     single = table.column("single").to_numpy(zero_copy_only=False)[order]
@@ -178,6 +235,20 @@ def _neighbours(batches):
     yield from out.to_batches(max_chunksize=50_000)
 
 
+def matching(suffixes: DataFrame) -> DataFrame:
+    """The ``single`` ones of the suffixes (t0, t1, t2, t3, who, single, ...) that equal one of another ``who``."""
+    n = suffixes.count()
+    parts = max(int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE))
+    # Equal suffixes may be many: who they are breaks ties, so they spread over partitions and meet at the boundaries.
+    dealt = suffixes.repartitionByRange(parts, *TOKENS, "who")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in suffixes.schema)
+    compared = stage(dealt.mapInArrow(_neighbours, f"{kinds}, matched boolean, edge boolean"), "compared")
+    across = compared.where("edge").groupBy(*TOKENS).agg(F.min("who").alias("a"), F.max("who").alias("b")).where("a != b").select(*TOKENS)
+    # The edges are two rows a partition; a lone edge matches when another partition ends or starts with it.
+    met = compared.where("edge and single and not matched").join(across, TOKENS, "left_semi")
+    return compared.where("matched and single").unionByName(met)
+
+
 def _cut(batches):
     schema = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))])
     for batch in batches:
@@ -197,13 +268,45 @@ def _cut(batches):
                     at = b
                 kept.update(text[at:])
                 out.append((len(text), sum(b - a for a, b in merged), len(merged), kept.hexdigest(), merged))
-            yield pa.RecordBatch.from_arrays([rows.column(0)] + [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], names=["id", *schema.names])
+            yield pa.RecordBatch.from_arrays([rows.column(0)] + [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)] + [rows.column(3)], names=["id", *schema.names, "shares_passage"])
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, dig, spans) of the rows (id, dig, text) that hold repeated strings; spans are [a, b) and may overlap."""
+def with_texts(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(id, dig, text, runs) of the documents (id, dig) that have any."""
+    return docs.alias("d").join(runs.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", F.col("d.text").cast("binary").alias("text"), "w.runs")
+
+
+def sharing(docs: DataFrame, runs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, dig) of the rows (id, dig, text), whose runs of words are given, that share a passage of ``words`` words with another document.
+
+    Rows that repeat an id and a text are one document.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    runs = runs.withColumn("who", F.xxhash64("id", "dig"))
+    two = [F.min("who").alias("a"), F.max("who").alias("b")]
+    twice = stage(runs.groupBy("anchor").agg(*two).where("a != b").select("anchor"), "word-twice")
+    likely = stage(runs.join(twice, "anchor", "left_semi"), "word-likely")
+    whole = stage(likely.groupBy("anchor", "mark").agg(*two).where("a != b").select("anchor", "mark"), "word-whole")
+    sure = stage(likely.join(whole, ["anchor", "mark"], "left_semi").select("id", "dig", "who").distinct(), "word-sure")
+    # What other documents still need: their own runs, and one of each class of runs that have an anchor of theirs.
+    left = likely.join(sure.select("who"), "who", "left_anti")
+    anchors = stage(left.select("anchor").distinct(), "word-anchors")
+    reps = likely.join(anchors, "anchor", "left_semi").groupBy("anchor", "mark").agg(F.min(F.struct("id", "dig", "first", "last")).alias("r"))
+    wanted = reps.groupBy("r.id", "r.dig").agg(F.collect_list(F.struct("r.first", "r.last")).alias("runs"))
+    suffixes = with_texts(docs, wanted).mapInArrow(_word_suffixes(words), f"id {kind}, dig long, t0 long, t1 long, t2 long, t3 long")
+    suffixes = stage(suffixes.withColumns({"who": F.xxhash64("id", "dig"), "single": F.lit(True)}), "word-suffixes")
+    found = matching(suffixes)
+    out = stage(sure.select("id", "dig").unionByName(found.select("id", "dig")).distinct(), "sharing")
+    discard(twice, likely, whole, sure, anchors, suffixes)
+    return out
+
+
+def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, dig, spans) of the rows (id, dig, text) that hold repeated strings; spans are [a, b) and may overlap.
+
+    ``runs`` are theirs of bytes; their files are deleted once those that may repeat are found.
+    """
     kind = docs.schema["id"].dataType.simpleString()
-    runs = stage(docs.mapInArrow(_runs(length, gram), f"id {kind}, dig long, anchor long, whole binary, at long, first long, last long"), "runs")
     # Key tables are written first: both sides of the joins are then plain tables, and hot keys can be split.
     twice = stage(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "twice")
     likely = stage(runs.join(twice, "anchor", "left_semi"), "likely")
@@ -220,7 +323,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         classes.join(mixed, "anchor", "left_semi").select("rep.*", "anchor", "n")
         .groupBy("id", "dig").agg(F.collect_list(F.struct("anchor", "at", "first", "last", "n")).alias("runs"))
     )
-    texts = stage(docs.alias("d").join(wanted.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", F.col("d.text").cast("binary").alias("text"), "w.runs"), "texts")
+    texts = stage(with_texts(docs, wanted), "texts")
     discard(classes)
     block = ["anchor", "off", "inner"]
     blocks = stage(texts.mapInArrow(_blocks(length, STEP), f"id {kind}, dig long, anchor long, off long, inner binary, outer binary, first long, last long, single boolean"), "blocks")
@@ -236,34 +339,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         rest.join(open_, block, "left_semi")
         .groupBy("id", "dig").agg(F.collect_list(F.struct("first", "last", "single")).alias("runs"))
     )
-    with_text = texts.alias("d").join(left.alias("w"), F.expr("d.id <=> w.id and d.dig = w.dig")).select("d.id", "d.dig", "d.text", "w.runs")
-    suffixes = stage(with_text.mapInArrow(_suffixes(length), f"id {kind}, dig long, t0 long, t1 long, t2 long, t3 long, at long, single boolean"), "suffixes")
+    suffixes = with_texts(texts, left).mapInArrow(_suffixes(length), f"id {kind}, dig long, t0 long, t1 long, t2 long, t3 long, at long, single boolean")
+    suffixes = stage(suffixes.withColumn("who", F.xxhash64("id", "dig", "at")), "suffixes")
     discard(texts, blocks, whole)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = ["t0", "t1", "t2", "t3"]
-    # Equal suffixes may be many: the place breaks ties, so they spread over partitions and meet at the boundaries.
-    dealt = suffixes.repartitionByRange(parts, *tokens, "dig", "at")
-    compared = stage(dealt.mapInArrow(_neighbours, f"{suffixes.schema.simpleString()[7:-1].replace(':', ' ')}, matched boolean, edge boolean"), "compared")
-    across = compared.where("edge").groupBy(*tokens).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # The edges are two rows a partition; a lone edge matches when another partition ends or starts with it.
-    met = compared.where("edge and single and not matched").join(across.select(*tokens), tokens)
-    windows = compared.where("matched and single").select("id", "dig", "at").unionByName(met.select("id", "dig", "at"))
+    windows = matching(suffixes)
     spans = equal.unionByName(covered).unionByName(windows.select("id", "dig", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
     return spans.groupBy("id", "dig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs, as [from, to) in bytes).
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM
+) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (maximal removed runs, as [from, to) in bytes), shares_passage.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere, in any document or the same
-    one, is removed; strings are judged on the input and never cross documents. Null text is empty; texts
-    shorter than ``length`` keep everything; rows that repeat an id and a text are each other's copies; an
+    one, is removed; strings are judged on the input and never cross documents. shares_passage is 1 if ``words``
+    consecutive words (parted by ASCII white space) also stand in another document, else 0; nothing is removed
+    for that alone. Null text is empty; texts shorter than ``length`` keep everything; rows that repeat an id and
+    a text are each other's copies where bytes are removed, and one document where passages are shared; an
     empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("dig"), text.alias("text"))
-    spans = repeated_spans(rows, length, gram)
-    joined = rows.alias("d").join(spans.alias("s"), F.expr("d.id <=> s.id and d.dig = s.dig"), "left").select("d.id", F.col("d.text").cast("binary").alias("text"), "s.spans")
-    return joined.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>").withColumnRenamed("id", id_col)
+    runs = rows.mapInArrow(_runs(length, gram, words, word_gram), f"id {kind}, dig long, anchor long, whole binary, mark long, at long, first long, last long")
+    runs = stage(runs, "runs")
+    shared = sharing(rows, runs.where("whole is null").drop("whole", "at"), words)
+    spans = repeated_spans(rows, runs.where("whole is not null").drop("mark"), length)
+    found = spans.withColumn("shares", F.lit(0)).unionByName(shared.select("id", "dig", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(1).alias("shares")))
+    found = found.groupBy("id", "dig").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("shares").alias("shares"))
+    joined = rows.alias("d").join(found.alias("s"), F.expr("d.id <=> s.id and d.dig = s.dig"), "left").select("d.id", F.col("d.text").cast("binary").alias("text"), "s.spans", F.coalesce("s.shares", F.lit(0)).alias("shares"))
+    return joined.mapInArrow(_cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, shares_passage int").withColumnRenamed("id", id_col)
