@@ -150,6 +150,32 @@ def test_ngram_join(spark, n, t, small, block):
     assert got == links(texts, n, t)
 
 
+def test_ngram_join_tells_shingles_apart_whose_hashes_begin_alike(spark):
+    import numpy as np
+
+    from tidemark.llm.common import shingles
+
+    alike = ["w140 w23 w63", "w42 w117 w76"]
+    a, b = (int(shingles(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]), 3)[0][0]) for x in alike)
+    assert a != b and a >> 24 == b >> 24
+    texts = []
+    for n in (17, 18, 38, 44, 50):
+        words = " ".join(f"x{n}y{i}" for i in range(n))
+        texts += [f"{words} {x}" for x in alike]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_components(table(spark, texts)).collect()}
+    assert got == links(texts, 3, Fraction(9, 10))
+
+
+@pytest.mark.parametrize(("t", "shared"), [(Fraction(3, 5), 7), (Fraction(1, 2), 9)])
+def test_ngram_join_of_strangers_with_a_common_passage(spark, t, shared):
+    r = random.Random(shared)
+    common = " ".join(f"c{i}" for i in range(shared))
+    texts = [common + " " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.randrange(4, 16))) for _ in range(90)]
+    texts += [texts[3] + " z", texts[5] + " z z", common, common + " q", common + " " + "m " * 40]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_components(table(spark, texts), t=t, small=4, block=8).collect()}
+    assert got == links(texts, 3, t)
+
+
 def test_ngram_join_of_null_ids_and_nothing(spark):
     got = similar_components(table(spark, ["a b c d", "a b c d", ""], [None, 4, None])).collect()
     assert sorted((x["doc_id"] or -1, x["component_id"] or -1) for x in got) == [(-1, -1), (-1, 4), (4, 4)]

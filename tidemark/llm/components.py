@@ -22,13 +22,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # Minima are written first: the joins are then between plain tables, and the neighbours of a centre of many can be split.
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stage(large, "large")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = stage(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
         after = stage(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
-        discard(large, edges)
+        discard(large, edges, least, down)
         edges, was, state = after, state, _state(after)
         if was == state:
             break

@@ -7,12 +7,15 @@ counting over all documents, of bounded length), the others in the order of salt
 prefixes don't share up to the smaller of their ends bounds the similarity, too.
 
 Documents with equal sets are one class. In groups of up to ``small`` classes that share a prefix member the
-pairs are listed; a larger group is compared in blocks, whose tasks return a spanning forest of the links
-found, never all pairs.
+pairs are listed. In a larger group every class is first compared to one of them, which joins a cluster of
+near copies in linear work. Groups whose classes are not all connected then are dealt again by two n-grams,
+as linked sets share two of a prefix that is longer by one; where that doesn't part them, classes of like size
+are compared in blocks, whose tasks return a spanning forest of the links found, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -32,6 +35,8 @@ STRETCH = 8 << 20
 ORDERS = 2
 #: A prefix's keys are noted at this many places.
 MARKS = 8
+#: Groups whose classes are in more open groups than this, on average, are not dealt again by two n-grams.
+DENSE = 4
 
 
 def _print(grams: np.ndarray) -> bytes:
@@ -86,9 +91,9 @@ class Orders:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
 
-    def prefix(self, grams: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first members of a set under an order, and their keys, ascending."""
-        size = len(grams) - -(-len(grams) * self.t.numerator // self.t.denominator) + 1
+    def prefix(self, grams: np.ndarray, order: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The first members of a set under an order, ``more`` than two linked sets need to share one, and their keys, ascending."""
+        size = min(len(grams) - -(-len(grams) * self.t.numerator // self.t.denominator) + 1 + more, len(grams))
         key = mix(grams, 20 + order) >> np.uint64(1)
         if len(self.grams):
             some = np.flatnonzero(self.maybe[grams & np.uint64((1 << 22) - 1)])
@@ -139,13 +144,36 @@ def _more_prefixes(orders: Orders):
     def run(batches):
         for batch in batches:
             for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                full = [(f, unpack(g).astype(np.uint64)) for f, g in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+                full = [(f, unpack(g).view(np.uint64)) for f, g in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
                 for o in range(1, ORDERS):
                     yield from _rows(o, full, orders)
 
     return run
 
 
+def _composites(orders: Orders):
+    """Rows (fp, grams, open) to rows as of _rows whose n-gram stands for two: one of ``open`` and another of the longer prefix."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                keys, at, size = [], [], []
+                for k, (g, of) in enumerate(zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)):
+                    grams = unpack(g).view(np.uint64)
+                    first = orders.prefix(grams, 0, 1)[0]
+                    for one in np.array(of, np.int64).view(np.uint64):
+                        other = first[first != one]
+                        keys.append(mix(np.maximum(other, one), 31) ^ mix(np.minimum(other, one), 32))
+                        at.append(np.full(len(other), k))
+                        size.append(np.full(len(other), len(grams)))
+                n = sum(map(len, keys))
+                if n:
+                    keys, at, size = (np.concatenate(x) for x in (keys, at, size))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array(keys.view(np.int64)), rows.column(0).take(pa.array(at)), pa.array(size), pa.nulls(n, pa.binary())], names=["o", "gram", "fp", "n", "marks"])
+
+    return run
+
+
 def _groups(t: Fraction, small: int):
     """Sorted rows of _rows to pairs within small groups (a, b and their sizes), the members of larger ones (a alone), and the rows of single sets as they are."""
     schema = pa.schema([("o", pa.int8()), ("gram", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("marks", pa.binary())])
@@ -200,14 +228,11 @@ def _groups(t: Fraction, small: int):
 
 
 def pack(grams: np.ndarray) -> bytes:
-    """The leading 40 bits of every n-gram: enough to tell those of two documents apart, and less to shuffle."""
-    return np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return grams.astype("<u8").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.int64)
+    return np.frombuffer(data, "<i8")
 
 
 def _sets(n: int):
@@ -322,13 +347,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         discard(groups)
         return left, large
 
+    def named(roots: DataFrame) -> DataFrame:
+        """The result, by the components of classes that links connect."""
+        classes = nodes.groupBy("fp").agg(F.min("id").alias("least")).where("fp is not null").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        of = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+        alone = nodes.where("fp is null").select("id", "n", F.col("id").alias("component"))
+        full = nodes.where("fp is not null").join(of, "fp").select("id", "n", "component")
+        return full.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
     pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
     wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
     sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
-    short = Orders([(g >> 24 if g >= 0 else (g + (1 << 64)) >> 24, c) for g, c in common], t)
-    more, larger = candidates(sets.mapInArrow(_more_prefixes(short), "o tinyint, gram long, fp binary, n long, marks binary"))
+    more, larger = candidates(sets.mapInArrow(_more_prefixes(orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     pairs, large = pairs.unionByName(more), large.unionByName(larger)
     inside = large.select("o", "fp").distinct()
     # A pair counts for an order when it is left there or both are in larger groups there.
@@ -377,15 +409,38 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
     rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     rest = stage(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "rest")
-    links = links.unionByName(likely).unionByName(verified(rest, "rest-links"))
-    # Blocks of a larger group: each class meets those of every block once.
-    sized = first.join(first.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / block).alias("k")), "gram")
+    links = stage(links.unionByName(likely).unionByName(verified(rest, "rest-links")), "pair-links")
+    # Larger groups: every class against the least one of its group, then only groups that this leaves in parts.
+    least = stage(first.groupBy("gram").agg(F.min("fp").alias("a")), "leaders")
+    led = stage(first.join(least, "gram").where("a != fp").select("a", F.col("fp").alias("b")).distinct(), "led")
+    links = stage(links.unionByName(verified(led, "leader-links")), "links")
+    roots = stage(components(links), "roots")
+    member = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = stage(member, "members")
+    parted = stage(member.groupBy("gram").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("gram"), "parted")
+    member = stage(member.join(parted, "gram", "left_semi"), "open-members")
+    if member.isEmpty():
+        return named(roots)
+    per = member.groupBy("fp").agg(F.count(F.lit(1)).alias("k"))
+    dense = member.join(per, "fp").groupBy("gram").agg((F.sum("k") > DENSE * F.count(F.lit(1))).alias("dense"))
+    # Two linked sets share two n-grams only above a half.
+    member = stage(member.join(dense, "gram").withColumn("dense", F.col("dense") | F.lit(2 * t <= 1)), "dense-members")
+    again = member.where("not dense").groupBy("fp").agg(F.collect_list("gram").alias("open")).join(sets, "fp").select("fp", "grams", "open")
+    two = again.mapInArrow(_composites(orders), "o tinyint, gram long, fp binary, n long, marks binary")
+    groups = two.repartition(parts, "o", "gram").sortWithinPartitions("o", "gram").mapInArrow(_groups(t, small), "o tinyint, gram long, a binary, b binary, na long, nb long, marks binary")
+    groups = stage(groups, "two-groups")
+    ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+    near = groups.where("b is not null").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
+    near = stage(near.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "two-pairs")
+    links = links.unionByName(verified(near, "two-links"))
+    wide = stage(member.where("dense").select("gram", "fp").unionByName(groups.where("b is null").select("gram", F.col("a").alias("fp"))).distinct(), "blocked")
+    # Blocks of classes of like size, which linked ones have: each class meets those of every block once.
+    step = F.floor(F.log(F.length("grams") / 8) / math.log(t.denominator / t.numerator) / (1 + 1e-9)) if t < 1 else F.length("grams").cast("long")
+    step = sets.select("fp", step.alias("step"))
+    sized = wide.join(step, "fp").withColumn("step", F.explode(F.sequence(F.col("step") - 1, F.col("step"))))
+    sized = stage(sized, "steps")
+    sized = sized.join(sized.groupBy("gram", "step").agg(F.ceil(F.count(F.lit(1)) / block).alias("k")), ["gram", "step"])
     mine = sized.withColumn("i", F.pmod(F.xxhash64("fp"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    blocks = mine.select("gram", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp").join(sets, "fp")
-    grouped = blocks.groupBy("gram", "i", "j").applyInArrow(_block(t), "u binary, v binary")
-    roots = components(stage(links.unionByName(grouped), "links"))
-    classes = nodes.groupBy("fp").agg(F.min("id").alias("least")).where("fp is not null").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    alone = nodes.where("fp is null").select("id", "n", F.col("id").alias("component"))
-    full = nodes.where("fp is not null").join(named, "fp").select("id", "n", "component")
-    return full.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    blocks = mine.select("gram", "step", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp").join(sets, "fp")
+    grouped = blocks.groupBy("gram", "step", "i", "j").applyInArrow(_block(t), "u binary, v binary")
+    return named(components(stage(links.unionByName(grouped), "links")))
