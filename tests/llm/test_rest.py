@@ -1,12 +1,15 @@
 """The other operators: against brute force, exact round trips and held-out accuracy."""
 
+import collections
 import io
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -237,25 +240,75 @@ def test_toxicity_held_out(spark):
 
 # -- decontamination
 
-def test_block_bounds_lose_no_item():
-    r = random.Random(6)
-    words = [f"w{i}" for i in range(120)]
-    items = [decontam.item(i, " ".join(r.choice(words) for _ in range(r.randrange(4, 40)))) for i in range(60)]
-    index = decontam.Index(items)
-    texts = [" ".join(r.choice(words) for _ in range(r.randrange(300))).encode() for _ in range(30)]
-    hashes, counts = decontam.words_of(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
-    got = {(row, first, k) for row, first, k, _ in index.search(hashes, counts)}
-    want = set()
-    at = 0
-    for row, n in enumerate(counts):
-        for first in range(0, max(n - index.size, 0) + index.stride, index.stride):
-            if first and first + index.size - index.stride >= n or not n:
-                break
-            terms = np.unique(hashes[at + first : at + min(first + index.size, n)])
-            score = index.impact[np.isin(index.terms, terms)].sum(axis=0)
-            want |= {(row, first, int(k)) for k in np.flatnonzero(score >= index.threshold)}
-        at += n
-    assert got == want and got
+def index_of(texts, answers=None):
+    """The index that the tasks build of these items, numbered from 0."""
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string()), pa.array(answers or [None] * len(texts), pa.string())], names=["nr", "text", "answer"])
+    items = [r for b in decontam._items([batch]) for r in b.to_pylist() if r["words"]]
+    df = collections.Counter(w for r in items for w in set(r["words"]))
+    terms = [[{"term": w, "tf": c, "df": df[w]} for w, c in sorted(collections.Counter(r["words"]).items())] for r in items]
+    rows = [(r["nr"], r["words"], r["cut"], r["apart"], t) for r, t in zip(items, terms, strict=True)]
+    return decontam.Index(rows, len(rows), sum(len(r["words"]) for r in items) / max(len(items), 1))
+
+
+@pytest.mark.parametrize(("vocabulary", "items"), [(30, 60), (400, 61), (3000, 300)])
+def test_skipped_blocks_lose_no_item(vocabulary, items):
+    r = random.Random(vocabulary)
+    words = [f"w{i}" for i in range(vocabulary)]
+    some = lambda n: [r.choice(words[: 12 if r.random() < 0.5 else vocabulary]) for _ in range(n)]
+    bench = [some(r.randrange(4, 40)) for _ in range(items)]
+    texts = [some(r.randrange(300)) for _ in range(60)] + [some(30) + r.choice(bench) + some(r.randrange(90)) for _ in range(40)] + [[]]
+    index = index_of([" ".join(t) for t in bench])
+    raw = [" ".join(t).encode() for t in texts]
+    hashes, counts = decontam.words_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    skipped = {}
+    got = {(p, k): s for p, k, s in zip(*(x.tolist() for x in index.search(hashes, counts, skipped)), strict=True)}
+    # Exhaustively, by the formula alone.
+    n, mean = len(bench), sum(map(len, bench)) / len(bench)
+    df = collections.Counter(w for t in bench for w in set(t))
+    weight = lambda t, w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+    flat = [w for t in texts for w in t]
+    _, first, end = index.passages(counts)
+    want = {}
+    for p, (a, b) in enumerate(zip(first.tolist(), end.tolist(), strict=True)):
+        held = set(flat[a:b])
+        for k, t in enumerate(bench):
+            share = sum(weight(t, w) for w in set(t) & held) / sum(weight(t, w) for w in set(t))
+            if share >= index.share[k] + 1e-3:
+                want[p, k] = share
+            elif share < index.share[k] - 1e-3:
+                assert (p, k) not in got
+    assert want.keys() <= got.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+    assert len(want) >= 40
+    if vocabulary > 30:
+        assert skipped["closed"] > skipped["lists"] / 5 and skipped["scored"] < skipped["refined"] < skipped["bounded"] < skipped["all"]
+
+
+def test_parts_of_the_benchmark_and_ids_of_any_type(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    bench = [((k, f"i{k}"), text(r.randrange(8, 30))) for k in range(40)] + [(None, text(12))]
+    bench += [((99, "same"), bench[0][1])]
+    texts = [text(30) + " " + bench[k][1] + " " + text(40) for k in (0, 5, 17, 40)] + [text(90), bench[5][1]] + [None]
+    ids = [1, 2, 3, None, 5, 2, 7]
+    b = spark.createDataFrame(bench, "item_id struct<a: int, b: string>, text string")
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(2)
+    want = sorted(map(str, [(1, (0, "i0")), (1, (99, "same")), (2, (5, "i5")), (2, (5, "i5")), (3, (17, "i17")), (None, None)]))
+    for shard_bytes, most in ((1 << 20, 1 << 20), (2000, 5000), (500, 1)):
+        got = decontam.find_leaks(docs, b, shard_bytes=shard_bytes, most=most).collect()
+        assert sorted(str((x["doc_id"], x["item_id"] and tuple(x["item_id"]))) for x in got) == want
+        assert decontam.drop_leaks(docs, b, shard_bytes=shard_bytes, most=most).count() == 2
+
+
+def test_leaks_in_very_long_and_repeated_documents(spark):
+    r = random.Random(12)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    item = text(20)
+    long = text(400_000)
+    texts = [f"{long} {item} {long} {item}", item, item, f"{item} x {item}"]
+    docs = spark.createDataFrame(list(zip([1, 2, 2, 3], texts, strict=True)), "doc_id long, text string")
+    got = decontam.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((x["doc_id"], x["first_word"] > 0) for x in got) == [(1, True), (2, False), (2, False), (3, False)]
+    assert all((x["score"], x["question_overlap"], x["answer_overlap"]) == (1, 1, 1) for x in got)
 
 
 def test_leaks_of_whole_items_anywhere(spark):
@@ -288,7 +341,7 @@ def test_single_word_changes_at_every_place():
     texts = [[r.choice(words[:12] if n < 20 else words) for _ in range(n)] for n in (9, 9, 10, 12, 14, 19, 24, 29, 34, 40, 47, 60) for _ in range(3)]
     for k, t in enumerate(texts[:18]):
         t[0] = f"rare{k}"
-    index = decontam.Index([decontam.item(i, " ".join(t)) for i, t in enumerate(texts)])
+    index = index_of([" ".join(t) for t in texts])
     shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
     rows_, want = [], set()
     for i, t in enumerate(texts):
@@ -301,7 +354,7 @@ def test_single_word_changes_at_every_place():
     got = {(row, k) for row, k, *_ in index.leaks(hashes, counts)}
     assert len(want) > 500 and want <= got
     # An item with its own answer keeps the test of both parts.
-    apart = decontam.Index([decontam.item(0, " ".join(texts[-1][:45]), " ".join(texts[-1][45:]))])
+    apart = index_of([" ".join(texts[-1][:45])], [" ".join(texts[-1][45:])])
     raw = " ".join([*texts[-1][:52], "changed", *texts[-1][53:]]).encode()
     hashes, counts = decontam.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert apart.leaks(hashes, counts) == []
