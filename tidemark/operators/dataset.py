@@ -1,54 +1,130 @@
-"""A dataset: events and a catalogue, and the layers derived from them, each a lazy DataFrame."""
+"""A dataset: events and a catalogue, and the tables derived from them, each a lazy DataFrame, or stored and read from files."""
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.functions.core import div
 from tidemark.operators import derive
 
+#: What tables are sorted by within their files, the first of these that they have: windows then skip files and row groups.
+TIMES = ("minute", "m", "run_start", "second", "start", "first_active", "ts")
+
+
+def in_time_order(table: DataFrame) -> DataFrame:
+    """Rows dealt to files by ranges of time, so that a window reads few of them."""
+    order = [c for c in TIMES if c in table.columns][:1]
+    return table.repartitionByRange(*order).sortWithinPartitions(*order, *[c for c in ("platform", "country", "content_id") if c in table.columns]) if order else table
+
 
 class Dataset:
-    def __init__(self, events: DataFrame, content: DataFrame, tolerance: int, strict: bool = True):
-        self.events, self.content, self.tolerance, self.strict = events, content, tolerance, strict
+    """With a ``folder``, every table is written there when it is first asked for and read from there afterwards."""
+
+    def __init__(self, events: DataFrame, content: DataFrame, tolerance: int, strict: bool = True, folder: str | None = None):
+        self.events, self.content, self.tolerance, self.strict, self.folder = events, content, tolerance, strict, folder
+        self._held: dict[str, DataFrame] = {}
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._held:
+            out = make()
+            if self.folder:
+                # The writer's commit is the switch: a table that was not written to its end has no _SUCCESS and is written again.
+                path = f"{self.folder}/{name}"
+                if not exists(out, f"{path}/_SUCCESS"):
+                    in_time_order(out).write.mode("overwrite").parquet(path)
+                out = out.sparkSession.read.schema(out.schema).parquet(path)
+            self._held[name] = out
+        return self._held[name]
 
-    @cached_property
+    @property
     def intervals(self) -> DataFrame:
-        return derive.intervals(self.events, self.content, self.tolerance, self.strict)
+        return self.table("intervals", lambda: derive.intervals(self.events, self.content, self.tolerance, self.strict))
 
-    @cached_property
+    @property
     def session_runs(self) -> DataFrame:
-        return derive.session_runs(self.intervals)
+        return self.table("session_runs", lambda: derive.session_runs(self.intervals))
 
-    @cached_property
+    @property
     def user_runs(self) -> DataFrame:
-        return derive.user_runs(self.session_runs)
+        return self.table("user_runs", lambda: derive.user_runs(self.session_runs))
 
-    @cached_property
+    @property
     def deltas(self) -> DataFrame:
-        return derive.deltas(self.session_runs)
+        return self.table("deltas", lambda: derive.deltas(self.session_runs))
 
-    @cached_property
+    @property
     def user_deltas(self) -> DataFrame:
-        return derive.deltas(self.user_runs)
+        return self.table("user_deltas", lambda: derive.deltas(self.user_runs))
 
-    @cached_property
+    @property
     def boundaries(self) -> DataFrame:
-        return derive.boundary_deltas(self.intervals)
+        return self.table("boundaries", lambda: derive.boundary_deltas(self.intervals))
 
-    @cached_property
+    @property
     def naive(self) -> DataFrame:
-        return derive.naive_runs(self.events, self.content, self.tolerance)
+        return self.table("naive", lambda: derive.naive_runs(self.events, self.content, self.tolerance))
 
-    def written(self, folder: str) -> Dataset:
-        """The same dataset with its layers stored as Parquet, sorted by dimensions, and read from there."""
-        out = Dataset(self.events, self.content, self.tolerance, self.strict)
+    def stored(self, folder: str) -> Dataset:
+        """The same dataset with its tables kept under ``folder``; events are stored by session, so that derivation finds them together."""
+        return Dataset(self.events, self.content, self.tolerance, self.strict, folder)
+
+    def derive_all(self) -> dict[str, int]:
+        """Write all layers of a stored dataset; what must hold afterwards, each 0 (raises where one isn't)."""
         for name in ("intervals", "session_runs", "user_runs", "deltas", "user_deltas", "boundaries"):
-            layer: DataFrame = getattr(self, name)
-            order = [c for c in ("platform", "country", "content_id") if c in layer.columns]
-            layer.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
-            stored = layer.sparkSession.read.schema(layer.schema).parquet(f"{folder}/{name}")
-            # A layer that is read from its files also feeds those that come after it.
-            self.__dict__[name] = out.__dict__[name] = stored
-        return out
+            getattr(self, name)
+        bad = {r["check"]: r["bad"] for r in conditions(self).collect()}
+        if any(bad.values()):
+            raise ValueError(f"derived layers contradict themselves: {bad}")
+        return bad
+
+
+def exists(of: DataFrame, path: str) -> bool:
+    spark = of.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def conditions(ds: Dataset) -> DataFrame:
+    """What derived layers must keep to: rows (check, bad), of which every ``bad`` is 0."""
+    one = lambda name, df, bad: df.agg(F.coalesce(bad, F.lit(0)).cast("long").alias("bad")).select(F.lit(name).alias("check"), "bad")
+    ends = ds.events.where("event_type = 'VideoSessionEnd'").groupBy("sid").agg(div(F.max("ts"), 1000).alias("last"))
+    out = one("intervals_past_the_last_end", ds.intervals.join(ends, "sid"), F.count_if(F.col("end") > F.col("last")))
+    for part in (
+        one("intervals_longer_than_the_tolerance", ds.intervals, F.count_if(F.col("end") - F.col("start") > ds.tolerance)),
+        one("session_deltas_close", ds.deltas, F.abs(F.sum("delta"))), one("user_deltas_close", ds.user_deltas, F.abs(F.sum("delta"))), one("boundaries_close", ds.boundaries, F.abs(F.sum("delta"))),
+        one("runs_end_before_they_start", ds.session_runs, F.count_if(F.col("run_end") < F.col("run_start"))),
+        one("minutes_of_runs_and_deltas_differ", ds.session_runs.select((F.col("run_end") + 1 - F.col("run_start")).alias("n")).unionByName(ds.deltas.select((F.col("minute") * F.col("delta")).alias("n"))), F.abs(F.sum("n"))),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+def kept(f):
+    """A function of a dataset alone, whose result a stored dataset keeps."""
+
+    @wraps(f)
+    def table(ds: Dataset) -> DataFrame:
+        return ds.table(f.__name__, lambda: f(ds))
+
+    return table
+
+
+#: A window that holds all of time, in seconds; 0 stands for never.
+EVER = (60, 1 << 33)
+
+
+def kept_by_minute(f):
+    """A function of a dataset and a window [from, to) of seconds, with rows of whole minutes ``m``; a stored dataset keeps it for all of time."""
+
+    @wraps(f)
+    def table(ds: Dataset, start: int, end: int) -> DataFrame:
+        if not ds.folder:
+            return f(ds, start, end)
+        m: Column = F.col("m")
+        return ds.table(f.__name__, lambda: f(ds, *EVER)).where((m >= start // 60) & (m < end // 60))
+
+    return table

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import carried, div, first_by, moment, moment_ms, netted, quantile_exact
-from tidemark.operators.dataset import Dataset
+from tidemark.operators.dataset import Dataset, kept, kept_by_minute
 from tidemark.operators.derive import catalogue_once
 from tidemark.vocabulary import FINAL_AFTER, INSIGHT_DIMS, LATE_AFTER, PAUSES, RESUMES
 
@@ -22,6 +22,7 @@ def _flag(c: Column) -> Column:
     return F.coalesce(c.cast("int"), F.lit(0))
 
 
+@kept
 def session_facts(ds: Dataset) -> DataFrame:
     """One row per session. Times are milliseconds (first and last activity: seconds), 0 for never."""
     kind, beat = F.col("event_type"), F.col("event")
@@ -71,6 +72,7 @@ def state_of() -> Column:
     )
 
 
+@kept
 def state_transitions(ds: Dataset) -> DataFrame:
     """Edges between states per session and playback instance (a new one after every end), with the seconds spent before each.
 
@@ -103,6 +105,7 @@ def state_transitions(ds: Dataset) -> DataFrame:
 MEASURES = ("concurrent_sessions", "concurrent_users", "session_starts", "first_plays", "session_ends", "foreground_entries", "background_entries", "video_errors")
 
 
+@kept_by_minute
 def minute_snapshot(ds: Dataset, start: int, end: int) -> DataFrame:
     """Eight measures per minute and dimensions over [start, end): every source's rows side by side, summed once."""
     low, high = start // 60, end // 60
@@ -131,6 +134,7 @@ def minute_snapshot(ds: Dataset, start: int, end: int) -> DataFrame:
     return by.join(titles, "content_id", "left").select("m", "content_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("category", F.lit("")).alias("category"), "video_type", "platform", "country", "app_version", *MEASURES)
 
 
+@kept_by_minute
 def entry_cohorts(ds: Dataset, start: int, end: int) -> DataFrame:
     """Sessions by the minute in which they were first active, and how many still were after some minutes."""
     inside = session_facts(ds).where((F.col("first_active") > 0) & (F.col("first_active") >= start) & (F.col("first_active") < end))
@@ -152,6 +156,7 @@ def _journey(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
     return seq.withColumn("gap_seconds", gap).withColumn("overlap_seconds", overlap).where(f"from_{columns[0]} != {columns[0]}")
 
 
+@kept
 def content_transitions(ds: Dataset) -> DataFrame:
     """A user's moves from one content to another within ten minutes, or side by side."""
     seq = _journey(session_facts(ds), ["user_id"], ["content_id", "title", "category", "video_type", "platform"]).where((F.col("gap_seconds") <= SWITCH_GAP) | (F.col("overlap_seconds") > 0))
@@ -160,11 +165,12 @@ def content_transitions(ds: Dataset) -> DataFrame:
         .when(F.col("from_background_count") > 0, "switch_after_background").otherwise("direct_switch")
     )
     return seq.select(
-        "user_id", "from_content_id", "from_title", "from_platform", F.col("content_id").alias("to_content_id"), F.col("title").alias("to_title"), F.col("platform").alias("to_platform"),
+        "user_id", "from_content_id", "from_title", "from_platform", F.col("content_id").alias("to_content_id"), F.col("title").alias("to_title"), F.col("platform").alias("to_platform"), F.col("video_type").alias("to_video_type"),
         F.col("from_sid").alias("from_session_id"), F.col("sid").alias("to_session_id"), F.col("first_active").alias("moved_at"), "gap_seconds", "overlap_seconds", kind.alias("transition_type"),
     )
 
 
+@kept
 def platform_transitions(ds: Dataset) -> DataFrame:
     """A user's moves between devices with the same content."""
     seq = _journey(session_facts(ds), ["user_id", "content_id"], ["platform"])
@@ -175,6 +181,7 @@ def platform_transitions(ds: Dataset) -> DataFrame:
     )
 
 
+@kept_by_minute
 def playback_health(ds: Dataset, start: int, end: int) -> DataFrame:
     """Active, failing, timed-out and abandoned sessions per minute and dimensions, with rates."""
     low, high = start // 60, end // 60

@@ -76,6 +76,7 @@ def peak_average_exact(boundaries: DataFrame, start: int, end: int, filters: Fil
         F.round(F.sum(held) / (end - start), 2).alias("avg_time_weighted"),
         F.coalesce(F.round(F.sum(F.when(live, held)) / F.sum(F.when(live, F.col("next_t") - F.col("t"))), 2), F.lit(0.0)).alias("avg_while_active"),
         F.coalesce(F.sum(F.when(live, F.col("next_t") - F.col("t"))), F.lit(0)).alias("seconds_with_audience"),
+        F.count(F.lit(1)).alias("boundaries_in_window"),
     )
 
 
@@ -161,10 +162,12 @@ def peak_is_not_a_rollup(layer: DataFrame, video_type: str, platform: str) -> Da
     kind = _peaks(layer.where(F.col("video_type") == video_type), []).select(F.col("at").alias("ka"))
     own = _peaks(layer.where(F.col("platform") == platform), []).select(F.col("at").alias("pa"))
     all_ = whole.crossJoin(parts).crossJoin(kind).crossJoin(own)
-    test = lambda name, ok: F.struct(F.lit(name).alias("assertion"), F.when(ok, "PASS").otherwise("FAIL").alias("verdict"))
+    at = lambda c: moment(F.col(c) * 60).cast("string")
+    test = lambda name, a, word, b, ok: F.struct(F.lit(name).alias("assertion"), F.concat(a, F.lit(word), b).alias("observed"), F.when(ok, "PASS").otherwise("FAIL").alias("verdict"))
+    text = lambda c: F.col(c).cast("string")
     return all_.select(F.inline(F.array(
-        test("peak_minute_differs_by_video_type", ~F.col("a").eqNullSafe(F.col("ka"))), test("peak_minute_differs_by_platform", ~F.col("a").eqNullSafe(F.col("pa"))),
-        test("overall_peak_exceeds_max_of_parts", F.col("p") > F.col("most")), test("overall_peak_differs_from_sum_of_parts", F.col("p") != F.col("total")),
+        test("peak_minute_differs_by_video_type", at("a"), " vs ", at("ka"), ~F.col("a").eqNullSafe(F.col("ka"))), test("peak_minute_differs_by_platform", at("a"), " vs ", at("pa"), ~F.col("a").eqNullSafe(F.col("pa"))),
+        test("overall_peak_exceeds_max_of_parts", text("p"), " vs max part ", text("most"), F.col("p") > F.col("most")), test("overall_peak_differs_from_sum_of_parts", text("p"), " vs sum parts ", text("total"), F.col("p") != F.col("total")),
     )))
 
 
@@ -174,15 +177,32 @@ SHAPES: dict[str, dict[str, object]] = {
 }
 
 
+GRAINS = {"minute": 60, "hour": 3600, "day": 86400}
+
+
 def answers(layer: DataFrame, start: int, end: int) -> DataFrame:
-    """Peak and average of six filter shapes at three grains; averages of buckets recombine by their minutes."""
-    out = None
-    for shape, filters in SHAPES.items():
-        for name, grain in (("minute", 60), ("hour", 3600), ("day", 86400)):
-            by = peak_average(layer, start, end, grain, filters)
-            row = by.agg(F.max("peak_concurrency").alias("peak"), F.count(F.lit(1)).alias("buckets"), F.sum("minutes_in_bucket").alias("minutes"), F.sum("minutes_with_audience").alias("minutes_with_audience")).select(F.lit(shape).alias("shape"), F.lit(name).alias("grain"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Peak and averages of six filter shapes at three grains, in one pass; averages of buckets recombine by their minutes."""
+    low, high = start // 60, end // 60
+    fits = F.array_compact(F.array(*[F.when(matching(f), name) for name, f in SHAPES.items()]))
+    changes = layer.where(F.col("minute") < high).select(F.explode(fits).alias("shape"), F.greatest("minute", F.lit(low)).cast("long").alias("t"), F.col("delta").cast("long").alias("d"))
+    seeds = layer.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SHAPES))).alias("shape"), F.lit(low).cast("long").alias("t"), F.lit(0).cast("long").alias("d"))
+    # A window of minutes per shape.
+    order = Window.partitionBy("shape").orderBy("t")
+    steps = changes.unionByName(seeds).groupBy("shape", "t").agg(F.sum("d").alias("d")).select(
+        "shape", "t", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("value"), F.coalesce(F.lead("t").over(order), F.lit(high).cast("long")).alias("next_t")
+    )
+    series = steps.where("t < next_t").select("shape", F.explode(F.sequence("t", F.col("next_t") - 1)).alias("t"), "value")
+    cells = F.array(*[F.struct(F.lit(name).alias("grain"), div(F.col("t") * 60, g).alias("b")) for name, g in GRAINS.items()])
+    active = F.col("value") > 0
+    by = series.select("shape", "t", "value", F.inline(cells)).groupBy("shape", "grain", "b").agg(
+        F.max(F.struct("value", (-F.col("t")).alias("t"))).alias("p"), F.round(F.avg("value"), 2).alias("a"), F.coalesce(F.round(F.avg(F.when(active, F.col("value"))), 2), F.lit(0.0)).alias("aa"), F.count_if(active).alias("w"), F.count(F.lit(1)).alias("n")
+    )
+    whole = by.groupBy("shape", "grain").agg(
+        F.max("p").alias("p"), F.round(F.sum(F.col("a") * F.col("n")) / F.sum("n"), 2).alias("avg_all_minutes"),
+        F.coalesce(F.round(F.sum(F.col("aa") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0)), 2), F.lit(0.0)).alias("avg_active_minutes"),
+        F.sum("w").alias("minutes_with_audience"), F.sum("n").alias("minutes_total"), F.count(F.lit(1)).alias("buckets"),
+    )
+    return whole.select("shape", "grain", F.col("p.value").alias("peak_concurrency"), moment(-F.col("p.t") * 60).alias("peak_minute"), "avg_all_minutes", "avg_active_minutes", "minutes_with_audience", "minutes_total", "buckets")
 
 
 def divergence(ds: Dataset, start: int, end: int) -> DataFrame:

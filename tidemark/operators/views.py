@@ -63,11 +63,17 @@ def spikes(events: DataFrame, start: int, end: int, limit: int = 200) -> DataFra
     return inside.orderBy(F.desc("peak_minute"), F.desc("peak_concurrency"), "content_id").limit(limit)
 
 
-def switching(ds: Dataset, start: int, end: int, limit: int = 200) -> DataFrame:
-    """Moves between titles."""
+def _side(value, *columns: str):
+    """Whether any of the columns is the value; '' and 0 stand for any value."""
+    return F.lit(True) if value in ("", 0, None) else F.greatest(*[F.col(c) == value for c in columns], F.lit(False))
+
+
+def switching(ds: Dataset, start: int, end: int, limit: int = 200, content_id: int = 0, video_type: str = "") -> DataFrame:
+    """Moves between titles, from or to a content, to a video type."""
     kind = F.col("transition_type")
     n, real = F.count(F.lit(1)), F.count_if(kind != "parallel_multi_device")
-    by = i.content_transitions(ds).where((F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_title", "to_title").agg(
+    wanted = _side(content_id, "from_content_id", "to_content_id") & _side(video_type, "to_video_type")
+    by = i.content_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_title", "to_title").agg(
         n.alias("moves"), F.count_distinct("user_id").alias("users"), real.alias("real_switches"), F.count_if(kind == "parallel_multi_device").alias("parallel_viewing"),
         F.count_if(kind == "switch_after_end").alias("after_it_ended"), F.count_if(kind == "switch_after_background").alias("after_backgrounding"), F.count_if(kind == "return_to_previous_content").alias("came_back"),
         _pct(real, n, 1).alias("switch_share_pct"), quantile_exact(F.col("gap_seconds"), 0.5).alias("median_gap_seconds"),
@@ -75,11 +81,12 @@ def switching(ds: Dataset, start: int, end: int, limit: int = 200) -> DataFrame:
     return by.orderBy(F.desc("moves"), "from_title", "to_title").limit(limit)
 
 
-def handoff(ds: Dataset, start: int, end: int, limit: int = 200) -> DataFrame:
-    """Moves between devices."""
+def handoff(ds: Dataset, start: int, end: int, limit: int = 200, platform: str = "", content_id: int = 0) -> DataFrame:
+    """Moves between devices, from or to a platform, with a content."""
     kind = F.col("transition_type")
     n = F.count(F.lit(1))
-    by = i.platform_transitions(ds).where((F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_platform", "to_platform").agg(
+    wanted = _side(platform, "from_platform", "to_platform") & _side(content_id, "content_id")
+    by = i.platform_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_platform", "to_platform").agg(
         n.alias("moves"), F.count_distinct("user_id").alias("users"), F.count_if(kind == "handoff").alias("handoffs"), F.count_if(kind == "parallel_multi_device").alias("parallel_viewing"),
         F.count_if(kind == "return_to_previous_device").alias("came_back"), _pct(F.count_if(kind == "handoff"), n, 1).alias("handoff_share_pct"),
         quantile_exact(F.col("gap_seconds"), 0.5).alias("median_gap_seconds"), F.round(F.avg("overlap_seconds"), 1).alias("avg_overlap_seconds"),

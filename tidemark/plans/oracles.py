@@ -112,10 +112,11 @@ ORACLES["boundary_deltas"] = sql(f"SELECT {DIMS}, {at('t')} AS second, sum(d)::B
 def exact(start: int, end: int, filters: dict) -> str:
     """Overlaps counted at every instant at which one starts or ends."""
     return sql(f"""SELECT max(v) AS peak_concurrency, {at('min(t) FILTER (WHERE v = p)')} AS peak_at, {rnd(f'sum(v * (n - t)) / {end - start}.0', 2)} AS avg_time_weighted,
-coalesce({rnd('sum(v * (n - t)) / nullif(sum(n - t) FILTER (WHERE v > 0), 0)', 2)}, 0) AS avg_while_active, coalesce(sum(n - t) FILTER (WHERE v > 0), 0)::BIGINT AS seconds_with_audience
+coalesce({rnd('sum(v * (n - t)) / nullif(sum(n - t) FILTER (WHERE v > 0), 0)', 2)}, 0) AS avg_while_active, coalesce(sum(n - t) FILTER (WHERE v > 0), 0)::BIGINT AS seconds_with_audience, count(*) AS boundaries_in_window
 FROM (SELECT *, coalesce(lead(t) OVER (ORDER BY t), {end}) AS n, max(v) OVER () AS p FROM ins)""",
-        f"live AS (SELECT s, e FROM iv WHERE e > s AND {where(filters)})",
-        f"pts AS (SELECT DISTINCT t FROM (SELECT {start}::BIGINT AS t UNION ALL SELECT s FROM live UNION ALL SELECT e FROM live) WHERE t >= {start} AND t < {end})",
+        f"live AS (SELECT * FROM iv WHERE e > s AND {where(filters)})",
+        f"ch AS (SELECT t FROM (SELECT {DIMS}, s AS t, 1 AS d FROM live UNION ALL SELECT {DIMS}, e, -1 FROM live) GROUP BY {DIMS}, t HAVING sum(d) <> 0)",
+        f"pts AS (SELECT DISTINCT t FROM (SELECT {start}::BIGINT AS t UNION ALL SELECT t FROM ch) WHERE t >= {start} AND t < {end})",
         "ins AS (SELECT t, (SELECT count(*) FROM live WHERE s <= t AND e > t) AS v FROM pts)")
 
 
@@ -134,14 +135,19 @@ UNION ALL SELECT DISTINCT 'content', sr.content_id::VARCHAR, coalesce(nullif(tit
 ORACLES["title_category_peak"] = sql(grain(3600, 0, keep=""), series(START, END, {}, "(SELECT * FROM mi WHERE content_id IN (SELECT content_id FROM ct WHERE show_name = 'Brand#11'))"))
 _D = "(SELECT count(*) FROM (SELECT 1 FROM (SELECT {0}, run_start AS m, 1 AS d FROM {1} UNION ALL SELECT {0}, run_end + 1, -1 FROM {1}) GROUP BY {0}, m HAVING sum(d) <> 0))"
 ORACLES["ingest_status"] = sql(f"SELECT count(*) AS events, {at_ms('max(ts)')} AS latest_event, {at_ms('min(ts)')} AS earliest_event, (SELECT count(*) FROM sr) AS session_runs, {_D.format(DIMS, 'sr')} AS session_deltas, (SELECT count(*) FROM ur) AS user_runs, {_D.format(DIMS, 'ur')} AS user_deltas FROM ev")
-ORACLES["peak_not_rollup"] = sql("""SELECT assertion, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
-SELECT 'peak_minute_differs_by_video_type' AS assertion, (SELECT arg_max(m, [v, -m]) FROM al) IS DISTINCT FROM (SELECT arg_max(m, [v, -m]) FROM (SELECT m, count(*) AS v FROM mi WHERE video_type = 'live' GROUP BY m)) AS ok
-UNION ALL SELECT 'peak_minute_differs_by_platform', (SELECT arg_max(m, [v, -m]) FROM al) IS DISTINCT FROM (SELECT arg_max(m, [v, -m]) FROM pf WHERE platform = 'Web')
-UNION ALL SELECT 'overall_peak_exceeds_max_of_parts', (SELECT max(v) FROM al) > (SELECT max(v) FROM pf)
-UNION ALL SELECT 'overall_peak_differs_from_sum_of_parts', (SELECT max(v) FROM al) <> (SELECT sum(p) FROM (SELECT max(v) AS p FROM pf GROUP BY platform)))""",
+_AT = {"al": "(SELECT arg_max(m, [v, -m]) FROM al)", "li": "(SELECT arg_max(m, [v, -m]) FROM (SELECT m, count(*) AS v FROM mi WHERE video_type = 'live' GROUP BY m))", "we": "(SELECT arg_max(m, [v, -m]) FROM pf WHERE platform = 'Web')"}
+_MOST, _SUM, _ALL = "(SELECT max(v) FROM pf)", "(SELECT sum(p)::BIGINT FROM (SELECT max(v) AS p FROM pf GROUP BY platform))", "(SELECT max(v) FROM al)"
+_M = lambda m: f"strftime({at(m + ' * 60')}, '%Y-%m-%d %H:%M:%S')"
+ORACLES["peak_not_rollup"] = sql(f"""SELECT assertion, observed, CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM (
+SELECT 'peak_minute_differs_by_video_type' AS assertion, {_M(_AT['al'])} || ' vs ' || {_M(_AT['li'])} AS observed, {_AT['al']} IS DISTINCT FROM {_AT['li']} AS ok
+UNION ALL SELECT 'peak_minute_differs_by_platform', {_M(_AT['al'])} || ' vs ' || {_M(_AT['we'])}, {_AT['al']} IS DISTINCT FROM {_AT['we']}
+UNION ALL SELECT 'overall_peak_exceeds_max_of_parts', {_ALL} || ' vs max part ' || {_MOST}, {_ALL} > {_MOST}
+UNION ALL SELECT 'overall_peak_differs_from_sum_of_parts', {_ALL} || ' vs sum parts ' || {_SUM}, {_ALL} <> {_SUM})""",
     "al AS (SELECT m, count(*) AS v FROM mi GROUP BY m)", "pf AS (SELECT platform, m, count(*) AS v FROM mi GROUP BY platform, m)")
-_CELL = "SELECT '{0}' AS shape, '{1}' AS grain, max(v)::BIGINT AS peak, count(DISTINCT t * 60 // {2})::BIGINT AS buckets, count(*)::BIGINT AS minutes, (count(*) FILTER (WHERE v > 0))::BIGINT AS minutes_with_audience FROM (SELECT t, coalesce(v, 0) AS v FROM (SELECT unnest(range({3}, {4})) AS t) LEFT JOIN (SELECT m AS t, count(*) AS v FROM mi WHERE {5} GROUP BY m) USING (t))"
-ORACLES["answers_matrix"] = sql(" UNION ALL ".join(_CELL.format(s, g, n, START // 60, END // 60, where(f)) for s, f in SHAPES.items() for g, n in (("minute", 60), ("hour", 3600), ("day", 86400))))
+_CELL = """SELECT '{0}' AS shape, '{1}' AS grain, max(p)::BIGINT AS peak_concurrency, {6} AS peak_minute, {7} AS avg_all_minutes, coalesce({8}, 0) AS avg_active_minutes, sum(w)::BIGINT AS minutes_with_audience, sum(n)::BIGINT AS minutes_total, count(*)::BIGINT AS buckets
+FROM (SELECT max(v) AS p, arg_max(t, [v, -t]) AS pt, {9} AS a, coalesce({10}, 0) AS aa, count(*) FILTER (WHERE v > 0) AS w, count(*) AS n FROM (SELECT t, coalesce(v, 0) AS v FROM (SELECT unnest(range({3}, {4})) AS t) LEFT JOIN (SELECT m AS t, count(*) AS v FROM mi WHERE {5} GROUP BY m) USING (t)) GROUP BY t * 60 // {2})"""
+_OF = at("arg_max(pt, [p, -pt]) * 60"), rnd("sum(a * n) / sum(n)", 2), rnd("sum(aa * w) / nullif(sum(w), 0)", 2), rnd("avg(v)", 2), rnd("avg(v) FILTER (WHERE v > 0)", 2)
+ORACLES["answers_matrix"] = sql(" UNION ALL ".join(_CELL.format(s, g, n, START // 60, END // 60, where(f), *_OF) for s, f in SHAPES.items() for g, n in (("minute", 60), ("hour", 3600), ("day", 86400))))
 ORACLES["ist_rebucket"] = sql(f"SELECT {at('(t * 60 + 19800) // 86400 * 86400 - 19800')} AS bucket, max(v) AS concurrency FROM se GROUP BY ALL", series(START, END, {}))
 ORACLES["session_user_divergence"] = sql(f"SELECT {rnd('100.0 * (sp - up) / greatest(up, 1)', 2)} AS peak_gap_pct, {rnd('sp::DOUBLE / greatest(up, 1)', 4)} AS peak_multiplier, {rnd('s::DOUBLE / greatest(u, 1)', 4)} AS reach_multiplier FROM (SELECT max(v) AS sp FROM se), (SELECT max(v) AS up FROM (SELECT count(*) AS v FROM um WHERE m >= {START // 60} AND m < {END // 60} GROUP BY m)), (SELECT count(DISTINCT sid) AS s, count(DISTINCT user_id) AS u FROM mi WHERE m >= {START // 60} AND m < {END // 60})", series(START, END, {}))
 
@@ -191,7 +197,7 @@ FROM fa WHERE first_active >= {LOW} AND first_active < {HIGH} GROUP BY first_act
 ORACLES["retention"] = sql(f"SELECT {at('first_active // 60 * 60')} AS cohort_minute, count(*) AS entered_sessions, {', '.join(f"{rnd(f'100.0 * sum(active_after_{k}m) / count(*)', 2)} AS retention_{k}m_pct" for k in _R)} FROM fa WHERE first_active >= {LOW} AND first_active < {HIGH} GROUP BY first_active // 60", FACTS)
 CONTENT_MOVES = """sq AS (SELECT *, lag(sid) OVER w AS from_sid, lag(content_id) OVER w AS from_content_id, lag(title) OVER w AS from_title, lag(platform) OVER w AS from_platform, lag(last_active) OVER w AS pla, lag(session_end) OVER w AS pse, lag(background_count) OVER w AS pbc, lag(content_id, 2) OVER w AS p2
 FROM fa WHERE first_active > 0 WINDOW w AS (PARTITION BY user_id ORDER BY first_active, sid)),
-cm AS (SELECT user_id, from_content_id, from_title, from_platform, content_id AS to_content_id, title AS to_title, platform AS to_platform, from_sid AS from_session_id, sid AS to_session_id, first_active AS moved_at, first_active - pla AS gap_seconds, greatest(0, least(pla, last_active) - first_active) AS overlap_seconds,
+cm AS (SELECT user_id, from_content_id, from_title, from_platform, content_id AS to_content_id, title AS to_title, platform AS to_platform, video_type AS to_video_type, from_sid AS from_session_id, sid AS to_session_id, first_active AS moved_at, first_active - pla AS gap_seconds, greatest(0, least(pla, last_active) - first_active) AS overlap_seconds,
 CASE WHEN least(pla, last_active) > first_active THEN 'parallel_multi_device' WHEN p2 = content_id THEN 'return_to_previous_content' WHEN pse > 0 THEN 'switch_after_end' WHEN pbc > 0 THEN 'switch_after_background' ELSE 'direct_switch' END AS transition_type
 FROM sq WHERE from_sid IS NOT NULL AND from_content_id <> content_id AND (first_active - pla <= 600 OR least(pla, last_active) > first_active))"""
 PLATFORM_MOVES = """sq AS (SELECT *, lag(sid) OVER w AS from_sid, lag(platform) OVER w AS from_platform, lag(last_active) OVER w AS pla, lag(platform, 2) OVER w AS p2 FROM fa WHERE first_active > 0 WINDOW w AS (PARTITION BY user_id, content_id ORDER BY first_active, sid)),
@@ -205,6 +211,8 @@ ORACLES["switching"] = sql(f"""SELECT from_title, to_title, count(*) AS moves, c
 {_T.format("= 'switch_after_background'")} AS after_backgrounding, {_T.format("= 'return_to_previous_content'")} AS came_back, {rnd('100.0 * ' + _T.format("<> 'parallel_multi_device'") + ' / count(*)', 1)} AS switch_share_pct, {q_exact('gap_seconds', 0.5)} AS median_gap_seconds FROM cm {_IN} GROUP BY from_title, to_title ORDER BY moves DESC, from_title, to_title LIMIT 200""", FACTS, CONTENT_MOVES)
 ORACLES["handoff"] = sql(f"""SELECT from_platform, to_platform, count(*) AS moves, count(DISTINCT user_id) AS users, {_T.format("= 'handoff'")} AS handoffs, {_T.format("= 'parallel_multi_device'")} AS parallel_viewing, {_T.format("= 'return_to_previous_device'")} AS came_back,
 {rnd('100.0 * ' + _T.format("= 'handoff'") + ' / count(*)', 1)} AS handoff_share_pct, {q_exact('gap_seconds', 0.5)} AS median_gap_seconds, {rnd('avg(overlap_seconds)', 1)} AS avg_overlap_seconds FROM pm {_IN} GROUP BY from_platform, to_platform ORDER BY moves DESC, from_platform, to_platform LIMIT 200""", FACTS, PLATFORM_MOVES)
+for _name, _of, _more in (("switching_one_content", "switching", "(from_content_id = 8 OR to_content_id = 8)"), ("switching_to_live", "switching", "to_video_type = 'live'"), ("handoff_one_platform", "handoff", "(from_platform = 'Web' OR to_platform = 'Web')")):
+    ORACLES[_name] = ORACLES[_of].replace(_IN, f"{_IN} AND {_more}")
 HEALTH = f"""hp AS (SELECT m, {IDIMS}, 'a' AS what, count(*) AS n FROM mi WHERE m >= {_L} AND m < {_H} GROUP BY ALL UNION ALL SELECT m, {IDIMS}, 'z', 0 FROM sn
 UNION ALL SELECT m, {IDIMS}, 'e', count(DISTINCT sid) FROM (SELECT fa.*, ts // 60000 AS m FROM (SELECT sid, ts FROM ev WHERE event_type = 'VideoError') JOIN fa USING (sid)) WHERE m >= {_L} AND m < {_H} GROUP BY ALL
 UNION ALL SELECT last_active // 60 AS m, {IDIMS}, 't', sum(timed_out) FROM fa WHERE last_active >= {LOW} AND last_active < {HIGH} GROUP BY ALL UNION ALL SELECT last_active // 60 AS m, {IDIMS}, 'b', sum(abandoned) FROM fa WHERE last_active >= {LOW} AND last_active < {HIGH} GROUP BY ALL),
@@ -241,6 +249,15 @@ ORACLES["insight_status"] = sql(f"""SELECT {at_ms('max(ts)')} AS raw_latest, cou
 (SELECT {at_ms('max(ts)')} FROM tr) AS transitions_latest, (SELECT count(*) FROM tr) AS transitions_asserted, (SELECT {at('max(m) * 60')} FROM he) AS health_latest, (SELECT {at('max(first_active) // 60 * 60')} FROM fa WHERE first_active >= {LOW} AND first_active < {HIGH}) AS cohorts_latest, (SELECT count(*) FROM la WHERE lateness_class <> 'on_time') AS late_events FROM ev""",
     FACTS, SNAPSHOT, HEALTH, TRANSITIONS, LATE)
 
+def ever(text: str) -> str:
+    """The same for all of time."""
+    for bound, by in ((LOW, 60), (HIGH, 1 << 33), (_L, 1), (_H, 1 << 33)):
+        text = text.replace(str(bound), str(by))
+    return text
+
+
+ORACLES |= {name: ever(ORACLES[name]) for name in ("minute_snapshot", "entry_cohorts", "playback_health", "spike_candidates", "insight_status")}
+
 # -- validation
 ORACLES["oracle_curve"] = sql(f"SELECT {at('m * 60')} AS minute, count(DISTINCT sid) AS concurrent_sessions, count(DISTINCT user_id) AS concurrent_users FROM mi WHERE m >= {START // 60} AND m < {END // 60} GROUP BY m")
 NAIVE = "nm AS (SELECT sid, unnest(range(run_start, run_end + 1)) AS m FROM nv)"
