@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 _own: dict[str, str] = {}
@@ -60,6 +61,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that are broadcast at most: tens of megabytes.
+MOST_SENT = 1 << 20
+
+
+def sent(keys: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """A table of keys for the small side of a join: broadcast where it, or the staged table it is made of row by row, has few rows."""
+    return F.broadcast(keys) if (keys if staged is None else staged).count() <= MOST_SENT else keys
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for table in tables:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, mix, shingles, ship, slices, stage
+from tidemark.llm.common import discard, mix, sent, shingles, ship, slices, stage
 from tidemark.llm.components import components
 
 SMALL = 48
@@ -357,8 +357,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
-    reps = nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*")
-    wanted = rows.alias("d").join(reps.alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
+    reps = stage(nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*"), "representatives")
+    wanted = rows.alias("d").join(sent(reps).alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
     sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
     more, larger = candidates(sets.mapInArrow(_more_prefixes(orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     pairs, large = pairs.unionByName(more), large.unionByName(larger)
@@ -379,10 +379,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Documents that pairs connect, up to a block of them, come together once, rather than once for every pair.
     clusters = stage(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters")
     sized = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("c")), "root")
-    together = sized.where(F.col("c") <= block).select("root", F.col("node").alias("fp")).join(sets, "fp").groupBy("root").applyInArrow(_block(t), "u binary, v binary")
+    together = sent(sized.where(F.col("c") <= block).select("root", F.col("node").alias("fp")), clusters).join(sets, "fp").groupBy("root").applyInArrow(_block(t), "u binary, v binary")
     links = stage(together, "cluster-links")
     wide = sized.where(F.col("c") > block).select(F.col("node").alias("fp"))
-    few = stage(sets.join(wide.unionByName(first.select("fp")).distinct(), "fp", "left_semi"), "few-sets")
+    wide = stage(wide.unionByName(first.select("fp")).distinct(), "wide")
+    few = stage(sets.join(sent(wide), "fp", "left_semi"), "few-sets")
     discard(sets)
     sets = few
     pairs, every = stage(pairs.join(sized.where(F.col("c") > block).select(F.col("node").alias("a")), "a", "left_semi"), "wide-pairs"), pairs
@@ -402,14 +403,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out = found if out is None else out.unionByName(found)
         return out
 
-    # In larger clusters first every document's likeliest partner; pairs that these links connect need no look of their own.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
-    likely = verified(best, "best")
-    roots = stage(components(likely), "roots")
-    ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    rest = stage(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "rest")
-    links = stage(links.unionByName(likely).unionByName(verified(rest, "rest-links")), "pair-links")
+    if not pairs.isEmpty():
+        # In larger clusters first every document's likeliest partner; pairs that these links connect need no look of their own.
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")
+        likely = verified(best, "best")
+        roots = stage(components(likely), "roots")
+        ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b")]
+        rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        rest = stage(rest.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "rest")
+        links = stage(links.unionByName(likely).unionByName(verified(rest, "rest-links")), "pair-links")
+    if first.isEmpty():
+        return named(components(links))
     # Larger groups: every class against the least one of its group, then only groups that this leaves in parts.
     least = stage(first.groupBy("gram").agg(F.min("fp").alias("a")), "leaders")
     led = stage(first.join(least, "gram").where("a != fp").select("a", F.col("fp").alias("b")).distinct(), "led")
