@@ -3,8 +3,8 @@
 The index is inverted: every term has its postings in order of item, cut where blocks of ``BLOCK`` items end,
 with the largest score in each block and in the whole list. Scores are shares of an item's threshold, so a
 passage retrieves an item from 1 on. All passages of a slice of text are evaluated at once, as block-max WAND
-does one: the lists of a passage's terms, lowest maximum first, up to the pivot where their maxima could reach
-1 are not opened, since no item is in these alone; blocks of the opened lists whose bound stays below 1 are
+does one: the lists of a passage's terms, lowest maximum first, are not opened up to a pivot below which their
+maxima can't reach 1, since an item in these alone isn't retrieved; blocks of the opened lists whose bound stays below 1 are
 skipped; what is left is bounded by the maxima of its block in all lists, and only blocks whose bound
 reaches 1 have their postings scored. Every item at or above its threshold is retrieved. A retrieved item is a
 leak when the passage holds enough of the word shingles of both its question and its answer or, of an item
@@ -33,6 +33,9 @@ BLOCK = 8
 #: About how large the index of one part of the items is, and how much of them is broadcast for one reading of the documents.
 SHARD_BYTES, CARRIED = 8 << 20, 64 << 20
 K1, B = 1.2, 0.75
+#: Lists stay closed while their maxima add up to less than this share of the threshold. Any share up to 1 loses nothing;
+#: a lower one opens more lists, and its bounds skip more blocks.
+CLOSED = 0.2
 #: An item is retrieved from this share of the score that its own text gets.
 SHARE = 0.7
 SHINGLE, OVERLAP = 5, 0.8
@@ -77,6 +80,16 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + starts[of], of
 
 
+def summed(keys: np.ndarray, values: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (below ``upto``) and the sum of the values, which are above 0, of each."""
+    if upto <= 1 << 21:
+        total = np.bincount(keys, values, minlength=1)
+        keys = np.flatnonzero(total)
+        return keys, total[keys]
+    keys, of = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(of, values, minlength=len(keys))
+
+
 class Index:
     """Postings of items (number, words, words of the question, whether the answer was given apart, terms with tf and df), of ``n`` in all."""
 
@@ -146,14 +159,13 @@ class Index:
         total = np.concatenate([[0.0], np.cumsum(self.highest[term], dtype=np.float64)])
         enough = 1 - 1e-4
         upto = total[1:] - total[begin[passage]]
-        closed = upto < enough
+        closed = upto < CLOSED
         rest = np.zeros(len(first))
         np.maximum.at(rest, passage[closed], upto[closed])
         open_ = np.flatnonzero(~closed)
         # Blocks of the opened lists.
         where, of = ranges(self.list[term[open_]], self.list[term[open_] + 1])
-        keys, of = np.unique(passage[open_][of] * self.blocks + self.block[where], return_inverse=True)
-        bound = np.bincount(of, self.most[where], minlength=len(keys))
+        keys, bound = summed(passage[open_][of] * self.blocks + self.block[where], self.most[where], len(first) * self.blocks)
         p, b = keys // self.blocks, keys % self.blocks
         maybe = bound + rest[p] >= enough
         p, b = p[maybe], b[maybe]
@@ -170,8 +182,7 @@ class Index:
         found, of = found[live[of]], of[live[of]]
         post, which = ranges(self.start[found], self.start[found + 1])
         size = max(len(self.nr), 1)
-        keys, which = np.unique(p[of[which]] * size + self.item[post], return_inverse=True)
-        score = np.bincount(which, self.impact[post], minlength=len(keys))
+        keys, score = summed(p[of[which]] * size + self.item[post], self.impact[post], len(first) * size)
         keys, score = keys[score >= enough], score[score >= enough]
         return keys // size, keys % size, score * self.share[keys % size]
 
