@@ -440,16 +440,54 @@ def user_tick_equals_batch(spark, d):
     return _runs(core.netted(ulog.unionByName(tick.user_tick(ulog, slog, users))))
 
 
+def _replayed(spark, d) -> str:
+    """The folder of logs after a file stream of events, a slice a batch, with events of clocks that are ten years ahead mixed in; run once an application."""
+    key = spark.sparkContext.applicationId, f"{d} replay"
+    if key not in _FOLDERS:
+        ds = _ds(spark, d)
+        folder = f"{scratch(spark)}/replay-{uuid.uuid4().hex}"
+        ahead = ds.events.where("event_type = 'VideoPlay'").withColumn("ts", F.col("ts") + 86_400_000 * 3650)
+        ds.events.unionByName(ahead).withColumn("slice", core.div(F.col("ts"), 86_400_000 * 10)).repartition("slice").write.partitionBy("slice").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(ds.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        tick.start(stream, ds.content, f"{folder}/log", ds.tolerance, now_ms=(START + 30 * 86_400) * 1000, gate=True).awaitTermination()
+        _FOLDERS[key] = f"{folder}/log"
+    return _FOLDERS[key]
+
+
+def _log(spark, d, name: str):
+    path = f"{_replayed(spark, d)}/{name}"
+    return spark.read.option("basePath", path).parquet(f"{path}/*").drop("batch", "bucket")
+
+
 @query
 def stream_replay(spark, d):
-    """The session runs after a file stream of events, a slice a batch."""
+    """The session runs after a stream of events."""
+    return _runs(core.netted(_log(spark, d, "runs")))
+
+
+@query
+def user_stream_replay(spark, d):
+    """The user runs after the same."""
+    return _runs(core.netted(_log(spark, d, "user_runs")))
+
+
+@query
+def future_clock(spark, d):
+    """Events of the stream that were taken, and those set aside as from the future."""
+    return _log(spark, d, "events").agg(F.count(F.lit(1)).alias("taken"), F.max("ts").alias("latest")).crossJoin(_log(spark, d, "future").agg(F.count(F.lit(1)).alias("set_aside")))
+
+
+@query
+def late_tail_absorbed(spark, d):
+    """Session runs after ticks that see the events in order of arrival, the late ones in a tick of their own."""
     ds = _ds(spark, d)
-    folder = f"{scratch(spark)}/replay-{uuid.uuid4().hex}"
-    ds.events.withColumn("slice", core.div(F.col("ts"), 86_400_000 * 10)).repartition("slice").write.partitionBy("slice").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(ds.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
-    tick.start(stream, ds.content, f"{folder}/log", ds.tolerance).awaitTermination()
-    log = spark.read.parquet(f"{folder}/log/runs").drop("batch")
-    return _runs(core.netted(log))
+    cut = (START + 43_200) * 1000
+    late = (F.col("arrival") - core.div(F.col("ts"), 1000) > 3600) & (F.col("ts") < cut)
+    early = ds.events.where((F.col("ts") < cut) & ~late)
+    log = tick.session_tick(None, early, ds.content, ds.tolerance, 0, cut)
+    log = log.unionByName(tick.session_tick(log, ds.events.where(~late), ds.content, ds.tolerance, cut - 120_000, END_OF_TIME))
+    # The window of the last tick is that of the late events, all of which lie before what was seen.
+    return _runs(core.netted(log.unionByName(tick.session_tick(log, ds.events, ds.content, ds.tolerance, 0, cut))))
 
 
 # -- single operators

@@ -98,7 +98,10 @@ ORACLES["foreground_intervals"] = sql(f"SELECT sid, user_id, {DIMS}, {at('s')} A
 ORACLES["foreground_intervals_loose"] = sql(f"SELECT sid, {at('s')} AS start, {at('e')} AS \"end\" FROM ivl")
 _RUNS = f"{{}}, {DIMS}, {at('run_start * 60')} AS run_start, {at('run_end * 60')} AS run_end, 1 AS sign"
 SR, UR = sql(f"SELECT sid, {_RUNS.format('user_id')} FROM sr"), sql(f"SELECT {_RUNS.format('user_id')} FROM ur")
-ORACLES |= {"session_runs": SR, "user_runs": UR, "two_tick_equals_batch": SR, "double_assert_heals": SR, "stream_replay": SR, "user_tick_equals_batch": UR}
+ORACLES |= {"session_runs": SR, "user_runs": UR, "two_tick_equals_batch": SR, "double_assert_heals": SR, "stream_replay": SR, "late_tail_absorbed": SR, "user_tick_equals_batch": UR, "user_stream_replay": UR}
+
+
+ORACLES["future_clock"] = sql("SELECT count(*) AS taken, max(ts) AS latest, count(*) FILTER (WHERE event_type = 'VideoPlay') AS set_aside FROM ev")
 
 
 def _deltas(runs: str) -> str:

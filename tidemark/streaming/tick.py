@@ -7,6 +7,8 @@ failure replaces its folder and reads the log without it.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,6 +17,10 @@ from tidemark.operators import derive
 from tidemark.operators.dataset import Dataset
 
 OVERLAP = 120
+#: Seconds by which an event may be ahead of the clock.
+SLACK = 300
+#: Buckets of sessions and users within a batch's folder.
+BUCKETS = 16
 
 
 def retraction(log: DataFrame, touched: DataFrame, key: str) -> DataFrame:
@@ -40,39 +46,104 @@ def user_tick(user_log: DataFrame | None, session_log: DataFrame, touched_users:
 
 
 class Log:
-    """A signed log of runs, one folder per batch."""
+    """A signed log, one folder per batch, and within it per bucket of a key's hash where it has a key."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder, schema
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str | None = None):
+        self.spark, self.folder, self.schema, self.key = spark, folder, schema, key
 
-    def before(self, batch: int) -> DataFrame:
+    def _read(self) -> DataFrame | None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema(f"{self.schema}, batch long" + ", bucket int" * bool(self.key)).option("basePath", self.folder).parquet(f"{self.folder}/*")
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS)).cast("int")
+
+    def buckets(self, rows: DataFrame) -> list[int]:
+        """The buckets of the keys of some rows: ``BUCKETS`` numbers at most."""
+        return [r["b"] for r in rows.select(self._bucket().alias("b")).distinct().collect()]
+
+    def before(self, batch: int, buckets: list[int] | None = None) -> DataFrame:
+        log = self._read()
+        if log is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(f"{self.schema}, batch long").option("basePath", self.folder).parquet(f"{self.folder}/*").where(F.col("batch") < batch).drop("batch")
+        if buckets is not None:
+            log = log.where(F.col("bucket").isin(buckets))
+        return log.where(F.col("batch") < batch).drop("batch", "bucket")
+
+    def of(self, batch: int) -> DataFrame:
+        log = self._read()
+        return self.spark.createDataFrame([], self.schema) if log is None else log.where(F.col("batch") == batch).drop("batch", "bucket")
 
     def write(self, batch: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        to = f"{self.folder}/batch={batch}"
+        if self.key:
+            rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(to)
+        else:
+            rows.write.mode("overwrite").parquet(to)
+
+
+def believable(now_ms: int, slack: int = SLACK):
+    """Whether an event doesn't claim to come from the future: it may be ``slack`` seconds ahead, as some clocks run fast."""
+    return F.col("ts") <= now_ms + slack * 1000
+
+
+def runs_schema(key: str) -> str:
+    return f"{key}, " + ", ".join(f"{d} {'long' if d == 'content_id' else 'string'}" for d in derive.DIMS) + ", run_start long, run_end long, sign int"
+
+
+def faults(sessions: DataFrame, touched: DataFrame, fresh: DataFrame, key: str) -> int:
+    """What a tick's log rows for touched keys leave wrong: net signs of their runs that are neither 0 nor 1, or not those derived afresh."""
+    net = sessions.join(touched, key, "left_semi").groupBy(*[c for c in sessions.columns if c != "sign"]).agg(F.sum("sign").alias("n"))
+    wrong = net.where("n not in (0, 1)").select(F.lit(1).alias("x"))
+    stand = net.where("n = 1").drop("n")
+    differ = stand.exceptAll(fresh.select(*stand.columns)).unionByName(fresh.select(*stand.columns).exceptAll(stand)).select(F.lit(1).alias("x"))
+    return wrong.unionByName(differ).count()
 
 
-def start(stream: DataFrame, content: DataFrame, folder: str, tolerance: int, overlap: int = OVERLAP, available_now: bool = True) -> StreamingQuery:
-    """Run ticks over a stream of events into logs under ``folder``: ``events`` and ``runs``.
+def start(
+    stream: DataFrame, content: DataFrame, folder: str, tolerance: int, overlap: int = OVERLAP, available_now: bool = True, now_ms: int | None = None, gate: bool = False,
+) -> StreamingQuery:
+    """Run ticks over a stream of events into logs under ``folder``: ``events``, ``runs`` and ``user_runs``.
 
-    Late events are taken like any other: they touch their session again. The events of a batch are stored
-    first, so that a session can be derived from its whole history.
+    Late events are taken like any other: they touch their session again. Events from the future are stored
+    under ``future`` and touch nothing, so that one wrong clock can't move the window. The events of a batch are
+    stored first, in folders by a hash of the session, and a tick reads only the folders of its sessions, so
+    that a session can be derived from its whole history without reading everybody's. With ``gate`` a tick compares
+    what its logs hold for the touched sessions with what is derived afresh; where they differ it retracts and asserts
+    once more from the logs as they are, and fails if that doesn't help, so that the batch runs again.
     """
     spark = stream.sparkSession
     flat = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    runs_schema = "sid string, user_id string, " + ", ".join(f"{d} {'long' if d == 'content_id' else 'string'}" for d in derive.DIMS) + ", run_start long, run_end long, sign int"
-    events, runs = Log(spark, f"{folder}/events", flat), Log(spark, f"{folder}/runs", runs_schema)
+    events, future = Log(spark, f"{folder}/events", flat, "sid"), Log(spark, f"{folder}/future", flat)
+    runs, users = Log(spark, f"{folder}/runs", runs_schema("sid string, user_id string"), "sid"), Log(spark, f"{folder}/user_runs", runs_schema("user_id string"), "user_id")
 
     def tick(batch: DataFrame, number: int) -> None:
-        events.write(number, batch)
-        seen = events.before(number + 1)
-        low, high = spark.read.parquet(f"{folder}/events/batch={number}").agg(F.min("ts"), F.max("ts")).first()
-        if low is not None:
-            log = runs.before(number)
-            runs.write(number, session_tick(log, seen, content, tolerance, low - overlap * 1000, high).select(*log.columns))
+        now = int(time.time() * 1000) if now_ms is None else now_ms
+        events.write(number, batch.where(believable(now)))
+        future.write(number, batch.where(~believable(now)))
+        mine = events.of(number)
+        low, high = mine.agg(F.min("ts"), F.max("ts")).first()
+        if low is None:
+            return
+        # The batch's own sessions, and those with an event shortly before it.
+        held = events.buckets(mine)
+        seen = events.before(number + 1, held)
+        log = runs.before(number, held)
+        new = session_tick(log, seen, content, tolerance, low - overlap * 1000, high).select(*log.columns)
+        runs.write(number, new)
+        touched = runs.of(number).select("sid").distinct()
+        if gate:
+            fresh = Dataset(seen.join(touched, "sid", "left_semi"), content, tolerance).session_runs.drop("sign")
+            if faults(runs.before(number + 1, held), touched, fresh, "sid"):
+                runs.write(number, session_tick(log, seen, content, tolerance, low - overlap * 1000, high).select(*log.columns))
+                if faults(runs.before(number + 1, held), touched, fresh, "sid"):
+                    raise RuntimeError(f"batch {number} leaves session runs that differ from a derivation afresh")
+        people = runs.of(number).select("user_id").distinct()
+        # A user's sessions lie in any bucket; user runs are read by the user's own.
+        ulog = users.before(number, users.buckets(people))
+        users.write(number, user_tick(ulog, runs.before(number + 1), people).select(*ulog.columns))
 
     writer = stream.writeStream.foreachBatch(tick).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="60 seconds")).start()
