@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import core
-from tidemark.operators import derive, insights, serving, validate, views
+from tidemark.operators import derive, insights, refresh, serving, validate, views
 from tidemark.operators.dataset import EVER
 from tidemark.operators.insights import with_times
 from tidemark.sources import files, fixture, scenarios
@@ -490,6 +490,17 @@ def late_tail_absorbed(spark, d):
     return _runs(core.netted(log.unionByName(tick.session_tick(log, ds.events, ds.content, ds.tolerance, 0, cut))))
 
 
+@query
+def refresh_equals_batch(spark, d):
+    """The minute snapshot after a refresh that saw the events up to a time, one of the rest, and that one again."""
+    ds, folder = _ds(spark, d), f"{scratch(spark)}/insights-{uuid.uuid4().hex}"
+    low, high = LOW - 86_400 * 30, HIGH + 86_400 * 30
+    refresh.refresh(fixture.Dataset(ds.events.where(F.col("ts") < CUT), ds.content, ds.tolerance), folder, low, CUT // 1000)
+    for _ in range(2):
+        refresh.refresh(ds, folder, CUT // 1000, high)
+    return with_times(spark.read.parquet(f"{folder}/minute_snapshot").drop("day"), m="minutes")
+
+
 # -- single operators
 
 @query

@@ -261,6 +261,8 @@ def ever(text: str) -> str:
 
 ORACLES |= {name: ever(ORACLES[name]) for name in ("minute_snapshot", "entry_cohorts", "playback_health", "spike_candidates", "insight_status")}
 
+ORACLES["refresh_equals_batch"] = ORACLES["minute_snapshot"]
+
 # -- validation
 ORACLES["oracle_curve"] = sql(f"SELECT {at('m * 60')} AS minute, count(DISTINCT sid) AS concurrent_sessions, count(DISTINCT user_id) AS concurrent_users FROM mi WHERE m >= {START // 60} AND m < {END // 60} GROUP BY m")
 NAIVE = "nm AS (SELECT sid, unnest(range(run_start, run_end + 1)) AS m FROM nv)"
