@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ship, stage
@@ -63,10 +63,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "winners",
     )
     heavy = digests.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    light = digests.join(F.broadcast(winners), "digest", "left_anti").select(
-        "digest", "id", F.min("id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
-    return heavy.select("digest", "id", "keep_id", "group_size").unionByName(light).select(
+    # Groups are summed up first and joined back, so that a larger one is counted in parts and its rows can be split.
+    rest = digests.join(F.broadcast(winners), "digest", "left_anti")
+    groups = stage(rest.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    light = rest.join(groups, "digest")
+    return heavy.unionByName(light).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
