@@ -7,6 +7,7 @@ any executor. Text is handled as UTF-8 bytes, a couple of megabytes at a time, w
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows of a batch of text that Spark hands to Python, where the application sets no other number.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or one of our own where it names none."""
+    """The shared folder that the session names, or, in local mode, one of our own where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -35,7 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, unless their Python path has it already."""
+    """Send this package to the executors, once an application, unless their Python path has it already.
+
+    Batches of texts are kept short, as executors hold several of them outside the JVM's heap.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_SETTING) and int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     top = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     if app in _shipped or str(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
