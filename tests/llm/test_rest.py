@@ -145,6 +145,36 @@ def test_license_rules_and_suppression():
     assert [(k[2].label, k[2].priority) for k in kept] == [("apache", 80)]
 
 
+def test_short_identifiers_and_bare_names():
+    s = license_scan.Scanner()
+    for text, label in (("MIT", "mit"), ("ISC", "isc"), ("BSL-1.0", "boost"), ("Zlib", "zlib"), ("Artistic-2.0", "artistic"), ("PSF-2.0", "psf"), ("BSD-3-Clause", "bsd"), ("CC-BY-SA-4.0", "cc-by-sa"), ("LGPL-2.1-only", "lgpl"), ("EUPL-1.2", "eupl")):
+        assert label in s.scan(f"x SPDX-License-Identifier: {text}\ny".encode())[5].split(","), text
+    for text, label in (("Mozilla Public License", "mpl"), ("ISC License", "isc"), ("Zlib License", "zlib"), ("Boost Software License", "boost")):
+        assert s.scan(f"some {text} here".encode())[5:] == (label, 0.4)
+    assert s.scan(b"an apache and a gnu open the server in common")[5] == ""
+
+
+def test_priority_decides_where_detections_overlap_in_part():
+    rule = lambda label, priority, pattern: license_scan.Signature(label, priority, pattern, 0.5, ("b",))
+    for first, second, want in ((10, 20, ["right"]), (20, 10, ["left"]), (10, 10, ["right"])):
+        rules = sorted([rule("left", first, "a b"), rule("right", second, "b c d"), rule("inner", 99, "c")], key=lambda r: -r.priority)
+        kept = license_scan.Scanner(tuple(rules), ()).detections(b" a b c d e ", {b"a", b"b", b"c", b"d", b"e"})
+        assert [k[2].label for k in kept] == want
+    # Against trying all detections against all others.
+    r = random.Random(4)
+    words = "b c d e".split()
+    rules = tuple(sorted((rule(f"r{i}", r.randrange(4), " ".join(r.choice(words) for _ in range(r.randrange(1, 4)))) for i in range(9)), key=lambda x: -x.priority))
+    for _ in range(50):
+        line = (" b " + " ".join(r.choice(words) for _ in range(25)) + " ").encode()
+        found = [(m.start(), m.end(), i) for i, x in enumerate(rules) for m in re.finditer(rf"(?<= ){x.pattern}(?= )".encode(), line)]
+        whole = [f for f in found if not any(g != f and g[0] <= f[0] and f[1] <= g[1] and (g[1] - g[0] > f[1] - f[0] or g[2] < f[2]) for g in found)]
+        kept = []
+        for f in sorted(whole, key=lambda f: (-rules[f[2]].priority, f[0] - f[1], f[0])):
+            if all(f[1] <= k[0] or k[1] <= f[0] for k in kept):
+                kept.append(f)
+        assert [(a, b, x.label) for a, b, x in license_scan.Scanner(rules, ()).detections(line, {w.encode() for w in words})] == [(a, b, rules[i].label) for a, b, i in sorted(kept)]
+
+
 # -- language ID
 
 def test_languages_held_out(spark):

@@ -1,13 +1,15 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 Texts become words (A-Z lower-cased; everything ASCII but letters and digits parts them) joined by single
-spaces. A text without any of the keywords runs no expression. Rules are tried in order; where detections
-overlap, one that lies within another's interval is suppressed in favour of the longer, or at equal length
-of the rule with the higher priority. Base phrases are found always and their labels stay.
+spaces. A text without any of the keywords runs no expression. Rules are tried in order. A detection that lies
+within another's interval is suppressed in favour of the longer, or at equal length of the rule with the higher
+priority; of two that overlap in part the one of the higher priority stays, then the longer, then the earlier.
+Base phrases are found always and their labels stay.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from typing import NamedTuple
 
@@ -81,6 +83,15 @@ _NAMES = (
     (r"q public license", "qpl", ("q",)),
     (r"university of illinois ncsa open source license|ncsa license", "ncsa", ("ncsa",)),
 )
+# The public short identifiers of licenses, as words of the normalised text.
+_SPDX = {
+    "agpl": r"agpl [13] 0", "lgpl": r"lgpl (?:2 [01]|3 0)", "gfdl": r"gfdl 1 [123]", "gpl": r"gpl [123] 0", "apache": r"apache (?:1 [01]|2 0)", "mit": r"mit(?: 0)?", "bsd": r"(?:0bsd|bsd [1234] clause)",
+    "mpl": r"mpl (?:1 [01]|2 0)", "epl": r"epl [12] 0", "cddl": r"cddl 1 [01]", "cpl": r"cpl 1 0", "isc": r"isc", "boost": r"bsl 1 0", "zlib": r"zlib", "artistic": r"artistic [12] 0", "psf": r"(?:psf|python) 2 0",
+    "afl": r"afl (?:1 [12]|2 [01]|3 0)", "osl": r"osl (?:1 0|2 [01]|3 0)", "eupl": r"eupl 1 [012]", "ms-pl": r"ms pl", "ms-rl": r"ms rl", "sspl": r"sspl 1 0", "bsl": r"busl 1 1", "elastic": r"elastic 2 0", "ofl": r"ofl 1 [01]",
+    "odc-by": r"odc by 1 0", "odbl": r"odbl 1 0", "cc-by-nc-nd": r"cc by nc nd [1234] [05]", "cc-by-nc-sa": r"cc by nc sa [1234] [05]", "cc-by-nc": r"cc by nc [1234] [05]", "cc-by-nd": r"cc by nd [1234] [05]",
+    "cc-by-sa": r"cc by sa [1234] [05]", "cc-by": r"cc by [1234] [05]", "cc0": r"cc0 1 0", "unlicense": r"unlicense", "wtfpl": r"wtfpl", "postgresql": r"postgresql", "php": r"php 3 0(?:1)?", "ruby": r"ruby", "openssl": r"openssl",
+    "cecill": r"cecill (?:1 [01]|2 [01]|b|c)", "qpl": r"qpl 1 0", "ncsa": r"ncsa",
+}
 _VERSION = r"(?: (?:version|v|ver))? v?\d+(?: \d+)*"
 # (form, priority, score): the more a form says, the higher.
 _FORMS = (
@@ -99,10 +110,20 @@ _MORE = (
     Signature("proprietary", 40, r"all rights reserved", 0.5, ("reserved",)),
     Signature("proprietary", 45, r"proprietary and confidential", 0.8, ("proprietary",)),
 )
+
+
+def _long_names(names: str) -> str:
+    """The alternatives of several words, which can stand for a license without more said."""
+    return "|".join(a for a in re.split(r"\|(?![^(]*\))", names) if " " in re.sub(r"\(\?:[^)]*\)\??", "", a).strip())
+
+
 #: The signature rules, in order of trial.
 SIGNATURES = tuple(
     sorted(
-        [Signature(label, p, form.format(n=n, v=_VERSION), s, words) for n, label, words in _NAMES for form, p, s in _FORMS] + list(_MORE),
+        [Signature(label, p, form.format(n=n, v=_VERSION), s, words) for n, label, words in _NAMES for form, p, s in _FORMS]
+        + [Signature(label, 95, rf"spdx license identifier (?:{id})(?: (?:only|or later))?", 1.0, ("spdx",)) for label, id in _SPDX.items()]
+        + [Signature(label, 30, _long_names(n), 0.4, words) for n, label, words in _NAMES if _long_names(n)]
+        + list(_MORE),
         key=lambda s: (-s.priority, s.label),
     )
 )
@@ -129,13 +150,19 @@ class Scanner:
         due = sorted({i for k in self.by_keyword.keys() & words for i in self.by_keyword[k]})
         found = [(m.start(), m.end(), i) for i in due for m in self.rules[i][2].finditer(line)]
         # Longest first, then the higher priority: what lies within an earlier interval is suppressed.
-        kept: list[tuple[int, int, Signature]] = []
+        left: list[tuple[int, int, int]] = []
         reach = -1
         for a, b, i in sorted(found, key=lambda f: (f[0], -f[1], f[2])):
             if b > reach:
-                kept.append((a, b, self.rules[i][1]))
+                left.append((a, b, i))
                 reach = b
-        return kept
+        # What is left starts and ends in the same order; rules are numbered from the highest priority on.
+        kept: list[tuple[int, int, int]] = []
+        for a, b, i in sorted(left, key=lambda f: (-self.rules[f[2]][1].priority, f[0] - f[1], f[0])):
+            at = bisect.bisect(kept, (a,))
+            if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+                kept.insert(at, (a, b, i))
+        return [(a, b, self.rules[i][1]) for a, b, i in kept]
 
     def scan(self, raw: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
         words = raw.translate(_TABLE).split()
