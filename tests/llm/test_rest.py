@@ -57,6 +57,20 @@ def test_url_verdicts(spark):
 
 # -- token files
 
+def test_rules_of_two_literals_and_long_urls(spark):
+    urls = ["http://x.net/" + "a/" * 50_000 + "free-casino", "http://x.net/free/b/casino", "http://x.net/best_poker/cheap-pills?q", "http://x.net/q?free-casino"]
+    t = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [(0, "gambling:free-casino", "block"), (1, "", "allow"), (2, "drugs:cheap-pills,gambling:best-poker", "block"), (3, "", "allow")]
+    found = url_filter.filter_urls(t)
+    assert [(x["page_id"], x["matched"], x["verdict"]) for x in found.orderBy("page_id").collect()] == want
+    # Beyond what is broadcast: the same.
+    most, url_filter.MOST_RULES = url_filter.MOST_RULES, 5
+    try:
+        assert [(x["page_id"], x["matched"], x["verdict"]) for x in url_filter.filter_urls(t).orderBy("page_id").collect()] == want
+    finally:
+        url_filter.MOST_RULES = most
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     r = random.Random(2)

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The rule table is broadcast: its size is what the caller passes, checked against this.
+#: The rule table is broadcast up to this many rules; larger ones are joined by a shuffle.
 MOST_RULES = 100_000
 
 
@@ -50,10 +50,11 @@ _TOPICS = {
     "scam": ("lottery", "prize", "payday", "crypto", "giveaway"),
     "piracy": ("torrent", "warez", "crack", "keygen"),
 }
-#: The method's own rules: words of unwanted topics as whole tokens of the host, or of the path beside a second sign.
+_SIGNS = ("free", "win", "cheap", "best", "online", "buy")
+#: The method's own rules: words of unwanted topics as whole tokens of the host, or of the path right after a second word, both of which are literals.
 TOPIC_RULES = tuple(
     [Rule(f"{topic}:{word}", "block", (word,), rf"(?i)^[^:]*://[^/?#]*\b{word}\b") for topic, words in _TOPICS.items() for word in words]
-    + [Rule(f"{topic}:{word}:path", "block", (word,), rf"(?i)^[^:]*://[^/?#]*/[^?#]*\b(free|win|cheap|best|online|buy)[-_/]{word}\b") for topic, words in _TOPICS.items() for word in words]
+    + [Rule(f"{topic}:{sign}-{word}", "block", (sign, word), rf"(?i)^[^:]*://[^/?#]*/[^?#]*\b{sign}[-_/]{word}\b") for topic, words in _TOPICS.items() for word in words for sign in _SIGNS]
 )
 
 
@@ -74,15 +75,14 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     result; other columns are ignored.
     """
     rules = [*site_rules, *method_rules]
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most are broadcast")
+    few = F.broadcast if len(rules) <= MOST_RULES else lambda table: table
     spark = pages.sparkSession
     urls = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
     host, path = split_url(F.col("url"))
     tokens = F.array_distinct(F.split(F.lower(F.col("url")), "[^a-z0-9]+"))
     # How many URLs have each literal: one row per literal of the rules.
     literals = sorted({t for r in rules for t in r.tokens})
-    held = F.broadcast(spark.createDataFrame([(t,) for t in literals], "token string"))
+    held = few(spark.createDataFrame([(t,) for t in literals], "token string"))
     counts = {r["token"]: r["n"] for r in urls.select(F.explode(tokens).alias("token")).join(held, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
     index = [
         (min(r.tokens, key=lambda t: (counts.get(t, 0), t)), i, r.name, r.verdict, r.pattern, r.host, r.path, len(r.name) if r.host is not None else 0)
@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     found = (
         urls.where(F.instr("url", "://") > 0).withColumns({"host": host, "path": path})
         .withColumn("token", F.explode(tokens))
-        .join(F.broadcast(filed), "token").where(fits)
+        .join(few(filed), "token").where(fits)
         .groupBy(F.col("id").alias("m_id"), F.col("url").alias("m_url"))
         .agg(F.max(F.when(F.col("length") > 0, F.struct("length", F.col("name").alias("rule"), F.col("rule_verdict").alias("v")))).alias("site"),
              F.array_sort(F.collect_set(F.when(F.col("length") == 0, F.col("name")))).alias("matched"))
