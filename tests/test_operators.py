@@ -1,5 +1,7 @@
 """Rules of the engine on small cases made by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,52 @@ def test_empty_events_give_empty_layers(spark):
     assert ds.session_runs.count() == ds.user_deltas.count() == 0
     assert insights.session_facts(ds).count() == 0
     assert len(EVENT_DIMS) == 8
+
+
+def test_stored_layers_are_read_back_and_hold_their_conditions(spark, tmp_path):
+    ev = events(spark, ("s", "VideoPlay", "", 0), ("s", "VideoHeartbeat", "progress", 50), ("s", "VideoSessionEnd", "", 130), ("t", "VideoPlay", "", 40), ("t", "VideoError", "", 70))
+    plain = Dataset(ev, content(spark), 90)
+    kept = plain.stored(f"file://{tmp_path}/layers")
+    assert set(kept.derive_all().values()) == {0}
+    # Another dataset on the folder reads what stands there, whatever its own events.
+    again = Dataset(ev.limit(0), content(spark), 90, folder=f"file://{tmp_path}/layers")
+    for name in ("intervals", "session_runs", "deltas", "boundaries"):
+        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+    # A table whose writing was broken off is written again.
+    (tmp_path / "layers" / "deltas" / "_SUCCESS").unlink()
+    assert Dataset(ev.limit(0), content(spark), 90, folder=f"file://{tmp_path}/layers").deltas.count() == plain.deltas.count()
+
+
+def test_a_refresh_that_a_gate_refuses_replaces_nothing(spark, tmp_path, monkeypatch):
+    from tidemark.operators import refresh
+
+    ev = events(spark, ("s", "VideoPlay", "", 0), ("s", "VideoSessionEnd", "", 130), ("t", "VideoPlay", "", 40))
+    ds, folder, low = Dataset(ev, content(spark), 90), f"file://{tmp_path}/insights", T0 // 1000
+    assert set(refresh.refresh(ds, folder, low, low + 600).values()) == {0}
+    before = sorted(map(str, spark.read.parquet(f"{folder}/minute_snapshot").collect()))
+    make, day, _ = refresh.TABLES["minute_snapshot"]
+    monkeypatch.setitem(refresh.TABLES, "minute_snapshot", (make, day, ["platform"]))
+    with pytest.raises(ValueError, match="minute_snapshot_repeats_a_key"):
+        refresh.refresh(Dataset(ev, content(spark), 90), folder, low, low + 600)
+    monkeypatch.undo()
+    assert sorted(map(str, spark.read.parquet(f"{folder}/minute_snapshot").collect())) == before
+    # Without its events the day goes.
+    refresh.refresh(Dataset(ev.limit(0), content(spark), 90), folder, low, low + 600)
+    assert not list((tmp_path / "insights" / "minute_snapshot").glob("day=*"))
+
+
+def test_a_tick_reads_only_the_buckets_of_its_sessions(spark, tmp_path):
+    ev = events(spark, *[(f"s{k}", "VideoPlay", "", k) for k in range(60)])
+    log = tick.Log(spark, f"file://{tmp_path}/log", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ev.schema), "sid")
+    log.write(0, ev)
+    one = ev.where("sid = 's7'")
+    held = log.buckets(one)
+    assert len(held) == 1
+    plan = log.before(1, held)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ (IN|=)", plan)
+    assert log.before(1, held).where("sid = 's7'").count() == 1 and log.before(1).count() == 60
+
+
+def test_events_from_the_future_are_told_apart(spark):
+    ev = events(spark, ("s", "VideoPlay", "", 0), ("s", "VideoPlay", "", 200), ("s", "VideoPlay", "", 400))
+    assert ev.where(tick.believable(T0)).count() == 2
