@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.plans.catalogue import END, FILTERS, GRAINS, HIGH, LOW, MID, START
 from tidemark.operators.serving import AVERAGES, SHAPES
+from tidemark.sources import scenarios
 
 TOL = 1800
 DIMS = "platform, country, video_type, content_id, app_version, audio_language, subtitle_language, player_version, video_resolution"
@@ -263,6 +264,45 @@ ORACLES |= {name: ever(ORACLES[name]) for name in ("minute_snapshot", "entry_coh
 
 ORACLES["refresh_equals_batch"] = ORACLES["minute_snapshot"]
 
+def made(name: str, content: int, mix: tuple) -> str:
+    """The sessions of a made audience: name, content, id, what they do, when, and their start."""
+    bounds = [(round(sum(m[0] for m in mix[: k + 1]), 6), *m[1:]) for k, m in enumerate(mix)]
+    case = lambda i: "CASE " + " ".join(f"WHEN (id + 0.5) / 2000 <= {b[0]} + 1e-9 THEN {b[i]!r}" for b in bounds) + " END"
+    d, w = (lambda salt, n: scenarios.draw("id", salt, n)), scenarios.WAVES
+    wave = f"CASE WHEN {d(1, 100)} < {100 * w[0]} THEN 0 WHEN {d(1, 100)} < {100 * (w[0] + w[1])} THEN 1 ELSE 2 END"
+    return (
+        f"SELECT '{name}' AS name, {content}::BIGINT AS content_id, id, {case(1)} AS what, {case(2)} + {d(2, 1_000_000)} % ({case(3)} - {case(2)} + 1) AS upto, "
+        f"{START}000 + 1000 * ({wave} * {scenarios.APART} + {d(3, scenarios.SPREAD)}) AS t0 FROM (SELECT unnest(range(2000)) AS id)"
+    )
+
+
+def _steps() -> str:
+    one = lambda kind, at, cond: f"SELECT *, '{kind}' AS event_type, '' AS event, {at} AS s FROM on_ WHERE {cond}"
+    beats = lambda a, b, cond: f"SELECT *, 'VideoHeartbeat', 'progress', unnest(range({a}, {b}, {scenarios.BEAT})) FROM on_ WHERE {cond}"
+    return " UNION ALL ".join([
+        one("VideoSessionStart", 0, "true"), one("VideoPlay", 1, "true"), beats(scenarios.BEAT, "upto", "true"), one("VideoSessionEnd", "upto", "what = 'end'"), one("VideoError", "upto", "what = 'error'"),
+        one("AppBackgrounded", "upto", "what IN ('background', 'return')"), one("AppForegrounded", "upto + 90", "what = 'return'"), beats("upto + 120", "upto + 691", "what = 'return'"), one("VideoSessionEnd", "upto + 720", "what = 'return'"),
+    ])
+
+
+_SHORT = [(str(LOW), str(START)), (str(HIGH), str(START + 7200)), (str(_L), str(START // 60)), (str(_H), str((START + 7200) // 60)), (f"{TOL}000", "90000"), (f"= {TOL})", "= 90)"), (f"+ {TOL}", "+ 90"), (f"> {TOL}", "> 90")]
+
+
+def _short(text: str) -> str:
+    for a, b in _SHORT:
+        text = text.replace(a, b)
+    return text
+
+
+ORACLES["spike_healthy_weak"] = "WITH " + ",\n".join([
+    f"on_ AS ({made('h', scenarios.CONTENT, scenarios.HEALTHY)} UNION ALL {made('w', scenarios.CONTENT + 1, scenarios.WEAK)})",
+    f"st_ AS ({_steps()})",
+    f"tw_ AS (SELECT * FROM st_ UNION ALL SELECT * FROM st_ WHERE {scenarios.draw('(id * 10007 + s)', 4, scenarios.TWICE)} = 0)",
+    "ev AS (SELECT name || id AS sid, 'u' || name || id AS user_id, event_type, event, t0 + 1000 * s AS ts, (t0 + 1000 * s) // 1000 AS arrival, t0 AS session_start, content_id, 'Web' AS platform, 'IN' AS country, '1' AS app_version, '' AS audio_language, '' AS subtitle_language, '' AS player_version, '' AS video_resolution FROM tw_)",
+    f"ct AS (SELECT * FROM (VALUES ({scenarios.CONTENT}::BIGINT, 'stays', 'live', 'made', ''), ({scenarios.CONTENT + 1}::BIGINT, 'leaves', 'live', 'made', '')) t(content_id, title, video_type, category, show_name))",
+    *map(_short, (BASE[BASE.index("cl AS (") :].strip(), FACTS, SNAPSHOT, _CC, SPIKES)),
+]) + "\nSELECT * FROM sk"
+
 # -- validation
 ORACLES["oracle_curve"] = sql(f"SELECT {at('m * 60')} AS minute, count(DISTINCT sid) AS concurrent_sessions, count(DISTINCT user_id) AS concurrent_users FROM mi WHERE m >= {START // 60} AND m < {END // 60} GROUP BY m")
 NAIVE = "nm AS (SELECT sid, unnest(range(run_start, run_end + 1)) AS m FROM nv)"

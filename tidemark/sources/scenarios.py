@@ -19,6 +19,11 @@ CONTENT = 990_001
 BEAT, APART, SPREAD, TWICE = 30, 60, 45, 50
 
 
+def draw(x: str, salt: int, n: int) -> str:
+    """A number below n that looks drawn, by arithmetic on x alone, as SQL."""
+    return f"((({x} + {salt}) * 2654435761 % 4294967291 * 40503 + {salt} * 7919) % 1000003 % {n})"
+
+
 def scenario(spark: SparkSession, mix: tuple, start_ms: int, sessions: int = 2000, name: str = "s", content: int = CONTENT) -> DataFrame:
     """Player events of the sessions of a mix; one in fifty comes twice. Which session does what follows from its number."""
     part = (F.col("id") + 0.5) / sessions
@@ -30,7 +35,7 @@ def scenario(spark: SparkSession, mix: tuple, start_ms: int, sessions: int = 200
     for bound, kind, a, b in reversed(rows):
         inside = part <= bound + 1e-9
         what, low, high = F.when(inside, F.lit(kind)).otherwise(what), F.when(inside, a).otherwise(low), F.when(inside, b).otherwise(high)
-    drawn = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    drawn = lambda salt, n: F.expr(draw("id", salt, n))
     wave = F.when(drawn(1, 100) < 100 * WAVES[0], 0).when(drawn(1, 100) < 100 * (WAVES[0] + WAVES[1]), 1).otherwise(2)
     one = spark.range(sessions).select(
         "id", what.alias("what"), (low + drawn(2, 1_000_000) % (high - low + 1)).alias("at"), (F.lit(start_ms) + 1000 * (wave * APART + drawn(3, SPREAD))).alias("t0")
@@ -45,7 +50,7 @@ def scenario(spark: SparkSession, mix: tuple, start_ms: int, sessions: int = 200
     )
     steps = F.concat(F.array(step("VideoSessionStart", "", F.lit(0)), step("VideoPlay", "", F.lit(1))), beats(F.lit(BEAT), at - 1), end)
     rows_ = one.select("id", "t0", F.inline(steps))
-    again = F.when(F.pmod(F.xxhash64("id", "s"), F.lit(TWICE)) == 0, 2).otherwise(1)
+    again = F.when(F.expr(draw("id * 10007 + s", 4, TWICE)) == 0, 2).otherwise(1)
     ms = F.col("t0") + 1000 * F.col("s")
     return rows_.withColumn("_n", F.explode(F.sequence(F.lit(1), again))).select(
         F.concat(F.lit(name), F.col("id")).alias("sid"), F.concat(F.lit(f"u{name}"), F.col("id")).alias("user_id"), "event_type", "event", ms.alias("ts"), F.floor(ms / 1000).cast("long").alias("arrival"), F.col("t0").alias("session_start"),
