@@ -28,6 +28,22 @@ def quantile_exact(x: Column, p: float) -> Column:
     return F.element_at(values, (F.least(F.floor(F.lit(p) * F.size(values)), F.size(values) - 1) + 1).cast("int"))
 
 
+def with_quantiles(by: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, **of: float) -> DataFrame:
+    """A table by keys with exact quantiles (as of quantile_exact) of the keys' rows beside it, however many rows a key has.
+
+    Values are counted, the counts summed up in order, and the value is picked where they pass the index: a key's window has a row per distinct value.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    run = counts.withColumn("_upto", F.sum("_n").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(whole))
+    index = lambda p: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1)
+    picked = run.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[F.min(F.when(F.col("_upto") > index(p), F.col(value))).alias(name) for name, p in of.items()])
+    same = F.lit(True)
+    for k in keys:
+        same = same & by[k].eqNullSafe(picked[f"_{k}"])
+    return by.join(picked, same, "left").drop(*[f"_{k}" for k in keys])
+
+
 def first_by(columns: Sequence[str], key: str) -> Column:
     """Of a group, the columns of its first row by ``key``; ties go to the smallest values."""
     return F.min(F.struct(key, *columns))

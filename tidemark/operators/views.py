@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import div, moment, moment_ms, quantile_exact
+from tidemark.functions.core import div, moment, moment_ms, quantile_exact, with_quantiles
 from tidemark.operators import insights as i
 from tidemark.operators.dataset import Dataset
 from tidemark.operators.serving import Filters, matching
@@ -48,13 +48,13 @@ def versions(ds: Dataset, start: int, end: int, filters: Filters | None = None)
     inside = i.session_facts(ds).where(matching(filters) & (F.col("session_start") >= start * 1000) & (F.col("session_start") < end * 1000))
     n = F.count(F.lit(1))
     has = lambda c: F.count_if(F.col(c) > 0)
-    return inside.groupBy("app_version").agg(
+    by = inside.groupBy("app_version").agg(
         n.alias("sessions"), *[has(f"active_after_{k}m").alias(f"retained_{k}m") for k in (1, 5, 15)], *[_pct(has(f"active_after_{k}m"), n, 2).alias(f"retention_{k}m_pct") for k in (5, 15)],
-        F.round(F.avg("active_seconds"), 1).alias("avg_active_seconds"), 
-        quantile_exact(F.col("active_seconds"), 0.5).alias("median_active_seconds"), quantile_exact(F.col("active_seconds"), 0.9).alias("p90_active_seconds"),
+        F.round(F.avg("active_seconds"), 1).alias("avg_active_seconds"),
         has("video_error_count").alias("sessions_with_error"), _pct(has("video_error_count"), n, 2).alias("error_session_pct"), has("background_count").alias("sessions_backgrounded"),
         _pct(has("foreground_return_count"), has("background_count"), 2).alias("return_after_background_pct"), has("timed_out").alias("timed_out_sessions"),
     )
+    return with_quantiles(by, inside, ["app_version"], "active_seconds", median_active_seconds=0.5, p90_active_seconds=0.9)
 
 
 def spikes(events: DataFrame, start: int, end: int, limit: int = 200) -> DataFrame:
@@ -73,12 +73,13 @@ def switching(ds: Dataset, start: int, end: int, limit: int = 200, content_id: i
     kind = F.col("transition_type")
     n, real = F.count(F.lit(1)), F.count_if(kind != "parallel_multi_device")
     wanted = _side(content_id, "from_content_id", "to_content_id") & _side(video_type, "to_video_type")
-    by = i.content_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_title", "to_title").agg(
+    moves = i.content_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end))
+    by = moves.groupBy("from_title", "to_title").agg(
         n.alias("moves"), F.count_distinct("user_id").alias("users"), real.alias("real_switches"), F.count_if(kind == "parallel_multi_device").alias("parallel_viewing"),
         F.count_if(kind == "switch_after_end").alias("after_it_ended"), F.count_if(kind == "switch_after_background").alias("after_backgrounding"), F.count_if(kind == "return_to_previous_content").alias("came_back"),
-        _pct(real, n, 1).alias("switch_share_pct"), quantile_exact(F.col("gap_seconds"), 0.5).alias("median_gap_seconds"),
+        _pct(real, n, 1).alias("switch_share_pct"),
     )
-    return by.orderBy(F.desc("moves"), "from_title", "to_title").limit(limit)
+    return with_quantiles(by, moves, ["from_title", "to_title"], "gap_seconds", median_gap_seconds=0.5).orderBy(F.desc("moves"), "from_title", "to_title").limit(limit)
 
 
 def handoff(ds: Dataset, start: int, end: int, limit: int = 200, platform: str = "", content_id: int = 0) -> DataFrame:
@@ -86,12 +87,13 @@ def handoff(ds: Dataset, start: int, end: int, limit: int = 200, platform: str =
     kind = F.col("transition_type")
     n = F.count(F.lit(1))
     wanted = _side(platform, "from_platform", "to_platform") & _side(content_id, "content_id")
-    by = i.platform_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end)).groupBy("from_platform", "to_platform").agg(
+    moves = i.platform_transitions(ds).where(wanted & (F.col("moved_at") >= start) & (F.col("moved_at") < end))
+    by = moves.groupBy("from_platform", "to_platform").agg(
         n.alias("moves"), F.count_distinct("user_id").alias("users"), F.count_if(kind == "handoff").alias("handoffs"), F.count_if(kind == "parallel_multi_device").alias("parallel_viewing"),
         F.count_if(kind == "return_to_previous_device").alias("came_back"), _pct(F.count_if(kind == "handoff"), n, 1).alias("handoff_share_pct"),
-        quantile_exact(F.col("gap_seconds"), 0.5).alias("median_gap_seconds"), F.round(F.avg("overlap_seconds"), 1).alias("avg_overlap_seconds"),
+        F.round(F.avg("overlap_seconds"), 1).alias("avg_overlap_seconds"),
     )
-    return by.orderBy(F.desc("moves"), "from_platform", "to_platform").limit(limit)
+    return with_quantiles(by, moves, ["from_platform", "to_platform"], "gap_seconds", median_gap_seconds=0.5).orderBy(F.desc("moves"), "from_platform", "to_platform").limit(limit)
 
 
 HORIZON = 15
@@ -115,10 +117,11 @@ def forecast(ds: Dataset, start: int, end: int, filters: Filters | None = None,
 
 def lateness(ds: Dataset, start: int, end: int) -> DataFrame:
     inside = i.late_events(ds.events).where((F.col("ts") >= start * 1000) & (F.col("ts") < end * 1000))
-    return inside.groupBy("lateness_class", "event_type").agg(
+    by = inside.groupBy("lateness_class", "event_type").agg(
         F.count(F.lit(1)).alias("events"), F.count_distinct("sid").alias("sessions"), F.round(F.avg("lateness_seconds"), 1).alias("avg_lateness_seconds"),
-        quantile_exact(F.col("lateness_seconds"), 0.95).alias("p95_lateness_seconds"), F.max("lateness_seconds").alias("max_lateness_seconds"),
+        F.max("lateness_seconds").alias("max_lateness_seconds"),
     )
+    return with_quantiles(by, inside, ["lateness_class", "event_type"], "lateness_seconds", p95_lateness_seconds=0.95)
 
 
 def status(ds: Dataset, start: int, end: int) -> DataFrame:

@@ -524,7 +524,7 @@ def argmin_first_dims(spark, d):
 @query
 def exact_quantiles(spark, d):
     iv = _ds(spark, d).intervals.withColumn("s", F.col("end") - F.col("start"))
-    return iv.groupBy("platform").agg(*[core.quantile_exact(F.col("s"), p).alias(f"q{int(p * 100)}") for p in (0.5, 0.6, 0.9, 0.95)])
+    return core.with_quantiles(iv.select("platform").distinct(), iv, ["platform"], "s", q50=0.5, q60=0.6, q90=0.9, q95=0.95)
 
 
 @query
