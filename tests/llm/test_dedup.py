@@ -102,6 +102,26 @@ def test_shared_passages_of_words(spark, words, gram, kinds):
         assert 500 not in got and ids[65] not in got
 
 
+def test_runs_of_long_documents_are_those_of_their_stretches(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import suffix_dedup
+    from tidemark.llm.common import prefix_hash
+
+    r = np.random.default_rng(6)
+    raw = r.integers(0, 3, 12_000).astype(np.uint8)
+    offsets = np.array([0, 30, 30, 7000, 7039, 12_000])
+    prefix = lambda a, b: prefix_hash(raw[a:b])
+
+    def by_window(found):
+        return {w: (row, anchor, at) for row, first, last, anchor, at, _ in zip(*(x.tolist() for x in found), strict=True) for w in range(first, last + 1)}
+
+    whole = by_window(suffix_dedup.runs_of(prefix, offsets, 40, 10))
+    assert set(whole) == {w for a, b in zip(offsets[:-1], offsets[1:], strict=True) for w in range(a, b - 39)}
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 500)
+    assert by_window(suffix_dedup.runs_of(prefix, offsets, 40, 10)) == whole
+
+
 def test_multikey_quicksort_sorts_by_all_tokens():
     import numpy as np
 

@@ -191,6 +191,30 @@ def test_priority_decides_where_detections_overlap_in_part():
 
 # -- language ID
 
+def plain_ranks(text, ranks=300):
+    """n-grams of 1 to 3 characters by falling frequency, counted one by one."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    if not low.split():
+        return []
+    line = " " + " ".join(low.split()) + " "
+    count = collections.Counter(line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i : i + n] != " ")
+    return sorted(count, key=lambda g: (-count[g], len(g), [ord(c) for c in g]))[:ranks]
+
+
+def test_predictions_are_those_of_plain_out_of_place_distances():
+    r = random.Random(5)
+    letters = {"a": "aäbcdeßé", "b": "xyzabc", "c": "дежзи", "d": "aeiou𝔸𝔹"}
+    text = lambda k, n: "".join(r.choice(letters[k] + "  .,1\n") for _ in range(n))
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    learned = {k: plain_ranks(text(k, 3000)) for k in letters}
+    profiles = lang_id.Profiles({k: [code(g) for g in v] for k, v in learned.items()})
+    for sample in ["", " .1", "A", "ÄÖ x", *[text(r.choice("abcd"), r.randrange(1, 400)) + text(r.choice("abcd"), r.randrange(60)) for _ in range(150)]]:
+        mine = plain_ranks(sample)
+        far = {k: sum(abs(v.index(g) - i) if g in v else 300 for i, g in enumerate(mine)) / (300 * max(len(mine), 1)) for k, v in learned.items()}
+        want = ("und", 0.0) if not mine else (min(sorted(far), key=far.get), round(1 - min(far.values()), 6))
+        assert profiles.predict(sample) == want
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     got = queries.op8_lang_id(spark, SMALL).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
@@ -251,6 +275,29 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * e) - g[name][at]) < 0.05 * abs(g[name][at]) + 2e-3, name
 
 
+def test_window_logits_are_those_of_a_plain_forward_pass():
+    r = np.random.default_rng(8)
+    m, H = toxicity.start_model(r), toxicity.HIDDEN
+    x = np.concatenate([r.standard_normal((40, 2 * toxicity.DIM)).astype(np.float32), np.zeros((1, 2 * toxicity.DIM), np.float32)])
+    ids = r.integers(0, 40, (7, toxicity.STEPS))
+    for k, n in enumerate((toxicity.STEPS, 1, 2, 30, 63)):
+        ids[k, n:] = 40
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for row, got in zip(ids, toxicity.window_logits(m, x, ids), strict=True):
+        words = [x[i].astype(float) for i in row if i != 40]
+        states = np.zeros((len(words), 2 * H))
+        for d in (0, 1):
+            h = np.zeros(H)
+            for t in range(len(words)) if d == 0 else reversed(range(len(words))):
+                p, a = words[t] @ m["in"][d] + m["bias"][d], h @ m["rec"][d]
+                z, gate = sigmoid(p[:H] + a[:H]), sigmoid(p[H : 2 * H] + a[H : 2 * H])
+                c = np.tanh(p[2 * H :] + gate * a[2 * H :])
+                h = (1 - z) * c + z * h
+                states[t, d * H : (d + 1) * H] = h
+        weight = np.exp(states @ m["attend"])
+        assert abs((weight / weight.sum()) @ (states @ m["out"]) + m["base"][0] - got) < 1e-4
+
+
 def test_windows_cover_every_word_and_batches_do_not_matter():
     for n in (0, 1, 63, 64, 65, 112, 113, 500):
         first, _ = toxicity.windows(np.array([n]))
