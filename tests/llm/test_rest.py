@@ -500,3 +500,13 @@ def test_pipeline_stages_decide_by_row(spark):
     # Order among rows that repeat an id does not depend on where they lie.
     again = p.mix(spark, docs.repartition(5, "text"), DATA)
     assert sorted(map(str, again.collect())) == sorted(map(str, mixed.collect()))
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, step in p.STAGES[:-1]:
+        after = step(spark, docs, DATA)
+        assert after.columns == docs.columns and after.count() == 0
+    assert p.STAGES[-1][1](spark, docs, DATA).count() == 0
