@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import lang_id, toxicity, url_filter
+from tidemark.llm import clustering, lang_id, periodic_runs, toxicity, url_filter
 from tidemark.llm.decontam import find_leaks
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licenses
@@ -63,7 +63,21 @@ def op10_license_scan(spark, sf_dir):
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op7_decontaminate, op8_lang_id, op9_mix_sources, op10_license_scan)}
+def op11_periodic_runs(spark, sf_dir):
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_cluster_vectors(spark, sf_dir):
+    return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("computed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op7_decontaminate, op8_lang_id, op9_mix_sources, op10_license_scan, op11_periodic_runs,
+        op13_cluster_vectors,
+    )
+}
 
 ORACLES = {
     "op1_exact_dedup": r"""
@@ -113,4 +127,6 @@ u AS (SELECT source, sz, target, CASE WHEN sz > 0 THEN round(target / sz * 16777
 c AS (SELECT doc_id, size, sz, target, units, o + units * row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS FIRST) AS p
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
 SELECT doc_id, size, sz AS source_size, target, (((p >> 24) - ((p - units) >> 24)) * size)::BIGINT AS taken FROM c""",
+    "op11_periodic_runs": periodic_runs.ORACLE,
+    "op13_cluster_vectors": clustering.oracle(),
 }
