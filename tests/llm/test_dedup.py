@@ -175,7 +175,7 @@ def test_ngram_join_tells_shingles_apart_whose_hashes_begin_alike(spark):
 
     from tidemark.llm.common import shingles
 
-    alike = ["w140 w23 w63", "w42 w117 w76"]
+    alike = ["w152 w10 w198", "w117 w77 w43"]
     a, b = (int(shingles(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]), 3)[0][0]) for x in alike)
     assert a != b and a >> 24 == b >> 24
     texts = []
@@ -200,3 +200,20 @@ def test_ngram_join_of_null_ids_and_nothing(spark):
     got = similar_components(table(spark, ["a b c d", "a b c d", ""], [None, 4, None])).collect()
     assert sorted((x["doc_id"] or -1, x["component_id"] or -1) for x in got) == [(-1, -1), (-1, 4), (4, 4)]
     assert similar_components(table(spark, ["a"]).limit(0)).count() == 0
+
+
+def opposite(n):
+    """Two words of n bytes that any polynomial hash modulo 2**64 takes for one from 1,024 bytes on."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_a_polynomial_hash_takes_for_one(spark, n):
+    a, b = opposite(n)
+    rest = [f"w{i}" for i in range(12)]
+    texts = [" ".join([*rest, a]), " ".join([*rest, b]), a, b, " ".join([*rest, a])]
+    got = {r["doc_id"]: r["component_id"] for r in similar_components(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}

@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,35 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         return mix((h[ends] - h[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
+#: Longer words are hashed one at a time.
+LANES = 8
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [starts, ends): eight bytes at a time are mixed in, so that no pattern of bytes makes two words meet.
+
+    Unlike ``span_hash``, a polynomial modulo 2**64, for which some words of 1,024 bytes and more meet whatever its base.
+    Words of up to eight bytes meet no other of their length.
+    """
+    length = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded.view(), (len(raw) + 1, 8), (1, 1))
+    out = length.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
+    at = np.flatnonzero((length > 0) & (length <= 8 * LANES))
+    for lane in range(LANES):
+        at = at[length[at] > 8 * lane]
+        if not len(at):
+            break
+        left = np.minimum(length[at] - 8 * lane, 8)
+        bytes_ = eight[starts[at] + 8 * lane].copy().view("<u8").ravel()
+        out[at] = mix(out[at] ^ (bytes_ & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left.astype(np.uint64)))), 7)
+    long = np.flatnonzero(length > 8 * LANES)
+    if len(long):
+        data = raw.tobytes()
+        out[long] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -179,7 +209,7 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) ->
 def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Per row, the sorted distinct hashes of its n-word shingles, A-Z lower-cased; a shorter row's words as one; none without words."""
     starts, ends, counts = word_spans(raw, offsets)
-    words = span_hash(prefix_hash(LOWER[raw]), starts, ends)
+    words = word_hashes(LOWER[raw], starts, ends)
     at = np.concatenate([[0], np.cumsum(counts)])
     grams = np.zeros(max(len(words) - n + 1, 0), np.uint64)
     with np.errstate(over="ignore"):

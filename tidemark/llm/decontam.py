@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, discard, prefix_hash, ship, slices, span_hash, stage, word_spans
+from tidemark.llm.common import LOWER, discard, ship, slices, stage, word_hashes, word_spans
 from tidemark.llm.toxicity import GAP
 
 #: Items of a block.
@@ -45,7 +45,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of all words (ASCII letters and digits and anything beyond ASCII, A-Z lower-cased) and how many each row has."""
     low = LOWER[raw]
     starts, ends, counts = word_spans(low, offsets, GAP)
-    return span_hash(prefix_hash(low), starts, ends), counts
+    return word_hashes(low, starts, ends), counts
 
 
 def overlap(part: np.ndarray, passage: np.ndarray) -> float:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, prefix_hash, ship, slices, span_hash, stage, text_slices, word_spans
+from tidemark.llm.common import discard, prefix_hash, ship, slices, span_hash, stage, text_slices, word_hashes, word_spans
 
 LENGTH, GRAM, STEP = 400, 100, 16
 #: Words of a passage that documents share, and of the grams that anchor it.
@@ -86,7 +86,7 @@ def runs_of(prefix, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM)
 def word_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and where each row's begin."""
     starts, ends, counts = word_spans(raw, offsets)
-    return span_hash(prefix_hash(raw), starts, ends), np.concatenate([[0], np.cumsum(counts)])
+    return word_hashes(raw, starts, ends), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _runs(length: int, gram: int, words: int, word_gram: int):
