@@ -11,6 +11,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import similar_components
+from tidemark.llm.pitman_yor import score_texts
 from tidemark.llm.suffix_dedup import remove_repeats
 from tidemark.llm.token_output import read_tokens, write_tokens
 
@@ -67,6 +68,11 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
 
 
+def op12_lm_scores(spark, sf_dir):
+    trains = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    return score_texts(_table(spark, sf_dir, "documents"), trains).withColumn("held_out", lang_id.held_out(F.col("doc_id"), 2, 7))
+
+
 def op13_cluster_vectors(spark, sf_dir):
     return clustering.cluster_vectors(_table(spark, sf_dir, "embeddings")).drop("computed")
 
@@ -75,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_suffix_dedup, op3_url_filter, op4_toxicity, op5_token_output, op6_ngram_join, op7_decontaminate, op8_lang_id, op9_mix_sources, op10_license_scan, op11_periodic_runs,
-        op13_cluster_vectors,
+        op12_lm_scores, op13_cluster_vectors,
     )
 }
 
