@@ -151,13 +151,24 @@ def test_stored_layers_are_read_back_and_hold_their_conditions(spark, tmp_path):
     plain = Dataset(ev, content(spark), 90)
     kept = plain.stored(f"file://{tmp_path}/layers")
     assert set(kept.derive_all().values()) == {0}
-    # Another dataset on the folder reads what stands there, whatever its own events.
-    again = Dataset(ev.limit(0), content(spark), 90, folder=f"file://{tmp_path}/layers")
     for name in ("intervals", "session_runs", "deltas", "boundaries"):
-        assert sorted(map(str, getattr(again, name).collect())) == sorted(map(str, getattr(plain, name).collect()))
+        assert sorted(map(str, getattr(kept, name).select(*getattr(plain, name).columns).collect())) == sorted(map(str, getattr(plain, name).collect()))
     # A table whose writing was broken off is written again.
-    (tmp_path / "layers" / "deltas" / "_SUCCESS").unlink()
-    assert Dataset(ev.limit(0), content(spark), 90, folder=f"file://{tmp_path}/layers").deltas.count() == plain.deltas.count()
+    (mark,) = (tmp_path / "layers").glob("*/deltas/_SUCCESS")
+    mark.unlink()
+    assert plain.stored(f"file://{tmp_path}/layers").deltas.count() == plain.deltas.count()
+
+
+def test_stored_layers_of_other_sources_do_not_meet(spark, tmp_path):
+    events(spark, ("s", "VideoPlay", "", 0), ("s", "VideoHeartbeat", "pause", 50)).write.parquet(f"file://{tmp_path}/one")
+    events(spark, ("s", "VideoPlay", "", 0)).write.parquet(f"file://{tmp_path}/two")
+    one, two = (spark.read.parquet(f"file://{tmp_path}/{x}") for x in ("one", "two"))
+    folder, names = f"file://{tmp_path}/layers", content(spark)
+    kept = [Dataset(one, names, 90, folder=folder), Dataset(two, names, 90, folder=folder), Dataset(one, names, 60, folder=folder), Dataset(one, names, 90, strict=False, folder=folder), Dataset(one.where("ts > 0"), names, 90, folder=folder)]
+    assert [sorted(r["end"] - r["start"] for r in ds.intervals.collect()) for ds in kept] == [[50], [90], [50], [50, 90], [50]]
+    assert len({ds.place for ds in kept}) == 5
+    # The same source, read anew, finds its tables.
+    assert Dataset(spark.read.parquet(f"file://{tmp_path}/one"), names, 90, folder=folder).place == kept[0].place
 
 
 def test_a_refresh_that_a_gate_refuses_replaces_nothing(spark, tmp_path, monkeypatch):

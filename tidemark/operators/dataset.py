@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from functools import wraps
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,25 +24,94 @@ def in_time_order(table: DataFrame) -> DataFrame:
     return table.repartitionByRange(*order).sortWithinPartitions(*order, *[c for c in ("platform", "country", "content_id") if c in table.columns]) if order else table
 
 
+def by_day(table: DataFrame, at: str) -> DataFrame:
+    """Rows dealt to files by hours of a day, so that a folder a day has files of a bounded span of time."""
+    hour = div(F.col(at), {"minute": 60, "second": 3600}[at])
+    return table.repartition("day", hour).sortWithinPartitions("day", at, "platform", "country", "content_id")
+
+
+class Layer(NamedTuple):
+    """Changes of a count over time, in days, and what was open when each day began: a window needs its own days and one opening."""
+
+    changes: DataFrame
+    openings: DataFrame
+    per_day: int
+
+    def where(self, condition: Column) -> Layer:
+        return Layer(self.changes.where(condition), self.openings.where(condition), self.per_day)
+
+    def semi(self, keys: DataFrame, on: str) -> Layer:
+        return Layer(self.changes.join(keys, on, "left_semi"), self.openings.join(keys, on, "left_semi"), self.per_day)
+
+    def within(self, at: str, start: int, end: int) -> DataFrame:
+        """Changes at times in [start, end)."""
+        days = (F.col("day") >= start // self.per_day) & (F.col("day") <= max(end - 1, start) // self.per_day)
+        return self.changes.where(days & (F.col(at) >= start) & (F.col(at) < end)).drop("day")
+
+    def window(self, at: str, start: int, end: int) -> DataFrame:
+        """Changes that sum up, from the beginning of start's day on, to the count at any time in [start, end)."""
+        day = start // self.per_day
+        dims = [c for c in self.openings.columns if c not in ("day", "value")]
+        seed = self.openings.where(F.col("day") == day).select(*dims, F.lit(day * self.per_day).cast("long").alias(at), F.col("value").alias("delta"))
+        return self.within(at, day * self.per_day, end).select(*dims, at, "delta").unionByName(seed)
+
+
+def window_of(layer: DataFrame | Layer, at: str, start: int, end: int) -> DataFrame:
+    """The changes of a layer that a window [start, end) needs; a plain table of changes is read from its beginning."""
+    return layer.window(at, start, end) if isinstance(layer, Layer) else layer.where(F.col(at) < end)
+
+
+def source_mark(events: DataFrame, content: DataFrame, *rest: object) -> str:
+    """A name for what tables are derived from: plans, files with their sizes and times, and parameters. Sources without files never share one."""
+    parts = [repr(rest)]
+    spark = events.sparkSession
+    for df in (events, content):
+        # Numbers of columns and plans differ between sessions.
+        parts.append(re.sub(r"#\d+L?|plan_id=\d+|\[id=#?\d+\]", "", df._jdf.queryExecution().optimizedPlan().toString()))
+        files = sorted(df.inputFiles())
+        if not files:
+            parts.append(str(df.semanticHash()))
+        for name in files:
+            at = spark._jvm.org.apache.hadoop.fs.Path(name)
+            state = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+            parts.append(f"{name} {state.getLen()} {state.getModificationTime()}")
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
 class Dataset:
-    """With a ``folder``, every table is written there when it is first asked for and read from there afterwards."""
+    """With a ``folder``, every table is written there when it is first asked for and read from there afterwards.
+
+    Tables stand under a name for their source (``source_mark``): other events, catalogues, tolerances or pause rules don't meet them.
+    """
 
     def __init__(self, events: DataFrame, content: DataFrame, tolerance: int, strict: bool = True, folder: str | None = None):
         self.events, self.content, self.tolerance, self.strict, self.folder = events, content, tolerance, strict, folder
         self._held: dict[str, DataFrame] = {}
+        self._place: str | None = None
 
     def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._held:
             out = make()
             if self.folder:
                 # The writer's commit is the switch: a table that was not written to its end has no _SUCCESS and is written again.
-                path = f"{self.folder}/{name}"
+                path = f"{self.place}/{name}"
                 if not exists(out, f"{path}/_SUCCESS"):
-                    in_time_order(out).write.mode("overwrite").parquet(path)
+                    if "day" in out.columns:
+                        at = next((c for c in ("minute", "second") if c in out.columns), None)
+                        (by_day(out, at) if at else out.repartition("day")).write.mode("overwrite").partitionBy("day").parquet(path)
+                    else:
+                        in_time_order(out).write.mode("overwrite").parquet(path)
                 out = out.sparkSession.read.schema(out.schema).parquet(path)
             self._held[name] = out
         return self._held[name]
 
+    @property
+    def place(self) -> str:
+        """Where a stored dataset's tables stand."""
+        if self._place is None:
+            self._place = f"{self.folder}/source-{source_mark(self.events, self.content, self.tolerance, self.strict)}"
+        return self._place
+
     @property
     def intervals(self) -> DataFrame:
         return self.table("intervals", lambda: derive.intervals(self.events, self.content, self.tolerance, self.strict))
@@ -54,15 +126,29 @@ class Dataset:
 
     @property
     def deltas(self) -> DataFrame:
-        return self.table("deltas", lambda: derive.deltas(self.session_runs))
+        return self.table("deltas", lambda: derive.deltas(self.session_runs).withColumn("day", div(F.col("minute"), 1440)))
 
     @property
     def user_deltas(self) -> DataFrame:
-        return self.table("user_deltas", lambda: derive.deltas(self.user_runs))
+        return self.table("user_deltas", lambda: derive.deltas(self.user_runs).withColumn("day", div(F.col("minute"), 1440)))
 
     @property
     def boundaries(self) -> DataFrame:
-        return self.table("boundaries", lambda: derive.boundary_deltas(self.intervals))
+        return self.table("boundaries", lambda: derive.boundary_deltas(self.intervals).withColumn("day", div(F.col("second"), 86_400)))
+
+    @property
+    def minutes(self) -> Layer:
+        """Sessions by the minute."""
+        return Layer(self.deltas, self.table("openings", lambda: derive.openings(self.session_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440)
+
+    @property
+    def user_minutes(self) -> Layer:
+        return Layer(self.user_deltas, self.table("user_openings", lambda: derive.openings(self.user_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440)
+
+    @property
+    def seconds(self) -> Layer:
+        spans = lambda: self.intervals.where("end > start").withColumn("sign", F.lit(1))
+        return Layer(self.boundaries, self.table("boundary_openings", lambda: derive.openings(spans(), F.col("start"), F.col("end"), 86_400)), 86_400)
 
     @property
     def naive(self) -> DataFrame:
@@ -74,7 +160,7 @@ class Dataset:
 
     def derive_all(self) -> dict[str, int]:
         """Write all layers of a stored dataset; what must hold afterwards, each 0 (raises where one isn't)."""
-        for name in ("intervals", "session_runs", "user_runs", "deltas", "user_deltas", "boundaries"):
+        for name in ("intervals", "session_runs", "user_runs", "minutes", "user_minutes", "seconds"):
             getattr(self, name)
         bad = {r["check"]: r["bad"] for r in conditions(self).collect()}
         if any(bad.values()):
@@ -98,11 +184,19 @@ def conditions(ds: Dataset) -> DataFrame:
         one("session_deltas_close", ds.deltas, F.abs(F.sum("delta"))), one("user_deltas_close", ds.user_deltas, F.abs(F.sum("delta"))), one("boundaries_close", ds.boundaries, F.abs(F.sum("delta"))),
         one("runs_end_before_they_start", ds.session_runs, F.count_if(F.col("run_end") < F.col("run_start"))),
         one("minutes_of_runs_and_deltas_differ", ds.session_runs.select((F.col("run_end") + 1 - F.col("run_start")).alias("n")).unionByName(ds.deltas.select((F.col("minute") * F.col("delta")).alias("n"))), F.abs(F.sum("n"))),
+        *[one(f"{name}_openings_differ_from_deltas", _unexplained(layer), F.count(F.lit(1))) for name, layer in (("session", ds.minutes), ("user", ds.user_minutes), ("boundary", ds.seconds))],
     ):
         out = out.unionByName(part)
     return out
 
 
+def _unexplained(layer: Layer) -> DataFrame:
+    """Days and dimensions at which an opening and the day's changes don't add up to the next opening."""
+    dims = [c for c in layer.openings.columns if c not in ("day", "value")]
+    rows = layer.changes.select(*dims, "day", F.col("delta").alias("v")).unionByName(layer.openings.select(*dims, "day", F.col("value").alias("v")))
+    return rows.unionByName(layer.openings.select(*dims, (F.col("day") - 1).alias("day"), (-F.col("value")).alias("v"))).groupBy(*dims, "day").agg(F.sum("v").alias("v")).where("v != 0")
+
+
 def kept(f):
     """A function of a dataset alone, whose result a stored dataset keeps."""
 

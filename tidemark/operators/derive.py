@@ -76,6 +76,15 @@ def deltas(runs: DataFrame) -> DataFrame:
     return runs.select(*DIMS, F.inline(two)).groupBy(*DIMS, "minute").agg(F.sum("delta").alias("delta")).where("delta != 0")
 
 
+def openings(spans: DataFrame, low: Column, stop: Column, per_day: int) -> DataFrame:
+    """What is open when a day begins: per ``day`` and dimensions the ``value`` that all deltas before it sum up to.
+
+    Made of spans that started before the day and stop (the place of their -1) in it or later, so that only spans over midnight are unfolded.
+    """
+    over = spans.withColumn("_from", div(low, per_day) + 1).withColumn("_to", div(stop, per_day)).where("_from <= _to")
+    return over.select(*DIMS, "sign", F.explode(F.sequence("_from", "_to")).alias("day")).groupBy("day", *DIMS).agg(F.sum("sign").alias("value")).where("value != 0")
+
+
 def boundary_deltas(ivs: DataFrame) -> DataFrame:
     """The same per second, from intervals that aren't empty."""
     two = F.array(F.struct(F.col("start").alias("second"), F.lit(1).alias("delta")), F.struct(F.col("end").alias("second"), F.lit(-1).alias("delta")))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.core import dense, div, first_by, moment, moment_ms, netted, quantile_exact, stepped
-from tidemark.operators.dataset import Dataset
+from tidemark.functions.prefix import running_sums
+from tidemark.operators.dataset import Dataset, Layer, window_of
 from tidemark.operators.derive import catalogue_once, deltas
 from tidemark.vocabulary import DIMS, EVENT_DIMS
 
@@ -26,12 +27,12 @@ def matching(filters: Filters | None) -> Column:
     return out
 
 
-def minute_series(layer: DataFrame, start: int, end: int, filters: Filters | None = None) -> DataFrame:
+def minute_series(layer: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     """Concurrency of every minute in [start, end) (seconds): ``t`` (minutes), ``value``."""
-    return dense(stepped(layer.where(matching(filters)), "minute", "delta", start // 60, end // 60))
+    return dense(stepped(window_of(layer, "minute", start // 60, end // 60).where(matching(filters)), "minute", "delta", start // 60, end // 60))
 
 
-def curve(layer: DataFrame, start: int, end: int, filters: Filters | None = None) -> DataFrame:
+def curve(layer: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     """Minute by minute concurrency, and the window's figures on every row."""
     series = minute_series(layer, start, end, filters)
     active = F.col("value") > 0
@@ -50,7 +51,7 @@ def curve(layer: DataFrame, start: int, end: int, filters: Filters | None = None
     )
 
 
-def peak_average(layer: DataFrame, start: int, end: int, grain: int, filters: Filters | None = None, offset: int = 0) -> DataFrame:
+def peak_average(layer: DataFrame | Layer, start: int, end: int, grain: int, filters: Filters | None = None, offset: int = 0) -> DataFrame:
     """Peak and averages per bucket of ``grain`` seconds, always of minute values; ``offset`` moves the buckets to another zone's clock."""
     series = minute_series(layer, start, end, filters)
     active = F.col("value") > 0
@@ -65,9 +66,9 @@ def peak_average(layer: DataFrame, start: int, end: int, grain: int, filters: Fi
     return by.select(moment(F.col("b")).alias("bucket"), "peak_concurrency", moment(F.col("peak_t") * 60).alias("peak_minute"), "avg_all_minutes", "avg_active_minutes", "minutes_with_audience", "minutes_in_bucket")
 
 
-def peak_average_exact(boundaries: DataFrame, start: int, end: int, filters: Filters | None = None) -> DataFrame:
+def peak_average_exact(boundaries: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     """Peak at second resolution and averages weighted by time."""
-    steps = stepped(boundaries.where(matching(filters)), "second", "delta", start, end)
+    steps = stepped(window_of(boundaries, "second", start, end).where(matching(filters)), "second", "delta", start, end)
     held = (F.col("next_t") - F.col("t")) * F.col("value")
     live = F.col("value") > 0
     return steps.agg(
@@ -88,7 +89,7 @@ AVERAGES = (
 )
 
 
-def average_definitions(layer: DataFrame, start: int, end: int, filters: Filters | None = None) -> DataFrame:
+def average_definitions(layer: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     series = minute_series(layer, start, end, filters)
     active = F.col("value") > 0
     one = series.agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(active).alias("a"), F.min(F.when(active, F.col("t"))).alias("first"))
@@ -134,7 +135,7 @@ def title_category_peak(ds: Dataset, start: int, end: int, grain: int, title: st
     for column, value in (("title", title), ("category", category), ("show_name", show)):
         if value:
             ids = ids.where(F.col(column) == value)
-    return peak_average(ds.deltas.join(ids.select("content_id").distinct(), "content_id", "left_semi"), start, end, grain).drop("minutes_in_bucket")
+    return peak_average(ds.minutes.semi(ids.select("content_id").distinct(), "content_id"), start, end, grain).drop("minutes_in_bucket")
 
 
 def ingest_status(ds: Dataset) -> DataFrame:
@@ -150,9 +151,8 @@ def ingest_status(ds: Dataset) -> DataFrame:
 
 
 def _peaks(layer: DataFrame, keys: list[str]) -> DataFrame:
-    order = Window.partitionBy(*keys).orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    run = layer.groupBy(*keys, "minute").agg(F.sum("delta").alias("d")).withColumn("c", F.sum("d").over(order))
-    return run.groupBy(*keys).agg(F.max("c").alias("peak"), F.max_by("minute", F.struct("c", -F.col("minute"))).alias("at"))
+    run = running_sums(layer, "minute", "delta", 1440, keys)
+    return run.groupBy(*keys).agg(F.max("value").alias("peak"), F.max_by("minute", F.struct("value", -F.col("minute"))).alias("at"))
 
 
 def peak_is_not_a_rollup(layer: DataFrame, video_type: str, platform: str) -> DataFrame:
@@ -180,12 +180,12 @@ SHAPES: dict[str, dict[str, object]] = {
 GRAINS = {"minute": 60, "hour": 3600, "day": 86400}
 
 
-def answers(layer: DataFrame, start: int, end: int) -> DataFrame:
+def answers(layer: DataFrame | Layer, start: int, end: int) -> DataFrame:
     """Peak and averages of six filter shapes at three grains, in one pass; averages of buckets recombine by their minutes."""
     low, high = start // 60, end // 60
     fits = F.array_compact(F.array(*[F.when(matching(f), name) for name, f in SHAPES.items()]))
-    changes = layer.where(F.col("minute") < high).select(F.explode(fits).alias("shape"), F.greatest("minute", F.lit(low)).cast("long").alias("t"), F.col("delta").cast("long").alias("d"))
-    seeds = layer.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SHAPES))).alias("shape"), F.lit(low).cast("long").alias("t"), F.lit(0).cast("long").alias("d"))
+    changes = window_of(layer, "minute", low, high).select(F.explode(fits).alias("shape"), F.greatest("minute", F.lit(low)).cast("long").alias("t"), F.col("delta").cast("long").alias("d"))
+    seeds = changes.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, SHAPES))).alias("shape"), F.lit(low).cast("long").alias("t"), F.lit(0).cast("long").alias("d"))
     # A window of minutes per shape.
     order = Window.partitionBy("shape").orderBy("t")
     steps = changes.unionByName(seeds).groupBy("shape", "t").agg(F.sum("d").alias("d")).select(
@@ -207,8 +207,8 @@ def answers(layer: DataFrame, start: int, end: int) -> DataFrame:
 
 def divergence(ds: Dataset, start: int, end: int) -> DataFrame:
     """How much counting sessions differs from counting people."""
-    s = minute_series(ds.deltas, start, end).agg(F.max("value").alias("sp"))
-    u = minute_series(ds.user_deltas, start, end).agg(F.max("value").alias("up"))
+    s = minute_series(ds.minutes, start, end).agg(F.max("value").alias("sp"))
+    u = minute_series(ds.user_minutes, start, end).agg(F.max("value").alias("up"))
     r = reach(ds.session_runs, start, end).groupBy().pivot("level", ["sessions", "users"]).agg(F.first("reach"))
     return s.crossJoin(u).crossJoin(r).select(
         F.round(100 * (F.col("sp") - F.col("up")) / F.greatest("up", F.lit(1)), 2).alias("peak_gap_pct"), F.round(F.col("sp") / F.greatest("up", F.lit(1)), 4).alias("peak_multiplier"), F.round(F.col("sessions") / F.greatest("users", F.lit(1)), 4).alias("reach_multiplier")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import asof, div, moment, moment_ms, netted
-from tidemark.operators.dataset import Dataset
+from tidemark.functions.core import div, moment, moment_ms, netted
+from tidemark.functions.prefix import asof_spans, running_sums
+from tidemark.operators.dataset import Dataset, Layer, window_of
 from tidemark.operators.derive import catalogue_once, deltas
 from tidemark.operators.serving import minute_series
 from tidemark.vocabulary import EVENT_TYPES, PAUSES, RESUMES
@@ -30,7 +31,7 @@ def brute_force_curve(ds: Dataset, start: int, end: int) -> DataFrame:
 
 def naive_overcount(ds: Dataset, start: int, end: int) -> DataFrame:
     """What counting whole sessions adds: peaks, percent, and minutes that nobody watched."""
-    true = minute_series(ds.deltas, start, end).withColumnRenamed("value", "v")
+    true = minute_series(ds.minutes, start, end).withColumnRenamed("value", "v")
     naive = minute_series(deltas(ds.naive), start, end).withColumnRenamed("value", "n")
     both = true.join(naive, "t")
     inverted = F.col("n") < F.col("v")
@@ -56,7 +57,7 @@ def data_quality(ds: Dataset) -> DataFrame:
     order = Window.partitionBy("sid").orderBy("ts")
     gaps = ev.select((div(F.col("ts"), 1000) - F.lag(div(F.col("ts"), 1000)).over(order)).alias("g"))
     seconds = ev.groupBy("sid", div(F.col("ts"), 1000).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    run = ds.deltas.groupBy("minute").agg(F.sum("delta").alias("d")).select("d", F.sum("d").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    run = running_sums(ds.deltas, "minute", "delta", 1440).select(F.col("delta").alias("d"), F.col("value").alias("c"))
     return _one([
         rows(named, ("events total", F.count(F.lit(1))), ("events of a negative content", c(F.col("content_id") <= 0)), ("events of a content that is not in the catalogue", c(F.col("known").isNull())),
              ("events of a content without video type", c(F.col("video_type") == "")), ("events before their session's start", c(F.col("session_start") > F.col("ts"))), ("events without a positive time", c(F.col("ts") <= 0)),
@@ -112,25 +113,30 @@ def runs_deltas_recon(ds: Dataset) -> DataFrame:
 
 def exact_invariants(ds: Dataset) -> DataFrame:
     """The exact layer nets to zero, is never negative, its sessions don't overlap themselves, and its peak is at most the minute layer's."""
-    running = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    run = ds.boundaries.groupBy("second").agg(F.sum("delta").alias("d")).select("d", F.sum("d").over(running).alias("c"))
+    run = running_sums(ds.boundaries, "second", "delta", 3600).select(F.col("delta").alias("d"), F.col("value").alias("c"))
     own = Window.partitionBy("sid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     over = ds.intervals.select((F.col("start") < F.max("end").over(own)).alias("o")).agg(F.count_if("o").alias("self_overlaps"))
-    minute = ds.deltas.groupBy("minute").agg(F.sum("delta").alias("d")).select(F.sum("d").over(Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)).alias("c")).agg(F.max("c").alias("minute_peak"))
+    minute = running_sums(ds.deltas, "minute", "delta", 1440).agg(F.max("value").alias("minute_peak"))
     return run.agg(F.sum("d").alias("net"), F.min("c").alias("least"), F.max("c").alias("exact_peak")).crossJoin(over).crossJoin(minute).withColumn("exact_within_minute", F.col("exact_peak") <= F.col("minute_peak"))
 
 
-def sparse_average(layer: DataFrame, start: int, end: int) -> DataFrame:
+def _changes(layer: DataFrame | Layer, start: int, end: int) -> DataFrame:
+    """The layer's own changes in [start, end) seconds."""
+    low, high = start // 60, end // 60
+    return layer.within("minute", low, high) if isinstance(layer, Layer) else layer.where((F.col("minute") >= low) & (F.col("minute") < high))
+
+
+def sparse_average(layer: DataFrame | Layer, start: int, end: int) -> DataFrame:
     """Known to be wrong: an average over the minutes that have a change, beside the one over all minutes."""
-    sparse = layer.where((F.col("minute") * 60 >= start) & (F.col("minute") * 60 < end)).select("minute").distinct()
+    sparse = _changes(layer, start, end).select("minute").distinct()
     series = minute_series(layer, start, end)
     right = series.agg(F.round(F.avg("value"), 2).alias("dense_avg"))
     return series.join(sparse, series["t"] == sparse["minute"], "left_semi").agg(F.round(F.avg("value"), 2).alias("sparse_avg")).crossJoin(right)
 
 
-def unbounded_fill(layer: DataFrame, start: int, end: int) -> DataFrame:
+def unbounded_fill(layer: DataFrame | Layer, start: int, end: int) -> DataFrame:
     """Known to be wrong: a fill from the first to the last change in the window, beside the bounded one."""
-    inside = layer.where((F.col("minute") * 60 >= start) & (F.col("minute") * 60 < end)).agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
+    inside = _changes(layer, start, end).agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
     series = minute_series(layer, start, end)
     cut = series.crossJoin(F.broadcast(inside)).where("t between a and b").agg(F.round(F.avg("value"), 2).alias("unbounded_avg"), F.count(F.lit(1)).alias("unbounded_minutes"))
     return cut.crossJoin(series.agg(F.round(F.avg("value"), 2).alias("bounded_avg"), F.count(F.lit(1)).alias("bounded_minutes")))
@@ -155,14 +161,13 @@ def duplicate_events(events: DataFrame) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra_rows"))
 
 
-def locf_average(layer: DataFrame, start: int, end: int, step: int = 600) -> DataFrame:
+def locf_average(layer: DataFrame | Layer, start: int, end: int, step: int = 600) -> DataFrame:
     """Averages of samples every ``step`` seconds: the last value carried to them, and zero where no change is exactly there."""
-    spark = layer.sparkSession
-    key = F.lit(0).alias("k")
-    running = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
-    run = layer.where(F.col("minute") * 60 < end).groupBy("minute").agg(F.sum("delta").alias("d")).select(key, F.col("minute").alias("t"), F.sum("d").over(running).alias("v"))
-    grid = spark.range(start // 60, end // 60, step // 60).select(key, F.col("id").alias("t"))
-    held = asof(grid, run, ["k"], "t", "v").join(run.select("t", F.col("v").alias("hit")), "t", "left")
+    low, high = start // 60, end // 60
+    run = running_sums(window_of(layer, "minute", low, high), "minute", "delta", 1440).select(F.col("minute").alias("t"), F.col("value").alias("v"))
+    grid = run.sparkSession.range(low, high, step // 60).select(F.col("id").alias("t"))
+    changed = _changes(layer, start, end).select(F.col("minute").alias("t")).distinct()
+    held = asof_spans(grid, run, "t", "v", 1440).join(run.withColumnRenamed("v", "hit").join(changed, "t", "left_semi"), "t", "left")
     return held.agg(F.round(F.avg(F.coalesce("v", F.lit(0))), 2).alias("locf_avg"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 2).alias("zero_fill_avg"), F.count(F.lit(1)).alias("samples"))
 
 

@@ -78,22 +78,22 @@ def user_runs(spark, d):
 
 @query
 def session_deltas(spark, d):
-    return with_times(_ds(spark, d).deltas, minute="minutes")
+    return with_times(_ds(spark, d).deltas.drop("day"), minute="minutes")
 
 
 @query
 def user_deltas(spark, d):
-    return with_times(_ds(spark, d).user_deltas, minute="minutes")
+    return with_times(_ds(spark, d).user_deltas.drop("day"), minute="minutes")
 
 
 @query
 def boundary_deltas(spark, d):
-    return with_times(_ds(spark, d).boundaries, second="seconds")
+    return with_times(_ds(spark, d).boundaries.drop("day"), second="seconds")
 
 
 # -- serving
 
-def _curve(name: str, filters: dict, window=(START, END), layer: str = "deltas"):
+def _curve(name: str, filters: dict, window=(START, END), layer: str = "minutes"):
     def run(spark, d):
         return serving.curve(getattr(_kept(spark, d), layer), *window, filters)
 
@@ -107,11 +107,11 @@ FILTERS = {
 for _name, _filters in FILTERS.items():
     _curve(_name, _filters)
 _curve("curve_mid_window", {}, MID)
-_curve("user_curve", {}, layer="user_deltas")
+_curve("user_curve", {}, layer="user_minutes")
 
 
 def _grain(name: str, grain: int, offset: int = 0):
-    QUERIES[name] = lambda spark, d: serving.peak_average(_kept(spark, d).deltas, START, END, grain, None, offset)
+    QUERIES[name] = lambda spark, d: serving.peak_average(_kept(spark, d).minutes, START, END, grain, None, offset)
 
 
 GRAINS = {"peak_avg_minute": (60, 0), "peak_avg_hour": (3600, 0), "peak_avg_day": (86400, 0), "peak_avg_hour_ist": (3600, 19_800)}
@@ -121,12 +121,12 @@ for _name, (_g, _o) in GRAINS.items():
 
 @query
 def peak_avg_exact(spark, d):
-    return serving.peak_average_exact(_kept(spark, d).boundaries, START, END)
+    return serving.peak_average_exact(_kept(spark, d).seconds, START, END)
 
 
 @query
 def average_definitions(spark, d):
-    return serving.average_definitions(_kept(spark, d).deltas, START, END)
+    return serving.average_definitions(_kept(spark, d).minutes, START, END)
 
 
 @query
@@ -162,12 +162,12 @@ def peak_not_rollup(spark, d):
 
 @query
 def answers_matrix(spark, d):
-    return serving.answers(_kept(spark, d).deltas, START, END)
+    return serving.answers(_kept(spark, d).minutes, START, END)
 
 
 @query
 def ist_rebucket(spark, d):
-    return views.rebucketed(serving.minute_series(_kept(spark, d).deltas, START, END), 86_400)
+    return views.rebucketed(serving.minute_series(_kept(spark, d).minutes, START, END), 86_400)
 
 
 @query
@@ -349,12 +349,12 @@ def exact_invariants(spark, d):
 
 @query
 def sparse_avg_fixture(spark, d):
-    return validate.sparse_average(_kept(spark, d).deltas, START, END)
+    return validate.sparse_average(_kept(spark, d).minutes, START, END)
 
 
 @query
 def unbounded_fill_fixture(spark, d):
-    return validate.unbounded_fill(_kept(spark, d).deltas, START, END)
+    return validate.unbounded_fill(_kept(spark, d).minutes, START, END)
 
 
 @query
@@ -374,7 +374,7 @@ def duplicate_events(spark, d):
 
 @query
 def locf_asof_average(spark, d):
-    return validate.locf_average(_kept(spark, d).deltas, START, END)
+    return validate.locf_average(_kept(spark, d).minutes, START, END)
 
 
 @query
@@ -546,7 +546,7 @@ def asof_join(spark, d):
 
 @query
 def fill_interpolate(spark, d):
-    s = serving.minute_series(_kept(spark, d).deltas, START, END, {"country": "US"})
+    s = serving.minute_series(_kept(spark, d).minutes, START, END, {"country": "US"})
     return with_times(s, t="minutes")
 
 
@@ -574,7 +574,7 @@ def signed_weighted_avg(spark, d):
 
 @query
 def time_weighted_avg(spark, d):
-    return serving.peak_average_exact(_kept(spark, d).boundaries, *MID, {"platform": "iOS"})
+    return serving.peak_average_exact(_kept(spark, d).seconds, *MID, {"platform": "iOS"})
 
 
 @query
