@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import carried, div, first_by, moment, moment_ms, netted, quantile_exact
+from tidemark.functions.core import carried, div, first_by, moment, moment_ms, netted, with_quantiles
 from tidemark.operators.dataset import Dataset, kept, kept_by_minute
 from tidemark.operators.derive import catalogue_once
 from tidemark.vocabulary import FINAL_AFTER, INSIGHT_DIMS, LATE_AFTER, PAUSES, RESUMES
@@ -142,9 +142,10 @@ def entry_cohorts(ds: Dataset, start: int, end: int) -> DataFrame:
         F.min("title").alias("title"), F.min("category").alias("category"), F.count(F.lit(1)).alias("entered_sessions"),
         *[F.sum(f"active_after_{k}m").alias(f"active_after_{k}m") for k in RETENTION],
         *[F.round(F.sum(f"active_after_{k}m") / F.count(F.lit(1)), 6).alias(f"retention_{k}m") for k in RETENTION],
-        F.round(F.avg("active_seconds"), 4).alias("avg_active_seconds"), quantile_exact(F.col("active_seconds"), 0.5).alias("median_active_seconds"), quantile_exact(F.col("active_seconds"), 0.9).alias("p90_active_seconds"),
+        F.round(F.avg("active_seconds"), 4).alias("avg_active_seconds"),
     )
-    return by
+    # A live event begins for millions in one minute: values are counted, not collected.
+    return with_quantiles(by, inside.withColumn("m", div(F.col("first_active"), 60)), ["m", *INSIGHT_DIMS], "active_seconds", median_active_seconds=0.5, p90_active_seconds=0.9)
 
 
 def _journey(facts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -221,29 +222,46 @@ def spike_candidates(ds: Dataset, start: int, end: int, least_peak: int = 50, le
     return by.where((F.col("peak") >= least_peak) & (F.col("minutes") >= least_minutes)).orderBy(F.desc("peak"), "content_id").limit(top)
 
 
+def daily_spikes(ds: Dataset, start: int, end: int, least_peak: int = 50, least_minutes: int = 10, top: int = 25) -> DataFrame:
+    """Verdicts on each day's candidates (the contents that ``spike_candidates`` names for that day), as ``spike_events`` gives them for the day, with ``day``; all days of [start, end) in one pass."""
+    snapshot = minute_snapshot(ds, start, end).groupBy(div(F.col("m"), 1440).alias("day"), "content_id", "m").agg(F.sum("concurrent_sessions").alias("c"))
+    by = snapshot.groupBy("day", "content_id").agg(F.max("c").alias("peak"), F.count(F.lit(1)).alias("minutes")).where((F.col("peak") >= least_peak) & (F.col("minutes") >= least_minutes))
+    # A row per content of a day.
+    ranked = by.withColumn("r", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("peak"), "content_id"))).where(F.col("r") <= top)
+    facts = session_facts(ds).where((F.col("session_start") >= start * 1000) & (F.col("session_start") < end * 1000)).withColumn("day", div(F.col("session_start"), 86_400_000))
+    return _spikes(snapshot.join(ranked.select("day", "content_id"), ["day", "content_id"], "left_semi"), facts, ["day"])
+
+
 def spike_events(ds: Dataset, start: int, end: int, contents: DataFrame | None = None) -> DataFrame:
     """Per content: its peak in the window, what held after it, and a verdict; the earliest peak counts."""
     curve = minute_snapshot(ds, start, end).groupBy("content_id", "m").agg(F.sum("concurrent_sessions").alias("c"))
     if contents is not None:
-        curve = curve.join(F.broadcast(contents.select("content_id")), "content_id", "left_semi")
+        curve = curve.join(contents.select("content_id"), "content_id", "left_semi")
+    return _spikes(curve, session_facts(ds).where((F.col("session_start") >= start * 1000) & (F.col("session_start") < end * 1000)), [])
+
+
+def _spikes(curve: DataFrame, facts: DataFrame, periods: list[str]) -> DataFrame:
+    """Verdicts per content, and period where there are any, from minutes ``m`` with ``c`` sessions and the facts of the sessions that started then."""
+    keys = [*periods, "content_id"]
     # Minutes of one content in one window: as many as the window has, at most.
-    agg = curve.groupBy("content_id").agg(F.max(F.struct("c", (-F.col("m")).alias("k"))).alias("p"), F.min("m").alias("first"), F.collect_list(F.struct("m", "c")).alias("pts")).select(
-        "content_id", F.col("p.c").alias("peak"), (-F.col("p.k")).alias("peak_m"), "first", "pts"
+    agg = curve.groupBy(*keys).agg(F.max(F.struct("c", (-F.col("m")).alias("k"))).alias("p"), F.min("m").alias("first"), F.collect_list(F.struct("m", "c")).alias("pts")).select(
+        *keys, F.col("p.c").alias("peak"), (-F.col("p.k")).alias("peak_m"), "first", "pts"
     )
     at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("pts", lambda x: x["m"] == F.col("peak_m") + k), lambda x: x["c"])), F.lit(0))
     base = F.coalesce(F.array_min(F.transform(F.filter("pts", lambda x: x["m"] < F.col("peak_m")), lambda x: x["c"])), F.lit(0))
     above = F.size(F.filter("pts", lambda x: (x["m"] >= F.col("peak_m")) & (x["c"] * 100 >= F.col("peak") * 80)))
-    sustain = agg.where("peak > 0").select("content_id", "peak", "peak_m", "first", base.alias("baseline"), at(5).alias("after_5"), at(10).alias("after_10"), at(15).alias("after_15"), above.alias("above"))
-    outcome = session_facts(ds).where((F.col("session_start") >= start * 1000) & (F.col("session_start") < end * 1000)).groupBy("content_id").agg(
+    sustain = agg.where("peak > 0").select(*keys, "peak", "peak_m", "first", base.alias("baseline"), at(5).alias("after_5"), at(10).alias("after_10"), at(15).alias("after_15"), above.alias("above"))
+    outcome = facts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("entered"), F.avg((F.col("background_count") > 0).cast("int")).alias("bg"), F.avg((F.col("video_error_count") > 0).cast("int")).alias("err"), F.avg("timed_out").alias("to")
     )
     pct = lambda c: F.col(c) * 100.0 / F.col("peak")
     r10 = pct("after_10")
+    # The bounds of the verdicts.
     verdict = F.when((r10 >= 70) & (F.col("above") >= 8), "healthy_sustained").when((r10 < 55) | (F.col("above") <= 4), "short_lived").otherwise("inconclusive")
     growth = F.when(F.col("baseline") > 0, (F.col("peak") - F.col("baseline")) * 100.0 / F.col("baseline")).otherwise(100.0)
     rate = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 6)
-    return sustain.join(outcome, "content_id", "left").select(
-        "content_id", moment(F.col("first") * 60).alias("window_start"), moment(F.col("peak_m") * 60).alias("peak_minute"), F.col("baseline").alias("baseline_concurrency"), F.col("peak").alias("peak_concurrency"),
+    return sustain.join(outcome, keys, "left").select(
+        *keys, moment(F.col("first") * 60).alias("window_start"), moment(F.col("peak_m") * 60).alias("peak_minute"), F.col("baseline").alias("baseline_concurrency"), F.col("peak").alias("peak_concurrency"),
         (F.col("peak") - F.col("baseline")).alias("absolute_growth"), F.round(growth, 4).alias("growth_percent"), (F.col("peak_m") - F.col("first")).alias("minutes_to_peak"), F.col("above").alias("minutes_above_80pct_peak"),
         F.col("after_5").alias("concurrency_after_5m"), F.col("after_10").alias("concurrency_after_10m"), F.col("after_15").alias("concurrency_after_15m"),
         *[F.round(pct(f"after_{k}"), 4).alias(f"retention_{k}m_percent") for k in (5, 10, 15)], F.coalesce("entered", F.lit(0)).alias("entered_sessions"),

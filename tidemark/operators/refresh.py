@@ -1,71 +1,159 @@
-"""Refresh of stored insight tables: the days of a window are computed again, checked, and put in place of what stood.
+"""Refresh of stored insight tables at the cost of what changed: sessions with new events, their users, and the days they show in.
 
-Tables lie in one folder per day. A refresh looks back a while from its window, as sessions that were open then
-have changed since, and rewrites whole days: run twice it leaves the same rows, and rows that vanished don't linger.
+A session is derived again from all its events whenever one of them is new, however long ago it started and however late
+the event is. Tables of sessions and users take new versions of these keys; tables by the minute are computed again for
+the days that the sessions showed in, before or now. All tables change at once, by one manifest, after the gates hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.core import div
+from tidemark.functions.core import div, netted
+from tidemark.operators import derive
 from tidemark.operators import insights as i
 from tidemark.operators.dataset import Dataset
 from tidemark.operators.serving import minute_series
+from tidemark.operators.snapshots import Store, day_list
 from tidemark.vocabulary import INSIGHT_DIMS
 
-#: Seconds before the window that are computed again.
+#: Seconds before the window in which events still count as new.
 LOOK_BACK = 1800
 DAY = 86_400
-#: Per table: how it is made for a window of seconds, the day of a row, and the columns that no two rows share.
-TABLES = {
-    "session_facts": (lambda ds, a, b: i.session_facts(ds).where((F.col("session_start") >= a * 1000) & (F.col("session_start") < b * 1000)), lambda: div(F.col("session_start"), DAY * 1000), ["sid"]),
-    "state_transitions": (lambda ds, a, b: i.state_transitions(ds).where((F.col("ts") >= a * 1000) & (F.col("ts") < b * 1000)), lambda: div(F.col("ts"), DAY * 1000), ["sid", "playback_instance_no", "transition_sequence"]),
+#: The peak and the minutes from which a content's day gets a verdict.
+SPIKES = (2, 10)
+#: Tables by session, and what they are sorted by.
+BY_SESSION = {"session_facts": (i.session_facts, ("session_start",)), "state_transitions": (i.state_transitions, ("ts",)), "session_runs": (lambda ds: ds.session_runs, ("run_start",))}
+#: Tables by user, made of facts and runs.
+BY_USER = {"content_transitions": (i.content_transitions, ("moved_at",)), "platform_transitions": (i.platform_transitions, ("moved_at",))}
+#: Tables by day: how they are made for a window of seconds, the day of a row, and the columns that no two rows share.
+BY_DAY = {
     "minute_snapshot": (i.minute_snapshot, lambda: div(F.col("m"), 1440), ["m", *INSIGHT_DIMS]),
     "entry_cohorts": (i.entry_cohorts, lambda: div(F.col("m"), 1440), ["m", *INSIGHT_DIMS]),
     "playback_health": (i.playback_health, lambda: div(F.col("m"), 1440), ["m", *INSIGHT_DIMS]),
+    "late_events": (lambda ds, a, b: i.late_events(ds.events.where((F.col("ts") >= a * 1000) & (F.col("ts") < b * 1000))), lambda: F.col("day"), None),
+    "spike_events": (lambda ds, a, b: i.daily_spikes(ds, a, b, *SPIKES), lambda: F.col("day"), ["day", "content_id"]),
 }
 
 
+class Insights:
+    """Insight tables of a dataset in a store."""
+
+    def __init__(self, ds: Dataset, folder: str):
+        self.ds, self.store = Dataset(ds.events, ds.content, ds.tolerance, ds.strict), Store(ds.events.sparkSession, folder)
+        ds = self.ds
+        self._like = {n: make(ds).schema for n, (make, _) in (BY_SESSION | BY_USER).items()} | {"user_runs": ds.user_runs.schema}
+
+    def schema(self, name: str):
+        if name in self._like:
+            return self._like[name]
+        make, day, _ = BY_DAY[name]
+        return self._like.setdefault(name, make(self.ds, 0, DAY).drop("day").schema)
+
+    def read(self, name: str, start: int | None = None, end: int | None = None, number: int | None = None) -> DataFrame:
+        """A table of a snapshot (the newest unless told otherwise); one by day only for the days of the window, in seconds."""
+        return self.store.read(self.store.manifest(number), name, self.schema(name), None if start is None else start // DAY, None if end is None else -(-end // DAY))
+
+    def build(self) -> dict:
+        """All tables anew, over all of time, as the next snapshot: what stood stays until the very end, and can be returned to."""
+        return self._make(None)
+
+    def refresh(self, start: int, end: int, look_back: int = LOOK_BACK) -> dict:
+        """The snapshot after events of [start - look_back, end] (seconds), or that arrived in [start, end], are taken in."""
+        ts, arrival = F.col("ts"), F.col("arrival")
+        return self._make(ts.between((start - look_back) * 1000, end * 1000 + 999) | arrival.between(start, end))
+
+    def _make(self, new: Column | None) -> dict:
+        ds, store = self.ds, self.store
+        before = store.manifest()
+        old = lambda name: store.read(before, name, self.schema(name))
+        first = new is None or not before["tables"]
+        keys: dict[str, str | None] = {"sid": None, "user_id": None}
+        events, touched = ds.events, None
+        if not first:
+            seen = events.where(new).groupBy("sid").agg(F.min("ts").alias("low"))
+            keys["sid"] = store.write("touched", seen)
+            seen = ds.events.sparkSession.read.parquet(keys["sid"])
+            stood = old("session_facts").join(seen, "sid", "left_semi")
+            # No event of these sessions is older than this one.
+            low = seen.agg(F.min("low").alias("x")).unionByName(stood.agg(F.min("session_start").alias("x"))).agg(F.min("x")).first()[0]
+            if low is None:
+                return before
+            touched = seen.select("sid")
+            keys["sid"] = store.write("touched", touched)
+            touched = ds.events.sparkSession.read.parquet(keys["sid"])
+            events = events.where(F.col("ts") >= low).join(touched, "sid", "left_semi")
+        part = Dataset(events, ds.content, ds.tolerance, ds.strict)
+        tables = {name: store.upserted(before, name, "sid", make(part), keys["sid"], sort) for name, (make, sort) in BY_SESSION.items()}
+        now = lambda name: store.read({"tables": tables}, name, self.schema(name))
+        both = lambda name, key, by: _both(old(name) if not first else None, now(name), key, by)
+        if not first:
+            users = both("session_facts", touched, "sid").select("user_id").unionByName(both("session_runs", touched, "sid").select("user_id")).distinct()
+            keys["user_id"] = store.write("users", users)
+            users = ds.events.sparkSession.read.parquet(keys["user_id"])
+        of_users = lambda df: df if first else df.join(users, "user_id", "left_semi")
+        tables["user_runs"] = store.upserted(before, "user_runs", "user_id", derive.user_runs(netted(of_users(now("session_runs")))), keys["user_id"], ("run_start",))
+        people = Dataset(ds.events, ds.content, ds.tolerance, ds.strict)
+        people._held["session_facts"] = of_users(now("session_facts"))
+        for name, (make, sort) in BY_USER.items():
+            tables[name] = store.upserted(before, name, "user_id", make(people), keys["user_id"], sort)
+        # Days that the touched sessions and users show in, as they were or are.
+        days = _days(both("session_facts", touched, "sid"), both("session_runs", touched, "sid"), both("user_runs", None if first else users, "user_id"), events)
+        made, bad = {}, {}
+        for low, high in _ranges(days):
+            view = self._view(now, low * DAY, high * DAY)
+            rows = {t: make(view, low * DAY, high * DAY).withColumn("day", day()) for t, (make, day, _) in BY_DAY.items()}
+            bad |= {k: v for k, v in gates(view, rows, low * DAY, high * DAY).items() if v}
+            for t, r in rows.items():
+                made[t] = r if t not in made else made[t].unionByName(r)
+        if bad:
+            raise ValueError(f"refresh refused: {bad}")
+        base = {"tables": {}} if new is None else before
+        for t in BY_DAY:
+            tables[t] = store.replaced(base, t, made[t], days, ("m",) if "m" in made[t].columns else ()) if t in made else base["tables"].get(t, {"days": {}})
+        return store.commit(before, tables)
+
+    def _view(self, now, start: int, end: int) -> Dataset:
+        """A dataset whose sessions, users and facts are the stored ones that a window of whole days can show."""
+        ds = self.ds
+        inside = (F.col("run_start") * 60 < end) & (F.col("run_end") * 60 >= start)
+        # A session's minutes lie between its first event and the tolerance after its last one.
+        alive = (F.col("session_start") < end * 1000) & (F.greatest("last_event", F.col("last_active") * 1000, "session_end") >= (start - ds.tolerance) * 1000)
+        view = Dataset(ds.events.where((F.col("ts") >= start * 1000) & (F.col("ts") < end * 1000)), ds.content, ds.tolerance, ds.strict)
+        view._held |= {"session_runs": now("session_runs").where(inside), "user_runs": now("user_runs").where(inside), "session_facts": now("session_facts").where(alive)}
+        return view
+
+
+def _both(old: DataFrame | None, now: DataFrame, keys: DataFrame | None, by: str) -> DataFrame:
+    """The rows of some keys as they were and as they are."""
+    rows = now if old is None else old.unionByName(now)
+    return rows if keys is None else rows.join(keys, by, "left_semi")
+
+
+def _days(facts: DataFrame, runs: DataFrame, user_runs: DataFrame, events: DataFrame) -> list[int]:
+    of_facts = facts.select(F.explode(F.array(*[div(F.col(c), DAY * 1000) for c in ("session_start", "first_play", "session_end")], *[div(F.col(c), DAY) for c in ("first_active", "last_active")])).alias("day")).where("day > 0")
+    of_runs = runs.select("run_start", "run_end").unionByName(user_runs.select("run_start", "run_end")).select(F.explode(F.sequence(div(F.col("run_start"), 1440), div(F.col("run_end"), 1440))).alias("day"))
+    return day_list(of_facts.distinct().unionByName(of_runs.distinct()).unionByName(events.select(div(F.col("ts"), DAY * 1000).alias("day")).distinct()))
+
+
+def _ranges(days: list[int]) -> list[tuple[int, int]]:
+    """Stretches [low, high) of days that follow each other."""
+    out: list[list[int]] = []
+    for d in days:
+        if out and out[-1][1] == d:
+            out[-1][1] = d + 1
+        else:
+            out.append([d, d + 1])
+    return [(a, b) for a, b in out]
+
+
 def gates(ds: Dataset, made: dict[str, DataFrame], start: int, end: int) -> dict[str, int]:
-    """What must be 0 before anything is replaced: keys that several rows share, and minutes whose snapshot differs from the deltas."""
-    repeated = lambda t: made[t].groupBy(*TABLES[t][2]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("bad")).select(F.lit(f"{t}_repeats_a_key").alias("gate"), "bad")
-    out = None
-    for t in made:
-        out = repeated(t) if out is None else out.unionByName(repeated(t))
-    both = made["minute_snapshot"].groupBy(F.col("m").alias("t")).agg(F.sum("concurrent_sessions").alias("c")).join(minute_series(ds.deltas, start, end), "t", "full")
-    differ = both.where(F.coalesce("c", F.lit(0)) != F.coalesce("value", F.lit(0))).agg(F.count(F.lit(1)).alias("bad")).select(F.lit("snapshot_differs_from_deltas").alias("gate"), "bad")
-    return {r["gate"]: r["bad"] for r in out.unionByName(differ).collect()}
-
-
-def refresh(ds: Dataset, folder: str, start: int, end: int, look_back: int = LOOK_BACK) -> dict[str, int]:
-    """Write all tables' rows of the days that [start - look_back, end) touches under ``folder``; raises, with nothing replaced, where a gate doesn't hold."""
-    low, high = (start - look_back) // DAY * DAY, -(-end // DAY) * DAY
-    shadow = Dataset(ds.events, ds.content, ds.tolerance, ds.strict, f"{folder}/shadow-{low}-{high}-{id(ds)}")
-    made = {t: make(shadow, low, high).withColumn("day", day()) for t, (make, day, _) in TABLES.items()}
-    bad = gates(shadow, made, low, high)
-    if any(bad.values()):
-        raise ValueError(f"refresh of {low} to {high} refused: {bad}")
-    for t, table in made.items():
-        table.repartition("day").sortWithinPartitions("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{folder}/{t}")
-        # As many days as the window has, at most.
-        for r in _days(table, folder, t, low, high).collect():
-            _drop(table, f"{folder}/{t}/day={r['day']}")
-    return bad
-
-
-def _days(table: DataFrame, folder: str, name: str, low: int, high: int) -> DataFrame:
-    """Days of the window that stand though nothing was made for them now."""
-    stands = read(table, folder, name).where((F.col("day") >= low // DAY) & (F.col("day") < high // DAY)).select("day").distinct()
-    return stands.join(table.select("day").distinct(), "day", "left_anti")
-
-
-def _drop(of: DataFrame, path: str) -> None:
-    spark = of.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def read(like: DataFrame, folder: str, name: str) -> DataFrame:
-    return like.sparkSession.read.schema(like.schema).parquet(f"{folder}/{name}")
+    """What must be 0 before anything is replaced: keys that several rows share, and minutes whose snapshot differs from the runs' deltas."""
+    repeated = lambda t, keys: made[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("bad")).select(F.lit(f"{t}_repeats_a_key").alias("gate"), "bad")
+    both = made["minute_snapshot"].groupBy(F.col("m").alias("t")).agg(F.sum("concurrent_sessions").alias("c")).join(minute_series(derive.deltas(ds.session_runs), start, end), "t", "full")
+    out = both.where(F.coalesce("c", F.lit(0)) != F.coalesce("value", F.lit(0))).agg(F.count(F.lit(1)).alias("bad")).select(F.lit("snapshot_differs_from_deltas").alias("gate"), "bad")
+    for t, (_, _, keys) in BY_DAY.items():
+        if keys:
+            out = out.unionByName(repeated(t, keys))
+    return {r["gate"]: r["bad"] for r in out.collect()}

@@ -35,12 +35,12 @@ def pick(values: str, index: str) -> str:
 PAUSE, RESUME = "('pause','speed-pause','AdPause')", "('resume','speed-resume','AdResume')"
 
 BASE = f"""
-e0 AS (SELECT event_id AS e, user_id AS u, epoch_us(ts) // 1000 AS ts, strftime(ts, '%Y%m%d') AS day,
+e0 AS (SELECT event_id AS e, user_id AS u, epoch_us(ts) // 1000 AS ts, strftime(ts + INTERVAL 12 HOUR, '%Y%m%d') AS day,
   CASE WHEN event_id % 10 = 3 THEN 'AppBackgrounded' WHEN event_id % 10 = 7 THEN 'AppForegrounded' WHEN event_id % 23 = 5 THEN 'VideoSessionEnd'
     WHEN event_type = 'signup' THEN 'VideoSessionStart' WHEN event_type = 'view' THEN 'VideoPlay' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'VideoError' ELSE 'VideoHeartbeat' END AS event_type FROM events),
 ev AS (SELECT 'u' || u || '-' || day AS sid, 'u' || (CASE WHEN e % 41 = 0 THEN u + 1 ELSE u END) AS user_id, event_type,
   CASE WHEN event_type = 'VideoHeartbeat' THEN {pick("'pause','resume','AdPause','AdResume','speed-pause','speed-resume','','buffer','progress','progress','seek','progress'", "e")} ELSE '' END AS event,
-  ts, CASE WHEN e % 20 = 3 THEN 0 ELSE ts // 1000 + CASE e % 20 WHEN 0 THEN -3600 WHEN 1 THEN 600 WHEN 2 THEN 7200 ELSE 10 END END AS arrival, ts // 86400000 * 86400000 AS session_start,
+  ts, CASE WHEN e % 20 = 3 THEN 0 ELSE ts // 1000 + CASE e % 20 WHEN 0 THEN -3600 WHEN 1 THEN 600 WHEN 2 THEN 7200 ELSE 10 END END AS arrival, (ts + 43200000) // 86400000 * 86400000 - 43200000 AS session_start,
   1 + (u * 7 + CASE WHEN e % 31 = 0 THEN 1 ELSE 0 END) % 40 AS content_id, {pick("'Android','iOS','Web','SmartTV'", "u + CASE WHEN e % 17 = 0 THEN 1 ELSE 0 END")} AS platform, {pick("'IN','US','GB','AE','SG'", "u")} AS country,
   {pick("'1.0','1.1','2.0'", "u")} AS app_version, {pick("'hi','en',''", "u + e % 2")} AS audio_language, {pick("'en',''", "u")} AS subtitle_language, {pick("'p1','p2'", "u + 1")} AS player_version, {pick("'1080p','720p','4K'", "u + 2")} AS video_resolution FROM e0),
 ct AS (SELECT p_partkey AS content_id, p_name AS title, {pick("'vod','live','vod',''", "p_partkey")} AS video_type, p_type AS category, p_brand AS show_name FROM part WHERE p_partkey <= 40 AND p_partkey % 9 <> 0),
@@ -262,7 +262,13 @@ def ever(text: str) -> str:
 
 ORACLES |= {name: ever(ORACLES[name]) for name in ("minute_snapshot", "entry_cohorts", "playback_health", "spike_candidates", "insight_status")}
 
-ORACLES["refresh_equals_batch"] = ORACLES["minute_snapshot"]
+ORACLES |= {
+    f"{name}_equals_batch": ORACLES[of]
+    for name, of in (
+        ("refresh", "minute_snapshot"), ("facts_refresh", "session_facts"), ("transitions_refresh", "state_transitions"), ("cohorts_refresh", "entry_cohorts"), ("health_refresh", "playback_health"),
+        ("journeys_refresh", "content_transitions"), ("lateness_refresh", "late_event_audit"), ("advancing_clock", "session_runs"),
+    )
+}
 
 def made(name: str, content: int, mix: tuple) -> str:
     """The sessions of a made audience: name, content, id, what they do, when, and their start."""

@@ -24,7 +24,8 @@ def player_events(events: DataFrame) -> DataFrame:
         f"when event_type = 'error' and {e} % 4 = 0 then 'VideoError' else 'VideoHeartbeat' end"
     )
     made = events.select(
-        e, F.expr(f"concat('u', {u}, '-', date_format(ts, 'yyyyMMdd'))").alias("sid"),
+        # Sessions go from noon to noon, over midnight.
+        e, F.expr(f"concat('u', {u}, '-', date_format(ts + interval 12 hours, 'yyyyMMdd'))").alias("sid"),
         F.expr(f"concat('u', case when {e} % 41 = 0 then {u} + 1 else {u} end)").alias("uid"),
         F.expr(kind).alias("kind"), F.expr(beat).alias("beat"), F.expr("unix_millis(cast(ts as timestamp))").alias("ms"),
         F.expr(f"1 + ({u} * 7 + case when {e} % 31 = 0 then 1 else 0 end) % 40").alias("content_id"),
@@ -39,7 +40,7 @@ def player_events(events: DataFrame) -> DataFrame:
     )
     return made.select(
         F.col("sid"), F.col("uid").alias("user_id"), F.col("kind").alias("event_type"), F.expr("case when kind = 'VideoHeartbeat' then beat else '' end").alias("event"),
-        F.col("ms").alias("ts"), F.expr("case when unseen then 0 else floor(ms / 1000) + late end").cast("long").alias("arrival"), F.expr("floor(ms / 86400000) * 86400000").cast("long").alias("session_start"),
+        F.col("ms").alias("ts"), F.expr("case when unseen then 0 else floor(ms / 1000) + late end").cast("long").alias("arrival"), F.expr("floor((ms + 43200000) / 86400000) * 86400000 - 43200000").cast("long").alias("session_start"),
         "content_id", "platform", "country", "app_version", "audio_language", "subtitle_language", "player_version", "video_resolution",
     )
 
