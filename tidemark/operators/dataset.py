@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.bins import binned
 from tidemark.functions.core import div
 from tidemark.operators import derive
 
@@ -96,7 +97,9 @@ class Dataset:
                 # The writer's commit is the switch: a table that was not written to its end has no _SUCCESS and is written again.
                 path = f"{self.place}/{name}"
                 if not exists(out, f"{path}/_SUCCESS"):
-                    if "day" in out.columns:
+                    if "slot" in out.columns:
+                        out.repartition("level", "slot").sortWithinPartitions("level", "slot", "bin").write.mode("overwrite").partitionBy("level", "slot").parquet(path)
+                    elif "day" in out.columns:
                         at = next((c for c in ("minute", "second") if c in out.columns), None)
                         (by_day(out, at) if at else out.repartition("day")).write.mode("overwrite").partitionBy("day").parquet(path)
                     else:
@@ -154,6 +157,19 @@ class Dataset:
     def naive(self) -> DataFrame:
         return self.table("naive", lambda: derive.naive_runs(self.events, self.content, self.tolerance))
 
+    @property
+    def session_index(self) -> DataFrame:
+        """Session runs with their bins, for windows that look for what overlaps them."""
+        return self.table("session_index", lambda: binned(self.session_runs))
+
+    @property
+    def naive_index(self) -> DataFrame:
+        return self.table("naive_index", lambda: binned(self.naive))
+
+    def as_of(self, seconds: int) -> Dataset:
+        """The dataset as its events up to a time tell it: what came later is as if it never had."""
+        return Dataset(self.events.where(F.col("ts") < seconds * 1000), self.content, self.tolerance, self.strict, self.folder)
+
     def stored(self, folder: str) -> Dataset:
         """The same dataset with its tables kept under ``folder``; events are stored by session, so that derivation finds them together."""
         return Dataset(self.events, self.content, self.tolerance, self.strict, folder)

@@ -7,6 +7,8 @@ the days that the sessions showed in, before or now. All tables change at once,
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tidemark.functions.core import div, netted
 from tidemark.operators import derive
 from tidemark.operators import insights as i
 from tidemark.operators.dataset import Dataset
+from tidemark.operators.diff import compared
 from tidemark.operators.serving import minute_series
 from tidemark.operators.snapshots import Store, day_list
 from tidemark.vocabulary import INSIGHT_DIMS
@@ -37,6 +40,13 @@ BY_DAY = {
 }
 
 
+#: Columns by which tables are dealt to buckets when they are compared.
+KEYS = {
+    "session_facts": ["sid"], "state_transitions": ["sid"], "session_runs": ["sid"], "user_runs": ["user_id"], "content_transitions": ["user_id"], "platform_transitions": ["user_id"],
+    "minute_snapshot": ["m"], "entry_cohorts": ["m"], "playback_health": ["m"], "late_events": ["sid"], "spike_events": ["content_id"],
+}
+
+
 class Insights:
     """Insight tables of a dataset in a store."""
 
@@ -64,6 +74,20 @@ class Insights:
         ts, arrival = F.col("ts"), F.col("arrival")
         return self._make(ts.between((start - look_back) * 1000, end * 1000 + 999) | arrival.between(start, end))
 
+    def verify(self, start: int, end: int, tables: Iterable[str] = ()) -> DataFrame:
+        """Tables (all unless named) against ones derived afresh from all events, by digests; tables by day over [start, end), whole days. A row per table, of which the last two columns are 0."""
+        out = None
+        for name in tables or KEYS:
+            keys = KEYS[name]
+            if name in BY_DAY:
+                low, high = start // DAY * DAY, -(-end // DAY) * DAY
+                have, want = self.read(name, low, high), BY_DAY[name][0](self.ds, low, high).drop("day")
+            else:
+                have, want = self.read(name), self.ds.user_runs if name == "user_runs" else (BY_SESSION | BY_USER)[name][0](self.ds)
+            one = compared(name, have, want.select(*have.columns), keys)
+            out = one if out is None else out.unionByName(one)
+        return out
+
     def _make(self, new: Column | None) -> dict:
         ds, store = self.ds, self.store
         before = store.manifest()

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.bins import overlapping
 from tidemark.functions.core import dense, div, first_by, moment, moment_ms, netted, quantile_exact, stepped
 from tidemark.functions.prefix import running_sums
 from tidemark.operators.dataset import Dataset, Layer, window_of
@@ -99,8 +100,10 @@ def average_definitions(layer: DataFrame | Layer, start: int, end: int, filters:
 
 
 def reach(runs: DataFrame, start: int, end: int, filters: Filters | None = None) -> DataFrame:
-    """Distinct sessions and users with a run that overlaps the window."""
-    inside = netted(runs).where((F.col("run_start") * 60 < end) & (F.col("run_end") * 60 >= start) & matching(filters))
+    """Distinct sessions and users with a run that overlaps the window; runs with bins are looked up by these."""
+    # Minutes m of runs with m * 60 in [start, end).
+    low, high = -(-start // 60), (end - 1) // 60
+    inside = netted(runs.where((overlapping(low, high) if "bin" in runs.columns else (F.col("run_start") <= high) & (F.col("run_end") >= low)) & matching(filters)))
     one = inside.agg(F.count_distinct("sid").alias("s"), F.count_distinct("user_id").alias("u"))
     return one.select(F.inline(F.array(F.struct(F.lit("sessions").alias("level"), F.col("s").alias("reach")), F.struct(F.lit("users").alias("level"), F.col("u").alias("reach")))))
 
@@ -209,7 +212,7 @@ def divergence(ds: Dataset, start: int, end: int) -> DataFrame:
     """How much counting sessions differs from counting people."""
     s = minute_series(ds.minutes, start, end).agg(F.max("value").alias("sp"))
     u = minute_series(ds.user_minutes, start, end).agg(F.max("value").alias("up"))
-    r = reach(ds.session_runs, start, end).groupBy().pivot("level", ["sessions", "users"]).agg(F.first("reach"))
+    r = reach(ds.session_index, start, end).groupBy().pivot("level", ["sessions", "users"]).agg(F.first("reach"))
     return s.crossJoin(u).crossJoin(r).select(
         F.round(100 * (F.col("sp") - F.col("up")) / F.greatest("up", F.lit(1)), 2).alias("peak_gap_pct"), F.round(F.col("sp") / F.greatest("up", F.lit(1)), 4).alias("peak_multiplier"), F.round(F.col("sessions") / F.greatest("users", F.lit(1)), 4).alias("reach_multiplier")
     )

@@ -133,7 +133,7 @@ def _named(tables: dict) -> set[str]:
     out = set()
     for entry in tables.values():
         out |= {p for v in entry.get("versions", []) for p in (v["rows"], v["keys"]) if p}
-        out |= {p.rpartition("/")[0] for p in entry.get("days", {}).values()}
+        out |= {p.rpartition("/")[0] for p in entry.get("days", {}).values()} | set(entry.get("paths", []))
     return out
 
 

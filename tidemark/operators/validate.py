@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.bins import overlapping
 from tidemark.functions.core import div, moment, moment_ms, netted
 from tidemark.functions.prefix import asof_spans, running_sums
 from tidemark.operators.dataset import Dataset, Layer, window_of
@@ -29,6 +30,27 @@ def brute_force_curve(ds: Dataset, start: int, end: int) -> DataFrame:
     return minutes.groupBy("t").agg(F.count_distinct("sid").alias("concurrent_sessions"), F.count_distinct("user_id").alias("concurrent_users")).select(moment(F.col("t") * 60).alias("minute"), "concurrent_sessions", "concurrent_users")
 
 
+def users_by_event(ds: Dataset, start: int, end: int) -> DataFrame:
+    """Per minute the users that sessions were filed under, and those that the events which opened their intervals named: how far the two readings part."""
+    low, high = start // 60, end // 60
+    # Of several users at one instant the smallest.
+    named = ds.events.groupBy("sid", div(F.col("ts"), 1000).alias("start"), "ts").agg(F.min("user_id").alias("raw")).groupBy("sid", "start").agg(F.min_by("raw", "ts").alias("raw"))
+    first, last = div(F.col("start"), 60), div(F.col("start") + F.greatest(F.col("end") - F.col("start") - 1, F.lit(0)), 60)
+    minutes = F.sequence(F.greatest(first, F.lit(low)), F.least(last, F.lit(high - 1)))
+    seen = ds.intervals.where((last >= low) & (first < high)).join(named, ["sid", "start"]).select("sid", "user_id", "raw", F.explode(minutes).alias("t"))
+    by = seen.groupBy("t").agg(F.count_distinct("sid").alias("concurrent_sessions"), F.count_distinct("user_id").alias("concurrent_users"), F.count_distinct("raw").alias("concurrent_users_raw"))
+    return by.select(moment(F.col("t") * 60).alias("minute"), "concurrent_sessions", "concurrent_users", "concurrent_users_raw")
+
+
+def overshoot(ds: Dataset) -> DataFrame:
+    """Intervals that reach past their session's last end, or hold longer than the tolerance, and by how many seconds at most; none should."""
+    ends = ds.events.where("event_type = 'VideoSessionEnd'").groupBy("sid").agg(div(F.max("ts"), 1000).alias("last"))
+    both = ds.intervals.join(ends, "sid", "left").select((F.col("end") - F.col("last")).alias("past"), (F.col("end") - F.col("start") - ds.tolerance).alias("over"))
+    return both.agg(
+        F.count(F.lit(1)).alias("intervals"), F.count_if(F.col("past") > 0).alias("past_the_last_end"), F.coalesce(F.max(F.greatest("past", F.lit(0))), F.lit(0)).alias("most_seconds_past"), F.count_if(F.col("over") > 1).alias("longer_than_the_tolerance"),
+    )
+
+
 def naive_overcount(ds: Dataset, start: int, end: int) -> DataFrame:
     """What counting whole sessions adds: peaks, percent, and minutes that nobody watched."""
     true = minute_series(ds.minutes, start, end).withColumnRenamed("value", "v")
@@ -100,9 +122,38 @@ def ground_state(ds: Dataset) -> DataFrame:
         rows(ds.user_runs, rows__user_runs=n),
         rows(ds.deltas, rows__delta_minutes=d("minute"), invariant__closure_sessions=F.sum("delta")),
         rows(ds.user_deltas, rows__user_delta_minutes=d("minute"), invariant__closure_users=F.sum("delta")),
+        rows(ds.session_runs.groupBy("sid", "run_start", "run_end").agg(F.sum("sign").alias("s")), invariant__most_assertions_of_a_run=F.max("s")),
+        rows(_reached(ds.session_runs, "sid"), invariant__runs_of_a_session_that_overlap=F.count_if("o")), rows(_reached(ds.user_runs, "user_id"), invariant__runs_of_a_user_that_overlap=F.count_if("o")),
+        *[rows(_held(layer), **{f"{name}__{k}": v for k, v in _served().items()}) for name, layer in (("sessions", ds.deltas), ("users", ds.user_deltas))],
     ])
 
 
+def _reached(runs: DataFrame, key: str) -> DataFrame:
+    """Of every standing run whether an earlier one of its key reaches into it."""
+    earlier = Window.partitionBy(key).orderBy("run_start", "run_end").rowsBetween(Window.unboundedPreceding, -1)
+    return netted(runs).select((F.col("run_start") <= F.max("run_end").over(earlier)).alias("o"))
+
+
+def _held(layer: DataFrame) -> DataFrame:
+    """Counts ``c`` from change to change, and the minutes ``w`` that each holds: curves of changes count changes, not minutes."""
+    run = running_sums(layer, "minute", "delta", 1440)
+    return run.select("minute", F.col("value").alias("c"), F.coalesce(F.col("next_t") - F.col("minute"), F.lit(0)).alias("w"))
+
+
+def _hundredths(of: Column, by: Column) -> Column:
+    return F.floor((F.lit(200) * of + by) / (F.lit(2) * by))
+
+
+def _served() -> dict[str, Column]:
+    """What is served, in whole numbers; averages in hundredths, rounded half up, weighted by the minutes that values hold."""
+    c, w = F.col("c"), F.col("w")
+    live = lambda x: F.sum(F.when(c > 0, x))
+    return {
+        "peak": F.max("c"), "peak_minute": F.max_by("minute", F.struct("c", -F.col("minute"))), "least": F.min("c"), "minutes_with_audience": live(w), "minutes_in_span": F.sum("w"),
+        "avg_all_minutes_x100": _hundredths(F.sum(c * w), F.sum("w")), "avg_active_minutes_x100": _hundredths(live(c * w), live(w)),
+    }
+
+
 def runs_deltas_recon(ds: Dataset) -> DataFrame:
     """Minutes at which the runs and the deltas disagree; none should."""
     two = F.array(F.struct(F.col("run_start").alias("minute"), F.col("sign").cast("long").alias("d")), F.struct((F.col("run_end") + 1).alias("minute"), (-F.col("sign")).cast("long").alias("d")))
@@ -180,5 +231,5 @@ def straddling_sessions(events: DataFrame, boundary: int) -> DataFrame:
 def naive_at(ds: Dataset, at: int) -> DataFrame:
     """One minute: sessions whose whole span covers it, and those that were watched."""
     m = at // 60
-    covers = lambda df: netted(df).where((F.col("run_start") <= m) & (F.col("run_end") >= m)).agg(F.count_distinct("sid").alias("n"))
-    return covers(ds.naive).select(F.col("n").alias("naive")).crossJoin(covers(ds.session_runs).select(F.col("n").alias("foreground")))
+    covers = lambda df: netted(df.where(overlapping(m, m))).agg(F.count_distinct("sid").alias("n"))
+    return covers(ds.naive_index).select(F.col("n").alias("naive")).crossJoin(covers(ds.session_index).select(F.col("n").alias("foreground")))

@@ -121,7 +121,7 @@ def lateness(ds: Dataset, start: int, end: int) -> DataFrame:
         F.count(F.lit(1)).alias("events"), F.count_distinct("sid").alias("sessions"), F.round(F.avg("lateness_seconds"), 1).alias("avg_lateness_seconds"),
         F.max("lateness_seconds").alias("max_lateness_seconds"),
     )
-    return with_quantiles(by, inside, ["lateness_class", "event_type"], "lateness_seconds", p95_lateness_seconds=0.95)
+    return with_quantiles(by, inside, ["lateness_class", "event_type"], "lateness_seconds", p95_lateness_seconds=0.95).orderBy("lateness_class", F.desc("events"), "event_type")
 
 
 def status(ds: Dataset, start: int, end: int) -> DataFrame:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import core
-from tidemark.operators import derive, insights, refresh, serving, validate, views
+from tidemark.operators import derive, insights, refresh, serving, settled, validate, views
 from tidemark.operators.dataset import EVER
 from tidemark.operators.insights import with_times
+from tidemark.operators.snapshots import Store
 from tidemark.sources import files, fixture, scenarios
-from tidemark.streaming import tick
+from tidemark.streaming import sessions, tick
 from tidemark.streaming.store import scratch
 
 #: The window that queries look at: 10 January 2024, and the middle of it.
@@ -20,6 +21,8 @@ START, END = 1_704_844_800, 1_704_931_200
 MID = (START + 7 * 3600, START + 19 * 3600)
 #: What dashboards look at: three days. The insight tables themselves are filled for all of time.
 LOW, HIGH = START - 86_400, START + 2 * 86_400
+#: Moves are rare; views of few of them look at the whole month.
+MONTH = (START - 9 * 86_400, START + 21 * 86_400)
 DIMS = list(derive.DIMS)
 
 QUERIES = {}
@@ -131,7 +134,7 @@ def average_definitions(spark, d):
 
 @query
 def reach(spark, d):
-    return serving.reach(_kept(spark, d).session_runs, START, END)
+    return serving.reach(_kept(spark, d).session_index, START, END)
 
 
 @query
@@ -271,12 +274,12 @@ def handoff(spark, d):
 
 @query
 def switching_one_content(spark, d):
-    return views.switching(_kept(spark, d), LOW, HIGH, content_id=8)
+    return views.switching(_kept(spark, d), *MONTH, content_id=30)
 
 
 @query
 def switching_to_live(spark, d):
-    return views.switching(_kept(spark, d), LOW, HIGH, video_type="live")
+    return views.switching(_kept(spark, d), *MONTH, video_type="live")
 
 
 @query
@@ -306,6 +309,22 @@ def oracle_curve(spark, d):
     return validate.brute_force_curve(_ds(spark, d), START, END)
 
 
+@query
+def users_by_event(spark, d):
+    return validate.users_by_event(_ds(spark, d), START, END)
+
+
+@query
+def interval_overshoot(spark, d):
+    return validate.overshoot(_kept(spark, d))
+
+
+@query
+def curve_as_of(spark, d):
+    """The curve that was known at noon: open intervals end with the tolerance."""
+    return serving.curve(_ds(spark, d).as_of(START + 43_200).minutes, START, END)
+
+
 @query
 def naive_curve(spark, d):
     ds = _kept(spark, d)
@@ -504,13 +523,43 @@ def late_tail_absorbed(spark, d):
     return _runs(core.netted(log.unionByName(tick.session_tick(log, ds.events, ds.content, ds.tolerance, 0, cut))))
 
 
+@query
+def state_stream_equals_batch(spark, d):
+    """Intervals of a stream that keeps a small state a session: events come in six slices, a twentieth of them two hours late, a tenth twice."""
+    ds, folder = _ds(spark, d), f"{scratch(spark)}/state-{uuid.uuid4().hex}"
+    late = F.when(F.col("arrival") - core.div(F.col("ts"), 1000) == 7200, 7_200_000).otherwise(0)
+    again = ds.events.where(F.pmod(F.xxhash64("sid", "ts"), F.lit(10)) == 0)
+    last = ds.events.limit(1).withColumns({"sid": F.lit("nobody"), "ts": F.lit(END_OF_TIME)})
+    parts = ds.events.unionByName(again).withColumn("slice", core.div(F.col("ts") + late, 86_400_000 * 6)).unionByName(last.withColumn("slice", F.lit(10**6).cast("long")))
+    for k, r in enumerate(parts.select("slice").distinct().orderBy("slice").collect()):  # six files and one that ends all
+        parts.where(F.col("slice") == r[0]).drop("slice").coalesce(1).write.parquet(f"{folder}/in/{k:03d}")
+    spark.conf.set(*sessions.ROCKS)
+    try:
+        stream = spark.readStream.schema(ds.events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        run = sessions.interval_stream(stream, ds.content, ds.tolerance, "3 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.unset(sessions.ROCKS[0])
+    return with_times(spark.read.schema(ds.intervals.schema).parquet(f"{folder}/out").where("sid != 'nobody'"), start="seconds", end="seconds")
+
+
+@query
+def settled_intervals_equal_batch(spark, d):
+    """The intervals that four runs append, each for the sessions that had settled by then and were not derived before."""
+    ds = _ds(spark, d)
+    at = settled.Settled(Store(spark, f"{scratch(spark)}/settled-{uuid.uuid4().hex}"), ds.content, ds.tolerance)
+    for as_of in (START - 4 * 86_400, START + 3600, START + 3600, START + 60 * 86_400):
+        at.run(ds.events, as_of)
+    return with_times(at.intervals(ds.intervals.schema), start="seconds", end="seconds")
+
+
 def _refreshed(spark, d) -> refresh.Insights:
     """Insight tables that were built of the events that had arrived by a time, and refreshed as the others came in, the last step twice; made once an application."""
     ds, key = _ds(spark, d), (spark.sparkContext.applicationId, f"{d} refresh")
     if key not in _FOLDERS:
         folder = f"{scratch(spark)}/insights-{uuid.uuid4().hex}"
         known = F.when(F.col("arrival") > 0, F.col("arrival")).otherwise(core.div(F.col("ts"), 1000))
-        steps = [(0, START + 3600), (START + 3600, START + 2 * 86_400), *[(START + 2 * 86_400, START + 60 * 86_400)] * 2]
+        steps = [(0, START + 3600), *[(START + 3600, START + 60 * 86_400)] * 2]
         for k, (low, high) in enumerate(steps):
             at = refresh.Insights(fixture.Dataset(ds.events.where(known <= high), ds.content, ds.tolerance), folder)
             at.refresh(low, high) if k else at.build()
@@ -524,6 +573,12 @@ def refresh_equals_batch(spark, d):
     return with_times(_refreshed(spark, d).read("minute_snapshot"), m="minutes")
 
 
+@query
+def insight_reference_diff(spark, d):
+    """The refreshed tables against ones derived afresh, by digests."""
+    return _refreshed(spark, d).verify(*MONTH, ("session_facts", "state_transitions", "minute_snapshot", "entry_cohorts", "playback_health"))
+
+
 @query
 def facts_refresh_equals_batch(spark, d):
     return _refreshed(spark, d).read("session_facts")

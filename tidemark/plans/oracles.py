@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.catalogue import END, FILTERS, GRAINS, HIGH, LOW, MID, START
+from tidemark.plans.catalogue import END, FILTERS, GRAINS, HIGH, LOW, MID, MONTH, START
 from tidemark.operators.serving import AVERAGES, SHAPES
 from tidemark.sources import scenarios
 
@@ -215,8 +215,8 @@ ORACLES["switching"] = sql(f"""SELECT from_title, to_title, count(*) AS moves, c
 {_T.format("= 'switch_after_background'")} AS after_backgrounding, {_T.format("= 'return_to_previous_content'")} AS came_back, {rnd('100.0 * ' + _T.format("<> 'parallel_multi_device'") + ' / count(*)', 1)} AS switch_share_pct, {q_exact('gap_seconds', 0.5)} AS median_gap_seconds FROM cm {_IN} GROUP BY from_title, to_title ORDER BY moves DESC, from_title, to_title LIMIT 200""", FACTS, CONTENT_MOVES)
 ORACLES["handoff"] = sql(f"""SELECT from_platform, to_platform, count(*) AS moves, count(DISTINCT user_id) AS users, {_T.format("= 'handoff'")} AS handoffs, {_T.format("= 'parallel_multi_device'")} AS parallel_viewing, {_T.format("= 'return_to_previous_device'")} AS came_back,
 {rnd('100.0 * ' + _T.format("= 'handoff'") + ' / count(*)', 1)} AS handoff_share_pct, {q_exact('gap_seconds', 0.5)} AS median_gap_seconds, {rnd('avg(overlap_seconds)', 1)} AS avg_overlap_seconds FROM pm {_IN} GROUP BY from_platform, to_platform ORDER BY moves DESC, from_platform, to_platform LIMIT 200""", FACTS, PLATFORM_MOVES)
-for _name, _of, _more in (("switching_one_content", "switching", "(from_content_id = 8 OR to_content_id = 8)"), ("switching_to_live", "switching", "to_video_type = 'live'"), ("handoff_one_platform", "handoff", "(from_platform = 'Web' OR to_platform = 'Web')")):
-    ORACLES[_name] = ORACLES[_of].replace(_IN, f"{_IN} AND {_more}")
+for _name, _of, _more in (("switching_one_content", "switching", "(from_content_id = 30 OR to_content_id = 30)"), ("switching_to_live", "switching", "to_video_type = 'live'"), ("handoff_one_platform", "handoff", "(from_platform = 'Web' OR to_platform = 'Web')")):
+    ORACLES[_name] = ORACLES[_of].replace(_IN, f"{f'WHERE moved_at >= {MONTH[0]} AND moved_at < {MONTH[1]}' if _of == 'switching' else _IN} AND {_more}")
 HEALTH = f"""hp AS (SELECT m, {IDIMS}, 'a' AS what, count(*) AS n FROM mi WHERE m >= {_L} AND m < {_H} GROUP BY ALL UNION ALL SELECT m, {IDIMS}, 'z', 0 FROM sn
 UNION ALL SELECT m, {IDIMS}, 'e', count(DISTINCT sid) FROM (SELECT fa.*, ts // 60000 AS m FROM (SELECT sid, ts FROM ev WHERE event_type = 'VideoError') JOIN fa USING (sid)) WHERE m >= {_L} AND m < {_H} GROUP BY ALL
 UNION ALL SELECT last_active // 60 AS m, {IDIMS}, 't', sum(timed_out) FROM fa WHERE last_active >= {LOW} AND last_active < {HIGH} GROUP BY ALL UNION ALL SELECT last_active // 60 AS m, {IDIMS}, 'b', sum(abandoned) FROM fa WHERE last_active >= {LOW} AND last_active < {HIGH} GROUP BY ALL),
@@ -262,11 +262,18 @@ def ever(text: str) -> str:
 
 ORACLES |= {name: ever(ORACLES[name]) for name in ("minute_snapshot", "entry_cohorts", "playback_health", "spike_candidates", "insight_status")}
 
+ORACLES["users_by_event"] = sql(f"""SELECT {at('m * 60')} AS minute, count(DISTINCT sid) AS concurrent_sessions, count(DISTINCT user_id) AS concurrent_users, count(DISTINCT raw) AS concurrent_users_raw
+FROM (SELECT iv.sid, iv.user_id, nm.raw, unnest(range(s // 60, (s + greatest(e - s - 1, 0)) // 60 + 1)) AS m FROM iv JOIN nm ON nm.sid = iv.sid AND nm.sec = iv.s) WHERE m >= {START // 60} AND m < {END // 60} GROUP BY m""",
+    "nm AS (SELECT sid, ts // 1000 AS sec, min({'t': ts, 'u': user_id}).u AS raw FROM ev GROUP BY ALL)")
+ORACLES["interval_overshoot"] = sql("SELECT count(*) AS intervals, 0 AS past_the_last_end, 0 AS most_seconds_past, 0 AS longer_than_the_tolerance FROM iv")
+ORACLES["curve_as_of"] = curve(START, END, {}).replace(" FROM e0),", f" FROM e0 WHERE ts < {NOON}000),")
+ORACLES["insight_reference_diff"] = " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS left_rows, count(*) AS right_rows, 0 AS only_left, 0 AS only_right FROM ({ORACLES[n]})" for n in ("session_facts", "state_transitions", "minute_snapshot", "entry_cohorts", "playback_health"))
+ORACLES["settled_intervals_equal_batch"] = ORACLES["foreground_intervals"]
 ORACLES |= {
     f"{name}_equals_batch": ORACLES[of]
     for name, of in (
         ("refresh", "minute_snapshot"), ("facts_refresh", "session_facts"), ("transitions_refresh", "state_transitions"), ("cohorts_refresh", "entry_cohorts"), ("health_refresh", "playback_health"),
-        ("journeys_refresh", "content_transitions"), ("lateness_refresh", "late_event_audit"), ("advancing_clock", "session_runs"),
+        ("journeys_refresh", "content_transitions"), ("lateness_refresh", "late_event_audit"), ("advancing_clock", "session_runs"), ("state_stream", "foreground_intervals"), 
     )
 }
 
@@ -335,6 +342,13 @@ _G = {
     "rows.user_runs": "count(*) FROM ur", "rows.delta_minutes": "count(DISTINCT m) FROM dm", "invariant.closure_sessions": "0", "rows.user_delta_minutes": "count(DISTINCT m) FROM du", "invariant.closure_users": "0",
 }
 _DM = "{0} AS (SELECT {2}, m FROM (SELECT {2}, run_start AS m, 1 AS d FROM {1} UNION ALL SELECT {2}, run_end + 1, -1 FROM {1}) GROUP BY {2}, m HAVING sum(d) <> 0)"
+_HELD = "{0} FROM (SELECT m, c, coalesce(lead(m) OVER (ORDER BY m), m) - m AS w FROM (SELECT d.m, (SELECT count(*) FROM {2} x WHERE d.m BETWEEN x.run_start AND x.run_end) AS c FROM (SELECT DISTINCT m FROM {1}) d))"
+for _name, _d, _runs in (("sessions", "dm", "sr"), ("users", "du", "ur")):
+    _G |= {f"{_name}.{k}": _HELD.format(v, _d, _runs) for k, v in {
+        "peak": "max(c)", "peak_minute": "arg_max(m, [c, -m])", "least": "min(c)", "minutes_with_audience": "sum(w) FILTER (WHERE c > 0)", "minutes_in_span": "sum(w)",
+        "avg_all_minutes_x100": "floor((200 * sum(c * w) + sum(w))::DOUBLE / (2 * sum(w)))", "avg_active_minutes_x100": "floor((200 * sum(c * w) + sum(w) FILTER (WHERE c > 0))::DOUBLE / (2 * sum(w) FILTER (WHERE c > 0)))",
+    }.items()}
+_G |= {"invariant.most_assertions_of_a_run": "max(n) FROM (SELECT count(*) AS n FROM sr GROUP BY sid, run_start, run_end)", **{f"invariant.runs_of_a_{k}_that_overlap": "0" for k in ("session", "user")}}
 ORACLES["ground_state"] = sql(" UNION ALL ".join(f"SELECT '{k}' AS metric, (SELECT {v})::BIGINT AS value" for k, v in _G.items()), _DM.format("dm", "sr", DIMS), _DM.format("du", "ur", DIMS))
 ORACLES["runs_deltas_recon"] = sql("SELECT 0 AS minutes_that_differ, count(*) AS minutes_compared FROM (SELECT run_start FROM sr UNION SELECT run_end + 1 FROM sr)")
 ORACLES["exact_invariants"] = sql("SELECT 0 AS net, 0 AS least, (SELECT max(v) FROM ins) AS exact_peak, (SELECT count(*) FROM iv a WHERE EXISTS (SELECT 1 FROM iv b WHERE b.sid = a.sid AND (b.s, b.e) < (a.s, a.e) AND b.e > a.s)) AS self_overlaps, (SELECT max(v) FROM pm) AS minute_peak, (SELECT max(v) FROM ins) <= (SELECT max(v) FROM pm) AS exact_within_minute",
