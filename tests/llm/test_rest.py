@@ -510,3 +510,19 @@ def test_pipeline_of_an_empty_table(spark):
         after = step(spark, docs, DATA)
         assert after.columns == docs.columns and after.count() == 0
     assert p.STAGES[-1][1](spark, docs, DATA).count() == 0
+
+
+def test_pipeline_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    import corpus_pipeline as p
+
+    names = ["_row", "_dig", "_n", "_mix_copy", "_ROW_", "copies", "taken", "size", "score", "lang_pred", "id", "dig", "gram", "key0", "part", "leak", "batch"]
+    words = "the of and to in is that for it was with as on be by this are from at an".split()
+    texts = [" ".join(words[(i * 7 + k * (i + 1)) % len(words)] + ("x" * (k % 3)) for k in range(40)) for i in range(12)] + ["same words here " * 20] * 3
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    spark.createDataFrame([(1, "a question that nobody asked and no answer to it either")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for _, step in p.STAGES[:-1]:
+        out = step(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+    assert p.tokens(spark, docs, f"file://{tmp_path}").count() == len(texts)
