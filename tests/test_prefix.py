@@ -78,3 +78,25 @@ def test_a_broken_opening_is_told(spark, tmp_path):
     kept.table("openings", lambda: kept.session_runs.limit(0).select(F.lit(1).cast("long").alias("day"), *DIMS, F.lit(1).cast("long").alias("value")))
     with pytest.raises(ValueError, match="session_openings_differ"):
         kept.derive_all()
+
+
+def scanned(df):
+    """Rows that the only scan of a plan without shuffles gave out."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_filters_on_suffix_dimensions_read_the_other_order(spark, tmp_path):
+    ev = events(spark, *[(f"s{i}", k, "", 60 * i + t) for i in range(240) for k, t in (("VideoPlay", 0), ("VideoSessionEnd", 90))])
+    ev = ev.withColumn("video_resolution", F.concat(F.lit("r"), F.pmod(F.xxhash64("sid"), F.lit(12)).cast("string"))).withColumn("audio_language", F.lit("en"))
+    kept = Dataset(ev, content(spark), 90).stored(f"file://{tmp_path}/layers")
+    layer, low, high = kept.minutes, T0 // 60_000, T0 // 60_000 + 300
+    wanted = F.col("video_resolution") == "r5"
+    picked = layer.ordered_for({"video_resolution", "audio_language"})
+    mine = scanned(picked.within("minute", low, high).where(wanted))
+    assert 0 < mine < 0.5 * scanned(layer.within("minute", low, high).where(wanted)) and picked.changes.where(wanted).count() == layer.changes.where(wanted).count() > 0
+    # Leading columns of the first order keep it, and so does no filter.
+    for filtered in ({"platform", "video_resolution"}, {"platform"}, {"app_version"}, set()):
+        assert layer.ordered_for(filtered) is layer
+    a, b = (sorted((r["t"], r["value"]) for r in serving.minute_series(x, T0 // 1000, T0 // 1000 + 18_000, {"video_resolution": "r5"}).collect()) for x in (layer, Dataset(ev, content(spark), 90).deltas))
+    assert a == b and max(v for _, v in a) > 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import wraps
 from typing import NamedTuple
 
@@ -31,12 +31,27 @@ def by_day(table: DataFrame, at: str) -> DataFrame:
     return table.repartition("day", hour).sortWithinPartitions("day", at, "platform", "country", "content_id")
 
 
+#: The two orders of a layer's rows within a day. Filters on leading columns skip row groups, by their statistics.
+ORDERS = (("minute", "platform", "country", "content_id"), ("video_resolution", "audio_language", "subtitle_language", "player_version", "app_version", "minute"))
+#: Columns by which runs are looked up one by one.
+LOOKED_UP = ("sid", "user_id")
+
+
 class Layer(NamedTuple):
-    """Changes of a count over time, in days, and what was open when each day began: a window needs its own days and one opening."""
+    """Changes of a count over time, in days, and what was open when each day began: a window needs its own days and one opening.
+
+    ``other``, where there is one, makes the same changes in the second of ``ORDERS``.
+    """
 
     changes: DataFrame
     openings: DataFrame
     per_day: int
+    other: Callable[[], DataFrame] | None = None
+
+    def ordered_for(self, filtered: Collection[str]) -> Layer:
+        """The layer in the order of which filters on these columns skip more: that with more of them in front."""
+        led = [next((k for k, c in enumerate(order) if c not in filtered), len(order)) for order in (ORDERS[0][1:], ORDERS[1])]
+        return self._replace(changes=self.other(), other=None) if self.other is not None and led[1] > led[0] else self
 
     def where(self, condition: Column) -> Layer:
         return Layer(self.changes.where(condition), self.openings.where(condition), self.per_day)
@@ -57,9 +72,9 @@ class Layer(NamedTuple):
         return self.within(at, day * self.per_day, end).select(*dims, at, "delta").unionByName(seed)
 
 
-def window_of(layer: DataFrame | Layer, at: str, start: int, end: int) -> DataFrame:
-    """The changes of a layer that a window [start, end) needs; a plain table of changes is read from its beginning."""
-    return layer.window(at, start, end) if isinstance(layer, Layer) else layer.where(F.col(at) < end)
+def window_of(layer: DataFrame | Layer, at: str, start: int, end: int, filtered: Collection[str] = ()) -> DataFrame:
+    """The changes of a layer that a window [start, end) needs, in the order that suits filters on some columns; a plain table of changes is read from its beginning."""
+    return layer.ordered_for(filtered).window(at, start, end) if isinstance(layer, Layer) else layer.where(F.col(at) < end)
 
 
 def source_mark(events: DataFrame, content: DataFrame, *rest: object) -> str:
@@ -101,9 +116,19 @@ class Dataset:
                         out.repartition("level", "slot").sortWithinPartitions("level", "slot", "bin").write.mode("overwrite").partitionBy("level", "slot").parquet(path)
                     elif "day" in out.columns:
                         at = next((c for c in ("minute", "second") if c in out.columns), None)
-                        (by_day(out, at) if at else out.repartition("day")).write.mode("overwrite").partitionBy("day").parquet(path)
+                        if name.endswith("_by_suffix"):
+                            # A number of its own: small partitions are not put together, as a file should hold few values.
+                            parts = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                            rows = out.repartition(parts, "day", *ORDERS[1][:2]).sortWithinPartitions("day", *ORDERS[1])
+                        else:
+                            rows = by_day(out, at) if at else out.repartition("day")
+                        rows.write.mode("overwrite").partitionBy("day").parquet(path)
                     else:
-                        in_time_order(out).write.mode("overwrite").parquet(path)
+                        writer = in_time_order(out).write.mode("overwrite")
+                        for c in LOOKED_UP:
+                            if c in out.columns:
+                                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+                        writer.parquet(path)
                 out = out.sparkSession.read.schema(out.schema).parquet(path)
             self._held[name] = out
         return self._held[name]
@@ -142,11 +167,15 @@ class Dataset:
     @property
     def minutes(self) -> Layer:
         """Sessions by the minute."""
-        return Layer(self.deltas, self.table("openings", lambda: derive.openings(self.session_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440)
+        return Layer(self.deltas, self.table("openings", lambda: derive.openings(self.session_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440, self._other("deltas"))
+
+    def _other(self, name: str) -> Callable[[], DataFrame] | None:
+        """A stored layer's copy in the other order, written when a filter first asks for it."""
+        return (lambda: self.table(f"{name}_by_suffix", lambda: getattr(self, name))) if self.folder else None
 
     @property
     def user_minutes(self) -> Layer:
-        return Layer(self.user_deltas, self.table("user_openings", lambda: derive.openings(self.user_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440)
+        return Layer(self.user_deltas, self.table("user_openings", lambda: derive.openings(self.user_runs, F.col("run_start"), F.col("run_end") + 1, 1440)), 1440, self._other("user_deltas"))
 
     @property
     def seconds(self) -> Layer:

@@ -28,9 +28,14 @@ def matching(filters: Filters | None) -> Column:
     return out
 
 
+def _set(filters: Filters | None) -> set[str]:
+    """The dimensions that filters narrow."""
+    return {n for n, v in (filters or {}).items() if v not in ("", 0, None)}
+
+
 def minute_series(layer: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     """Concurrency of every minute in [start, end) (seconds): ``t`` (minutes), ``value``."""
-    return dense(stepped(window_of(layer, "minute", start // 60, end // 60).where(matching(filters)), "minute", "delta", start // 60, end // 60))
+    return dense(stepped(window_of(layer, "minute", start // 60, end // 60, _set(filters)).where(matching(filters)), "minute", "delta", start // 60, end // 60))
 
 
 def curve(layer: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
@@ -69,7 +74,7 @@ def peak_average(layer: DataFrame | Layer, start: int, end: int, grain: int, fil
 
 def peak_average_exact(boundaries: DataFrame | Layer, start: int, end: int, filters: Filters | None = None) -> DataFrame:
     """Peak at second resolution and averages weighted by time."""
-    steps = stepped(window_of(boundaries, "second", start, end).where(matching(filters)), "second", "delta", start, end)
+    steps = stepped(window_of(boundaries, "second", start, end, _set(filters)).where(matching(filters)), "second", "delta", start, end)
     held = (F.col("next_t") - F.col("t")) * F.col("value")
     live = F.col("value") > 0
     return steps.agg(
