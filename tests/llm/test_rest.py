@@ -149,6 +149,41 @@ def test_license_base_places(spark):
     assert license_scan.scan_licenses(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_license_texts_are_known_by_their_sentences():
+    from tidemark.llm.license_texts import TEXTS, pattern
+
+    s = license_scan.Scanner()
+    known = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software [...] to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies",
+        "bsd": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "isc": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE",
+        "apache": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS,",
+        "gpl": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by",
+        "lgpl": "You should have received a copy of the GNU Lesser General Public License along with this library.",
+        "agpl": "offer all users interacting with it remotely through a computer network",
+        "mpl": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "cc-by-nc-sa": "See https://creativecommons.org/licenses/by-nc-sa/4.0/ for more",
+        "cc0": "To the extent possible under law, the author of this file has waived all copyright and related or neighboring rights",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "proprietary": "Unauthorized copying of this file, via any medium, is strictly prohibited.",
+        "ofl": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    }
+    for label, text in known.items():
+        assert s.scan(text.encode())[5] == label, (label, s.scan(text.encode()))
+    for prose in ("The author disclaims nothing and redistributes the library with a fee.", "They deal in fonts, freedom and stuff; the basis of the agreement is a title.", "A perl of a community with evil hope, compliance and production."):
+        assert s.scan(prose.encode())[5] == ""
+    assert len(license_scan.SIGNATURES) > 400 and len(TEXTS) > 110
+    for label, word, sentence in TEXTS:
+        # What any match holds is left when optional groups and choices go: the keyword is among it, or no text of it would be looked at.
+        for whole in re.split(r"\|(?![^()]*\))", sentence):
+            sure = whole
+            while "(?:" in sure:
+                sure = re.sub(r"\(\?:[^()]*\)(?:[?*]|\{0,\d\})?", " ", sure)
+            assert word in re.sub(r"\[[^]]*\]", "", sure).split(), (label, word, sure)
+        re.compile(pattern(sentence))
+
+
 def test_license_rules_and_suppression():
     s = license_scan.Scanner()
     assert len(license_scan.SIGNATURES) > 200

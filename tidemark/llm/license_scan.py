@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import ship, slices
+from tidemark.llm.license_texts import TEXTS, pattern
 
 #: Phrases and labels whose places are counted.
 BASE = (
@@ -123,6 +124,8 @@ SIGNATURES = tuple(
         [Signature(label, p, form.format(n=n, v=_VERSION), s, words) for n, label, words in _NAMES for form, p, s in _FORMS]
         + [Signature(label, 95, rf"spdx license identifier (?:{id})(?: (?:only|or later))?", 1.0, ("spdx",)) for label, id in _SPDX.items()]
         + [Signature(label, 30, _long_names(n), 0.4, words) for n, label, words in _NAMES if _long_names(n)]
+        # Of sentences of one text the longer one counts where both match, as everywhere.
+        + [Signature(label, 75, pattern(sentence), 0.9, (word,)) for label, word, sentence in TEXTS]
         + list(_MORE),
         key=lambda s: (-s.priority, s.label),
     )
