@@ -624,6 +624,23 @@ def csv_round_trip(spark, d):
     return landed.groupBy("event_type", "event", "platform").agg(F.count(F.lit(1)).alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count_distinct("sid").alias("sessions"))
 
 
+@query
+def content_csv_round_trip(spark, d):
+    """The catalogue written as CSV under the feed's header and read again."""
+    path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
+    _ds(spark, d).content.write.option("header", True).option("emptyValue", "").csv(path)
+    return files.read_content_csv(spark, path).fillna("")
+
+
+@query
+def slice_export(spark, d):
+    """Events up to a cut, exported by the hour for replay, and what every hour's files hold."""
+    path = f"{scratch(spark)}/slices-{uuid.uuid4().hex}"
+    files.export_slices(files.replicate(_ds(spark, d).events, CUT), path)
+    by = spark.read.parquet(path).groupBy(F.col("slice").cast("long").alias("slice"))
+    return with_times(by.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("sid").alias("sessions"), F.min("ts").alias("first"), F.max("ts").alias("last")), first="ms", last="ms")
+
+
 @query
 def argmin_first_dims(spark, d):
     return derive.session_dims(_ds(spark, d).events).fillna(0, ["last_end"])

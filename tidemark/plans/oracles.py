@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.catalogue import END, FILTERS, GRAINS, HIGH, LOW, MID, MONTH, START
+from tidemark.plans.catalogue import CUT, END, FILTERS, GRAINS, HIGH, LOW, MID, MONTH, START
 from tidemark.operators.serving import AVERAGES, SHAPES
 from tidemark.sources import scenarios
 
@@ -381,6 +381,8 @@ ORACLES["latest_version"] = sql("SELECT sid, ts AS version, event_type, event FR
 _SETS = "ls AS (SELECT sid, min(m) AS a, max(m) AS b FROM (SELECT *, m - row_number() OVER (PARTITION BY sid ORDER BY m) AS g FROM (SELECT DISTINCT sid, unnest(range(s // 60, (s + greatest(e - s - 1, 0)) // 60 + 1)) AS m FROM ivl)) GROUP BY sid, g)"
 ORACLES["set_comparison"] = sql("SELECT (SELECT count(*) FROM (SELECT sid, run_start, run_end FROM sr EXCEPT ALL SELECT sid, a, b FROM ls)) AS strict_only, (SELECT count(*) FROM (SELECT sid, a, b FROM ls EXCEPT ALL SELECT sid, run_start, run_end FROM sr)) AS loose_only", _SETS)
 ORACLES["day_times_generations"] = sql("SELECT event_type, 3 * count(*) AS events, 3 * count(DISTINCT sid) AS sessions, min(ts) AS first, max(ts) + 7200000 AS last FROM ev GROUP BY event_type")
+ORACLES["content_csv_round_trip"] = sql("SELECT content_id, title, video_type, category, show_name FROM ct")
+ORACLES["slice_export"] = sql(f"SELECT ts // 3600000 AS slice, count(*) AS events, count(DISTINCT sid) AS sessions, {at_ms('min(ts)')} AS first, {at_ms('max(ts)')} AS last FROM ev WHERE ts <= {CUT} GROUP BY 1")
 _COLS = {"sid": "string", "user_id": "string", "event_type": "string", "event": "string", "ts": "bigint", "arrival": "bigint", "session_start": "bigint", "content_id": "bigint", **{c: "string" for c in ("platform", "country", "app_version", "audio_language", "subtitle_language", "player_version", "video_resolution")}}
 ORACLES["inspect_events"] = sql(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) - count({c}) AS nulls FROM ev" for c, t in _COLS.items()))
 _TOP = "SELECT * FROM (SELECT '{0}' AS what, ({1})::VARCHAR AS value, count(*) AS minutes FROM {2} GROUP BY 2 ORDER BY minutes DESC, value LIMIT 1)"
