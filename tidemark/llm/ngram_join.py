@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, mix, sent, shingles, ship, slices, stage
@@ -425,8 +425,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = stage(member.join(parted, "gram", "left_semi"), "open-members")
     if member.isEmpty():
         return named(roots)
-    per = member.groupBy("fp").agg(F.count(F.lit(1)).alias("k"))
-    dense = member.join(per, "fp").groupBy("gram").agg((F.sum("k") > DENSE * F.count(F.lit(1))).alias("dense"))
+    # A window holds the large groups of one class: as many as its prefix has n-grams.
+    per = member.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+    dense = per.groupBy("gram").agg((F.sum("k") > DENSE * F.count(F.lit(1))).alias("dense"))
     # Two linked sets share two n-grams only above a half.
     member = stage(member.join(dense, "gram").withColumn("dense", F.col("dense") | F.lit(2 * t <= 1)), "dense-members")
     again = member.where("not dense").groupBy("fp").agg(F.collect_list("gram").alias("open")).join(sets, "fp").select("fp", "grams", "open")
