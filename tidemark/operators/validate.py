@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.bins import overlapping
-from tidemark.functions.core import div, moment, moment_ms, netted
+from tidemark.functions.core import div, hundredths, moment, moment_ms, netted
 from tidemark.functions.prefix import asof_spans, running_sums
 from tidemark.operators.dataset import Dataset, Layer, window_of
 from tidemark.operators.derive import catalogue_once, deltas
@@ -140,17 +140,13 @@ def _held(layer: DataFrame) -> DataFrame:
     return run.select("minute", F.col("value").alias("c"), F.coalesce(F.col("next_t") - F.col("minute"), F.lit(0)).alias("w"))
 
 
-def _hundredths(of: Column, by: Column) -> Column:
-    return F.floor((F.lit(200) * of + by) / (F.lit(2) * by))
-
-
 def _served() -> dict[str, Column]:
     """What is served, in whole numbers; averages in hundredths, rounded half up, weighted by the minutes that values hold."""
     c, w = F.col("c"), F.col("w")
     live = lambda x: F.sum(F.when(c > 0, x))
     return {
         "peak": F.max("c"), "peak_minute": F.max_by("minute", F.struct("c", -F.col("minute"))), "least": F.min("c"), "minutes_with_audience": live(w), "minutes_in_span": F.sum("w"),
-        "avg_all_minutes_x100": _hundredths(F.sum(c * w), F.sum("w")), "avg_active_minutes_x100": _hundredths(live(c * w), live(w)),
+        "avg_all_minutes_x100": hundredths(F.sum(c * w), F.sum("w")), "avg_active_minutes_x100": hundredths(live(c * w), live(w)),
     }
 
 
