@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import serving
-from tidemark.operators.dataset import EVER
+from tests.test_operators import T0, content, events
+from tidemark.operators import dataset, diff, insights, refresh, serving
+from tidemark.operators.dataset import EVER, Dataset
 from tidemark.plans import catalogue
 from tidemark.vocabulary import DIMS
 
@@ -35,3 +36,35 @@ def test_refreshed_tables_are_compared_over_all_of_time(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "_refreshed", lambda spark, d: Insights())
     catalogue.QUERIES["insight_reference_diff"](spark, "")
     assert asked == [EVER]
+
+
+def test_a_refresh_makes_its_snapshot_once(spark, tmp_path, monkeypatch):
+    """Health, spikes and gates read the snapshot that was written, instead of deriving it again."""
+    ev = events(spark, *[(f"s{i}", k, "", i * 60 + t) for i in range(6) for k, t in (("VideoPlay", 0), ("VideoSessionEnd", 1200))])
+    at = refresh.Insights(Dataset(ev.withColumn("arrival", F.floor(F.col("ts") / 1000).cast("long")), content(spark), 1800), f"file://{tmp_path}")
+    held, view = [], refresh.Insights._view
+    monkeypatch.setattr(refresh.Insights, "_view", lambda self, *rest: held.append(view(self, *rest)) or held[-1])
+    at.build()
+    assert held and all("minute_snapshot" in v._held for v in held)
+    # Who holds a snapshot makes other tables of it.
+    low = T0 // 1000
+    snapshot = insights.minute_snapshot(held[0], low, low + 3600)
+    held[0]._held["minute_snapshot"] = snapshot.withColumn("concurrent_sessions", F.col("concurrent_sessions") + 100)
+    assert insights.playback_health(held[0], low, low + 3600).agg(F.min("active_sessions")).first()[0] >= 100
+
+
+def test_tables_that_agree_are_read_once(spark):
+    a = spark.range(50).select("id", F.col("id").alias("v"))
+    one = diff.compared("t", a, a, ["id"])
+    assert one.first().asDict() == {"table": "t", "left_rows": 50, "right_rows": 50, "only_left": 0, "only_right": 0}
+    assert "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_more_files_are_derived_in_more_partitions(spark, tmp_path, monkeypatch):
+    ev = events(spark, *[(f"s{i}", "VideoPlay", "", i) for i in range(300)])
+    ev.write.parquet(f"file://{tmp_path}/events")
+    stored = spark.read.schema(ev.schema).parquet(f"file://{tmp_path}/events")
+    monkeypatch.setattr(dataset, "PART_BYTES", 1000)
+    ds = Dataset(stored, content(spark), 1800)
+    assert ds.parts == dataset.file_bytes(stored) // 1000 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ds.session_runs.rdd.getNumPartitions() == ds.parts and ds.session_runs.count() == 300

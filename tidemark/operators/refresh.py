@@ -7,10 +7,12 @@ the days that the sessions showed in, before or now. All tables change at once,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.core import div, netted
 from tidemark.operators import derive
@@ -47,19 +49,27 @@ KEYS = {
 }
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 class Insights:
     """Insight tables of a dataset in a store."""
 
     def __init__(self, ds: Dataset, folder: str):
         self.ds, self.store = Dataset(ds.events, ds.content, ds.tolerance, ds.strict), Store(ds.events.sparkSession, folder)
-        ds = self.ds
-        self._like = {n: make(ds).schema for n, (make, _) in (BY_SESSION | BY_USER).items()} | {"user_runs": ds.user_runs.schema}
+        self._source = f"{ds.events.schema.json()} {ds.content.schema.json()}"
 
     def schema(self, name: str):
-        if name in self._like:
-            return self._like[name]
-        make, day, _ = BY_DAY[name]
-        return self._like.setdefault(name, make(self.ds, 0, DAY).drop("day").schema)
+        """The columns of a table; looked up once for events and catalogues of the same columns, as plans of these tables are long."""
+        key = self._source, name
+        if key not in _SCHEMAS:
+            ds = Dataset(self.ds.events, self.ds.content, self.ds.tolerance, self.ds.strict)
+            self._known(name, BY_DAY[name][0](ds, 0, DAY) if name in BY_DAY else ds.user_runs if name == "user_runs" else (BY_SESSION | BY_USER)[name][0](ds))
+        return _SCHEMAS[key]
+
+    def _known(self, name: str, rows: DataFrame) -> DataFrame:
+        _SCHEMAS.setdefault((self._source, name), rows.drop("day").schema)
+        return rows
 
     def read(self, name: str, start: int | None = None, end: int | None = None, number: int | None = None) -> DataFrame:
         """A table of a snapshot (the newest unless told otherwise); one by day only for the days of the window, in seconds."""
@@ -76,16 +86,19 @@ class Insights:
 
     def verify(self, start: int, end: int, tables: Iterable[str] = ()) -> DataFrame:
         """Tables (all unless named) against ones derived afresh from all events, by digests; tables by day over [start, end), whole days. A row per table, of which the last two columns are 0."""
-        out = None
+        out, folder = None, f"{self.store.folder}/data/fresh-{uuid.uuid4().hex}"
+        # Written, so that what several tables are made of is derived once.
+        fresh = self.ds.stored(folder)
         for name in tables or KEYS:
             keys = KEYS[name]
             if name in BY_DAY:
                 low, high = start // DAY * DAY, -(-end // DAY) * DAY
-                have, want = self.read(name, low, high), BY_DAY[name][0](self.ds, low, high).drop("day")
+                have, want = self.read(name, low, high), BY_DAY[name][0](fresh, low, high).drop("day")
             else:
-                have, want = self.read(name), self.ds.user_runs if name == "user_runs" else (BY_SESSION | BY_USER)[name][0](self.ds)
+                have, want = self.read(name), fresh.user_runs if name == "user_runs" else (BY_SESSION | BY_USER)[name][0](fresh)
             one = compared(name, have, want.select(*have.columns), keys)
             out = one if out is None else out.unionByName(one)
+        self.store.drop(folder)
         return out
 
     def _make(self, new: Column | None) -> dict:
@@ -99,17 +112,18 @@ class Insights:
             seen = events.where(new).groupBy("sid").agg(F.min("ts").alias("low"))
             keys["sid"] = store.write("touched", seen)
             seen = ds.events.sparkSession.read.parquet(keys["sid"])
+            touched = seen.select("sid")
             stood = old("session_facts").join(seen, "sid", "left_semi")
             # No event of these sessions is older than this one.
             low = seen.agg(F.min("low").alias("x")).unionByName(stood.agg(F.min("session_start").alias("x"))).agg(F.min("x")).first()[0]
             if low is None:
                 return before
-            touched = seen.select("sid")
-            keys["sid"] = store.write("touched", touched)
-            touched = ds.events.sparkSession.read.parquet(keys["sid"])
             events = events.where(F.col("ts") >= low).join(touched, "sid", "left_semi")
         part = Dataset(events, ds.content, ds.tolerance, ds.strict)
-        tables = {name: store.upserted(before, name, "sid", make(part), keys["sid"], sort) for name, (make, sort) in BY_SESSION.items()}
+        # Facts and runs are made of the same intervals.
+        draft = store.write("intervals", part.intervals)
+        part._held["intervals"] = ds.events.sparkSession.read.schema(part.intervals.schema).parquet(draft)
+        tables = {name: store.upserted(before, name, "sid", self._known(name, make(part)), keys["sid"], sort) for name, (make, sort) in BY_SESSION.items()}
         now = lambda name: store.read({"tables": tables}, name, self.schema(name))
         both = lambda name, key, by: _both(old(name) if not first else None, now(name), key, by)
         if not first:
@@ -117,25 +131,37 @@ class Insights:
             keys["user_id"] = store.write("users", users)
             users = ds.events.sparkSession.read.parquet(keys["user_id"])
         of_users = lambda df: df if first else df.join(users, "user_id", "left_semi")
-        tables["user_runs"] = store.upserted(before, "user_runs", "user_id", derive.user_runs(netted(of_users(now("session_runs")))), keys["user_id"], ("run_start",))
+        tables["user_runs"] = store.upserted(before, "user_runs", "user_id", self._known("user_runs", derive.user_runs(netted(of_users(now("session_runs"))))), keys["user_id"], ("run_start",))
         people = Dataset(ds.events, ds.content, ds.tolerance, ds.strict)
         people._held["session_facts"] = of_users(now("session_facts"))
         for name, (make, sort) in BY_USER.items():
-            tables[name] = store.upserted(before, name, "user_id", make(people), keys["user_id"], sort)
+            tables[name] = store.upserted(before, name, "user_id", self._known(name, make(people)), keys["user_id"], sort)
         # Days that the touched sessions and users show in, as they were or are.
         days = _days(both("session_facts", touched, "sid"), both("session_runs", touched, "sid"), both("user_runs", None if first else users, "user_id"), events)
-        made, bad = {}, {}
-        for low, high in _ranges(days):
-            view = self._view(now, low * DAY, high * DAY)
-            rows = {t: make(view, low * DAY, high * DAY).withColumn("day", day()) for t, (make, day, _) in BY_DAY.items()}
-            bad |= {k: v for k, v in gates(view, rows, low * DAY, high * DAY).items() if v}
-            for t, r in rows.items():
-                made[t] = r if t not in made else made[t].unionByName(r)
+        store.drop(draft)
+        base = {"tables": {}} if new is None else before
+        views = [(low * DAY, high * DAY, self._view(now, low * DAY, high * DAY)) for low, high in _ranges(days)]
+        for t, (make, day, _) in BY_DAY.items():
+            made = [self._known(t, make(view, low, high)).withColumn("day", day()) for low, high, view in views]
+            if not made:
+                tables[t] = base["tables"].get(t, {"days": {}})
+                continue
+            rows = made[0]
+            for r in made[1:]:
+                rows = rows.unionByName(r)
+            tables[t] = store.replaced(base, t, rows, days, ("m",) if "m" in rows.columns else ())
+            if t == "minute_snapshot":
+                # The tables that are made of it read what was just written.
+                for low, high, view in views:
+                    view._held[t] = store.read({"tables": tables}, t, self.schema(t), low // DAY, high // DAY)
+        # What was written counts only once a manifest names it.
+        bad = {}
+        for low, high, view in views:
+            rows = {t: store.read({"tables": tables}, t, self.schema(t), low // DAY, high // DAY) for t, (_, _, unique) in BY_DAY.items() if unique}
+            rows["spike_events"] = rows["spike_events"].withColumn("day", F.to_date("peak_minute"))
+            bad |= {k: v for k, v in gates(view, rows, low, high).items() if v}
         if bad:
             raise ValueError(f"refresh refused: {bad}")
-        base = {"tables": {}} if new is None else before
-        for t in BY_DAY:
-            tables[t] = store.replaced(base, t, made[t], days, ("m",) if "m" in made[t].columns else ()) if t in made else base["tables"].get(t, {"days": {}})
         return store.commit(before, tables)
 
     def _view(self, now, start: int, end: int) -> Dataset:

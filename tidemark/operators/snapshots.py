@@ -86,6 +86,10 @@ class Store:
         (rows.sortWithinPartitions(*sort) if sort else rows).write.parquet(path)
         return path
 
+    def drop(self, path: str) -> None:
+        """Delete files that ``write`` made and no manifest names."""
+        self._fs.delete(self._paths.Path(path), True)
+
     def read(self, manifest: dict, name: str, schema, low: int | None = None, high: int | None = None) -> DataFrame:
         """A table of a snapshot; of one by day, only days in [low, high) where given. ``schema`` serves a table without files too."""
         entry = manifest["tables"].get(name, {})
@@ -99,7 +103,7 @@ class Store:
         out = later = None
         for v in reversed(entry["versions"]):
             rows = self.spark.read.schema(schema).parquet(v["rows"])
-            keys = self.spark.read.parquet(v["keys"]) if v["keys"] else None
+            keys = self.spark.read.parquet(v["keys"]).select(entry["key"]) if v["keys"] else None
             if later is not None:
                 rows = rows.join(later, entry["key"], "left_anti")
             out = rows if out is None else out.unionByName(rows)
