@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import T0, content, events
 from tidemark.operators import dataset, diff, insights, refresh, serving
 from tidemark.operators.dataset import EVER, Dataset
 from tidemark.plans import catalogue
+from tidemark.streaming import sessions
+from tidemark.streaming.log import Log
 from tidemark.vocabulary import DIMS
 
 
@@ -68,3 +71,53 @@ def test_more_files_are_derived_in_more_partitions(spark, tmp_path, monkeypatch)
     ds = Dataset(stored, content(spark), 1800)
     assert ds.parts == dataset.file_bytes(stored) // 1000 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert ds.session_runs.rdd.getNumPartitions() == ds.parts and ds.session_runs.count() == 300
+
+
+def random_sessions(spark):
+    """Events of 25 sessions, and the same dealt to four batches: out of order within ten minutes, some of them twice, and an event that ends all."""
+    r = random.Random(12)
+    kinds = [("VideoPlay", ""), ("VideoHeartbeat", "pause"), ("VideoHeartbeat", "progress"), ("VideoHeartbeat", "resume"), ("AppBackgrounded", ""), ("AppForegrounded", ""), ("VideoSessionEnd", ""), ("VideoError", "")]
+    data = [(f"s{i % 25}", *r.choice(kinds), r.randrange(0, 4000) + r.choice([0, 0, 0.25])) for i in range(500)]
+    dealt = [[], [], [], [], [("nobody", "VideoPlay", "", 10**6)]]
+    for e in [*data, *r.sample(data, 50)]:
+        dealt[min(int((e[3] + r.randrange(0, 500)) // 1000), 3)].append(e)
+    return events(spark, *data), [events(spark, *part) for part in dealt]
+
+
+def test_states_in_a_log_follow_sessions_like_a_batch(spark, tmp_path):
+    whole, batches = random_sessions(spark)
+    sliced = batches[0].withColumn("slice", F.lit(0))
+    for k, part in enumerate(batches[1:], 1):
+        sliced = sliced.unionByName(part.withColumn("slice", F.lit(k)))
+    folder = f"file://{tmp_path}"
+    catalogue._streamed(spark, sliced, 12, folder, lambda stream: sessions.start(stream, content(spark), f"{folder}/log", 90, 600, fan_in=3))
+    want = Dataset(whole, content(spark), 90).intervals
+    got = sessions.intervals(spark, f"{folder}/log", content(spark))
+    assert sorted(map(str, got.select(want.columns).where("sid != 'nobody'").collect())) == sorted(map(str, want.collect()))
+    # A slice of several files was one batch.
+    assert len(list(tmp_path.glob("in/slice=1/*.parquet"))) > 1
+    assert sorted(p.name for p in tmp_path.glob("log/checkpoint/commits/*") if p.name.isdigit()) == list("01234")
+    # States are kept to the newest version and what waits to the last two batches.
+    assert len(list(tmp_path.glob("log/events/batch=*"))) == 2
+
+
+def test_a_batch_of_states_that_runs_again_changes_nothing(spark, tmp_path, monkeypatch):
+    whole, batches = random_sessions(spark)
+    for k, part in enumerate(batches):
+        part.coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    folder, dropped, failed = f"file://{tmp_path}/log", Log.drop, []
+
+    def fails_once(self, batch):
+        dropped(self, batch)
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("at the end of a batch")
+
+    monkeypatch.setattr(Log, "drop", fails_once)
+    run = lambda: sessions.start(spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"file://{tmp_path}/in"), content(spark), folder, 90, 600).awaitTermination()
+    with pytest.raises(Exception, match="at the end of a batch"):
+        run()
+    run()
+    want = Dataset(whole, content(spark), 90).intervals
+    got = sessions.intervals(spark, folder, content(spark)).select(want.columns).where("sid != 'nobody'")
+    assert failed and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

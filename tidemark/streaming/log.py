@@ -69,6 +69,10 @@ class Log:
     def write(self, batch: int, rows: DataFrame) -> None:
         rows.withColumn("bucket", self.by.cast("long")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/batch={batch}")
 
+    def drop(self, batch: int) -> None:
+        """Delete a batch's folder, which nobody will ask for again."""
+        self.store._fs.delete(self.store._paths.Path(f"{self.folder}/batch={batch}"), True)
+
     def compact(self, upto: int, fan_in: int = FAN_IN) -> None:
         """Merge what is full among the batches before ``upto``, none of which may still be running."""
         manifest = self.store.manifest()
