@@ -9,7 +9,7 @@ from tests.test_operators import T0, content, events
 from tidemark.operators import dataset, diff, insights, refresh, serving
 from tidemark.operators.dataset import EVER, Dataset
 from tidemark.plans import catalogue
-from tidemark.streaming import sessions
+from tidemark.streaming import sessions, tick
 from tidemark.streaming.log import Log
 from tidemark.vocabulary import DIMS
 
@@ -121,3 +121,18 @@ def test_a_batch_of_states_that_runs_again_changes_nothing(spark, tmp_path, monk
     want = Dataset(whole, content(spark), 90).intervals
     got = sessions.intervals(spark, folder, content(spark)).select(want.columns).where("sid != 'nobody'")
     assert failed and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_gate_counts_both_sides_once(spark):
+    """Runs that stand and runs derived afresh are made once each, and differ where either lacks one or a sign is out of place."""
+    ds = Dataset(events(spark, ("s", "VideoPlay", "", 0), ("s", "VideoSessionEnd", "", 200), ("t", "VideoPlay", "", 0)), content(spark), 90)
+    runs, touched = ds.session_runs, spark.createDataFrame([("s",)], "sid string")
+    fresh = runs.where("sid = 's'").drop("sign")
+    assert tick.faults(runs, touched, fresh, "sid") == 0
+    assert tick.faults(runs.where("sid = 't'"), touched, fresh, "sid") == 1
+    assert tick.faults(runs, touched, fresh.limit(0), "sid") == 1
+    assert tick.faults(runs.unionByName(runs), touched, fresh, "sid") == 1
+    assert tick.faults(runs.unionByName(runs.withColumn("sign", F.lit(-1))), touched, fresh, "sid") == 1
+    calls = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(fresh.rdd.map(lambda r: calls.add(1) or r), fresh.schema)
+    assert tick.faults(runs, touched, counted, "sid") == 0 and calls.value == 1

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.core import div, netted
 from tidemark.operators import derive
-from tidemark.operators.dataset import Dataset
+from tidemark.operators.dataset import Dataset, partitions
 from tidemark.streaming.log import BUCKETS, FAN_IN, Log
 
 #: Seconds by which an event may be ahead of the clock.
@@ -26,7 +26,7 @@ SLACK = 300
 def retraction(log: DataFrame, touched: DataFrame, key: str) -> DataFrame:
     """Rows that cancel whatever the log holds for the touched keys: as many of the opposite sign as are left over."""
     identity = [c for c in log.columns if c != "sign"]
-    net = log.join(touched, key, "left_semi").groupBy(*identity).agg(F.sum("sign").alias("s")).where("s != 0")
+    net = log.repartition(partitions(log), key).join(touched, key, "left_semi").groupBy(*identity).agg(F.sum("sign").alias("s")).where("s != 0")
     return net.select(*identity, F.explode(F.array_repeat(-F.signum("s").cast("int"), F.abs("s").cast("int"))).alias("sign"))
 
 
@@ -43,7 +43,7 @@ def sessions_tick(log: DataFrame | None, events: DataFrame, content: DataFrame,
 
 def user_tick(user_log: DataFrame | None, session_log: DataFrame, touched_users: DataFrame) -> DataFrame:
     """New log rows for the touched users, from the session runs that stand."""
-    runs = derive.user_runs(netted(session_log.join(touched_users, "user_id", "left_semi")))
+    runs = derive.user_runs(netted(session_log.repartition(partitions(session_log), "user_id").join(touched_users, "user_id", "left_semi")))
     return runs if user_log is None else runs.unionByName(retraction(user_log, touched_users, "user_id").select(*runs.columns))
 
 
@@ -57,12 +57,12 @@ def runs_schema(key: str) -> str:
 
 
 def faults(sessions: DataFrame, touched: DataFrame, fresh: DataFrame, key: str) -> int:
-    """What a tick's log rows for touched keys leave wrong: net signs of their runs that are neither 0 nor 1, or not those derived afresh."""
-    net = sessions.join(touched, key, "left_semi").groupBy(*[c for c in sessions.columns if c != "sign"]).agg(F.sum("sign").alias("n"))
-    wrong = net.where("n not in (0, 1)").select(F.lit(1).alias("x"))
-    stand = net.where("n = 1").drop("n")
-    differ = stand.exceptAll(fresh.select(*stand.columns)).unionByName(fresh.select(*stand.columns).exceptAll(stand)).select(F.lit(1).alias("x"))
-    return wrong.unionByName(differ).count()
+    """How many runs a tick's log rows leave wrong for touched keys: their net signs are neither 0 nor 1, or they are not those derived afresh."""
+    identity = [c for c in sessions.columns if c != "sign"]
+    held = sessions.repartition(partitions(sessions), key).join(touched, key, "left_semi").select(*identity, "sign", F.lit(0).alias("fresh"))
+    both = held.unionByName(fresh.select(*identity, F.lit(0).alias("sign"), F.lit(1).alias("fresh"))).repartition(partitions(sessions), key)
+    # Both sides are made once and counted against each other.
+    return both.groupBy(*identity).agg(F.sum("sign").alias("n"), F.sum("fresh").alias("f")).where("n not in (0, 1) or n != f").count()
 
 
 def logs(spark: SparkSession, folder: str, events_schema: str, buckets: int = BUCKETS) -> dict[str, Log]:
