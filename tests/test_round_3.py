@@ -136,3 +136,12 @@ def test_a_gate_counts_both_sides_once(spark):
     calls = spark.sparkContext.accumulator(0)
     counted = spark.createDataFrame(fresh.rdd.map(lambda r: calls.add(1) or r), fresh.schema)
     assert tick.faults(runs, touched, counted, "sid") == 0 and calls.value == 1
+
+
+def test_only_distinct_combinations_are_unfolded_for_their_values(spark):
+    ds = Dataset(events(spark, *[("s", "VideoPlay", "", 10_000 * i) for i in range(40)]), content(spark), 90)
+    plan = serving.dimension_values(ds.deltas, ds.content)._jdf.queryExecution().optimizedPlan().toString()
+    # What is unfolded was made distinct.
+    below = plan[plan.index("Generate inline"):].splitlines()[1:]
+    assert below and below[0].strip(" :+-").startswith("Aggregate")
+    assert {(r["dim"], r["label"]) for r in serving.dimension_values(ds.deltas, ds.content).collect()} >= {("content", "a"), ("platform", "Web"), ("country", "IN")}
