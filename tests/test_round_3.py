@@ -145,3 +145,13 @@ def test_only_distinct_combinations_are_unfolded_for_their_values(spark):
     below = plan[plan.index("Generate inline"):].splitlines()[1:]
     assert below and below[0].strip(" :+-").startswith("Aggregate")
     assert {(r["dim"], r["label"]) for r in serving.dimension_values(ds.deltas, ds.content).collect()} >= {("content", "a"), ("platform", "Web"), ("country", "IN")}
+
+
+def test_ticks_read_the_log_that_was_written(spark, monkeypatch):
+    """A tick doesn't derive those before it again."""
+    logs, retraction = [], tick.retraction
+    monkeypatch.setattr(tick, "retraction", lambda log, *rest: logs.append(log) or retraction(log, *rest))
+    catalogue.QUERIES["late_tail_absorbed"](spark, "/root/testdata/sf0.001")
+    catalogue.QUERIES["two_tick_equals_batch"](spark, "/root/testdata/sf0.001")
+    plans = [log._jdf.queryExecution().optimizedPlan().toString() for log in logs]
+    assert len(plans) == 3 and all("Window" not in p and "Aggregate" not in p for p in plans)
