@@ -110,6 +110,18 @@ def test_one_document_is_read_from_one_frame_and_damage_is_seen():
         bad.frame(2)
 
 
+def test_common_pieces_stay_in_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 40)
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"), None)
+    learned = []
+    learn = encoder.learn
+    monkeypatch.setattr(encoder, "learn", lambda new: (learned.extend(new), learn(new)))
+    for k in range(30):
+        text = f"the common words,  {' '.join(f'w{chr(97 + k % 26)}{i}x' for i in range(20))}\n \tend's {k}_"
+        assert encoder([text]) == encoder.whole([text])
+    assert learned.count(" common") == learned.count("'s") == 1
+
+
 # -- mixing
 
 def test_mix_comes_near_its_targets(spark):

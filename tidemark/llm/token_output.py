@@ -34,16 +34,16 @@ SKIPPABLE, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Characters on whose classes all Unicode versions agree; other texts go to the library whole.
 PLAIN = re.compile("[\t-\r -~¡-©«-¬®-±´¶-¸»¿-ʯ‐-‧]*")
-#: White space around a space: there pieces depend on more than what stands between two spaces.
-AWKWARD = re.compile(r" \s|\s ")
 WORD = re.compile(r" [^\W\d_]+")
+#: Pieces of a generation of the cache; two are held.
 CACHE = 300_000
 
 
 class Encoder:
-    """ids of whole texts by the tokenizers library; what stands between two spaces and was seen before comes from a bounded cache.
+    """ids of whole texts by the tokenizers library; pieces that were seen before come from a bounded cache.
 
-    A piece of the vocabulary's split never goes on over a space that stands between two other characters: it starts there.
+    The cache has two generations: when the younger is full it becomes the older one, from which pieces that occur again
+    come back. So common pieces stay, however many others occur once.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -52,9 +52,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else struct.pack("<I", end_id)
-        #: By what follows a space, up to the next one: the ids of both; and by piece.
-        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         kind = repr(self.tokenizer.pre_tokenizer)
@@ -64,35 +63,33 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def learn(self, new: set[str]) -> None:
-        """Encode what the cache lacks, piece by piece."""
-        split = {w: PIECES.findall(" " + w) for w in new}
-        pieces = set().union(*split.values()).difference(self.pieces)
+        """Encode pieces that the cache lacks."""
         # Spaced words are encoded in one text: each of them starts with a token that starts with a space.
-        words = [p for p in pieces if WORD.fullmatch(p)]
+        words = [p for p in new if WORD.fullmatch(p)]
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
             data = ids.tobytes()
             self.pieces.update(zip(words, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)])), strict=True))
-        rest = list(pieces.difference(words))
+        rest = list(new.difference(words))
         self.pieces.update(zip(rest, self.whole(rest), strict=True))
-        self.known.update((w, b"".join(map(self.pieces.__getitem__, p))) for w, p in split.items())
 
     def parts(self, text: str) -> list[str] | None:
-        """What stands before, between and after the text's spaces, where that decides its ids."""
-        plain = self.by_piece and PLAIN.fullmatch(text) and not AWKWARD.search(text) and not any(s in text for s in self.special)
-        return text.split(" ") if plain else None
+        """The pieces of a text, where the vocabulary's split is known."""
+        plain = self.by_piece and PLAIN.fullmatch(text) and not any(s in text for s in self.special)
+        return PIECES.findall(text) if plain else None
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for held in (self.known, self.pieces):
-            if len(held) > CACHE:
-                held.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces, self.older = {}, self.pieces
         parts = [self.parts(t) for t in texts]
-        if new := set().union(*(p[1:] for p in parts if p)).difference(self.known):
-            self.learn(new)
-        # The library takes texts as they are, and what stands before a text's first space.
-        heads = iter(self.whole([p[0] if p else t for p, t in zip(parts, texts, strict=True)]))
-        return [next(heads) + (b"".join(map(self.known.__getitem__, p[1:])) if p else b"") + self.end for p in parts]
+        if new := set().union(*filter(None, parts)).difference(self.pieces):
+            again = new.intersection(self.older)
+            self.pieces.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self.learn(new.difference(again))
+        # The library takes other texts as they are.
+        others = iter(self.whole([t for p, t in zip(parts, texts, strict=True) if p is None]))
+        return [(next(others) if p is None else b"".join(map(self.pieces.__getitem__, p))) + self.end for p in parts]
 
 
 @functools.lru_cache(2)
