@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 from tidemark.llm.decontam import drop_leaks
-from tidemark.llm.lang_id import keep_known, learn_least, learn_profiles
+from tidemark.llm.lang_id import keep_known, learn
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import similar_components
 from tidemark.llm.token_output import read_tokens, write_tokens
@@ -18,7 +18,8 @@ from tidemark.llm.token_output import read_tokens, write_tokens
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus names."""
-    return keep_known(docs, learn_profiles(docs), least=learn_least(docs))
+    profiles, least = learn(docs)
+    return keep_known(docs, profiles, least=least)
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:

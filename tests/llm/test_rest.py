@@ -298,6 +298,30 @@ def test_unlearned_languages_and_gibberish_go(spark):
     assert lang_id.learn_least(docs.where("doc_id < 0")) == lang_id.learn_least(docs.limit(0)) == lang_id.LEAST
 
 
+def test_languages_are_learned_from_all_documents(spark):
+    letters = "abcdefghijklmnopqrst"
+    texts = [c for k, c in enumerate(letters) for _ in range(300 + k)]
+    docs = table(spark, texts, langs=["en"] * len(texts))
+    (_, grams, rank), = lang_id.learn_profiles(docs).of
+    found = [g for _, g in sorted(zip(rank, grams, strict=True)) if g < 1 << 21]
+    assert "".join(map(chr, found)) == letters[::-1]
+
+
+def test_least_score_comes_from_all_documents(spark):
+    # The odd documents alone decide the quantile; a sample of 1,500 holds a part of them.
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "cat", "and", "dog"]) for _ in range(6)) for _ in range(7000)] + ["the " + "".join(r.choice("jkqvwxyz") for _ in range(r.randrange(1, 30))) for _ in range(300)]
+    docs = table(spark, texts, langs=["en"] * len(texts))
+    out = {x["doc_id"] for x in docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit("least")), F.lit(4)) == 0).collect()}
+    counts = collections.Counter()
+    for i, text in enumerate(texts):
+        if i not in out:
+            counts.update(dict(zip(*(x.tolist() for x in lang_id.ngrams(text)), strict=True)))
+    inner = lang_id.Profiles({"en": sorted(counts, key=lambda g: (-counts[g], g))[: lang_id.RANKS]})
+    scores = [inner.predict(texts[i])[1] for i in sorted(out)]
+    assert lang_id.learn_least(docs) == pytest.approx(lang_id.PART * np.quantile(scores, lang_id.QUANTILE))
+
+
 # -- toxicity
 
 def test_gradients_are_those_of_the_loss():
