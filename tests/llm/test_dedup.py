@@ -196,6 +196,23 @@ def test_ngram_join_of_strangers_with_a_common_passage(spark, t, shared):
     assert got == links(texts, 3, t)
 
 
+def test_groups_of_the_same_near_copies_are_dealt_once(spark):
+    from tidemark.llm.ngram_join import _merged
+
+    groups = [(g, bytes([c])) for g in range(20) for c in range(40) if (g + c) % 9] + [(99, bytes([200 + c])) for c in range(10)]
+    # A chain of groups stays apart: as one it would have more pairs.
+    groups += [(1000 + g, bytes([1, c])) for g in range(20) for c in range(10 * g, 10 * g + 11)]
+    got = _merged(spark.createDataFrame(groups, "gram long, fp binary"), 4).collect()
+    of = {}
+    for x in got:
+        of.setdefault(x["gram"], set()).add(bytes(x["fp"]))
+    before = {}
+    for g, c in groups:
+        before.setdefault(g, set()).add(c)
+    assert all(any(b <= a for a in of.values()) for b in before.values())
+    assert {bytes([c]) for c in range(40)} in of.values() and len(of) == 1 + 1 + 20
+
+
 def test_ngram_join_of_null_ids_and_nothing(spark):
     got = similar_components(table(spark, ["a b c d", "a b c d", ""], [None, 4, None])).collect()
     assert sorted((x["doc_id"] or -1, x["component_id"] or -1) for x in got) == [(-1, -1), (-1, 4), (4, 4)]

@@ -303,6 +303,22 @@ def _block(t: Fraction):
     return run
 
 
+def _merged(groups: DataFrame, block: int) -> DataFrame:
+    """Groups (gram, fp) that share classes as one group, where this leaves fewer rows to deal than the groups apart.
+
+    Near copies share most of their n-grams, so that groups of these hold the same classes: merged, a pair meets once.
+    """
+    cost = lambda n: n * F.ceil(n / block)
+    first = stage(groups.groupBy("gram").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")), "block-groups")
+    roots = components(groups.join(first, "gram").select("u", F.col("fp").alias("v")))
+    # A root is a class of every group that it stands for; a group of one class has no pairs.
+    of = first.join(roots, F.col("u") == F.col("node")).select("gram", "n", "root")
+    whole = roots.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
+    apart = of.groupBy("root").agg(F.sum(cost(F.col("n"))).alias("apart")).join(whole, "root").where(cost(F.col("all")) < F.col("apart"))
+    key = of.join(apart, "root").select("gram", F.xxhash64("root").alias("key"))
+    return groups.join(key, "gram", "left").select(F.coalesce("key", "gram").alias("gram"), "fp").distinct()
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, t: Fraction = Fraction(9, 10), small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable over links, itself included).
 
@@ -439,6 +455,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = stage(near.where("coalesce(root_a, a) != coalesce(root_b, b)").select("a", "b"), "two-pairs")
     links = links.unionByName(verified(near, "two-links"))
     wide = stage(member.where("dense").select("gram", "fp").unionByName(groups.where("b is null").select("gram", F.col("a").alias("fp"))).distinct(), "blocked")
+    wide = _merged(wide, block)
     # Blocks of classes of like size, which linked ones have: each class meets those of every block once.
     step = F.floor(F.log(F.length("grams") / 8) / math.log(t.denominator / t.numerator) / (1 + 1e-9)) if t < 1 else F.length("grams").cast("long")
     step = sets.select("fp", step.alias("step"))
