@@ -1,6 +1,7 @@
 """What the third review found."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,26 @@ def test_more_files_are_derived_in_more_partitions(spark, tmp_path, monkeypatch)
     assert ds.session_runs.rdd.getNumPartitions() == ds.parts and ds.session_runs.count() == 300
 
 
+@pytest.fixture
+def many_parts(spark, tmp_path, monkeypatch):
+    """A dataset of 300 sessions, an hour apart, whose files ask for more partitions than the session has."""
+    ev = events(spark, *[(f"s{i}", k, "", 3600 * i + t) for i in range(300) for k, t in (("VideoPlay", 0), ("VideoError", 300))])
+    ev.write.parquet(f"file://{tmp_path}/events")
+    monkeypatch.setattr(dataset, "PART_BYTES", 400)
+    return Dataset(spark.read.schema(ev.schema).parquet(f"file://{tmp_path}/events"), content(spark), 1800)
+
+
+def test_more_files_are_written_by_more_tasks(spark, tmp_path, many_parts):
+    """A task's share of what is stored doesn't grow with the input."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ds = many_parts.stored(f"file://{tmp_path}/tables")
+    health = insights.playback_health(ds, *EVER)
+    assert health.count() == 300 * 6 and health.agg(F.sum("active_sessions"), F.sum("video_error_sessions"), F.sum("abandoned_sessions")).first()[:] == (1500, 300, 300)
+    for table in ("intervals", "session_runs", "user_runs", "session_facts", "minute_snapshot", "playback_health"):
+        writers = {re.search(r"part-(\d+)", f)[1] for f in spark.read.parquet(f"{ds.place}/{table}").inputFiles()}
+        assert own < len(writers), (table, len(writers))
+
+
 def random_sessions(spark):
     """Events of 25 sessions, and the same dealt to four batches: out of order within ten minutes, some of them twice, and an event that ends all."""
     r = random.Random(12)
