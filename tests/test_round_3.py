@@ -94,6 +94,10 @@ def test_more_files_are_written_by_more_tasks(spark, tmp_path, many_parts):
         assert own < len(writers), (table, len(writers))
 
 
+def test_health_is_summed_in_more_partitions(many_parts):
+    assert insights.playback_health(many_parts, *EVER).rdd.getNumPartitions() == many_parts.parts
+
+
 def random_sessions(spark):
     """Events of 25 sessions, and the same dealt to four batches: out of order within ten minutes, some of them twice, and an event that ends all."""
     r = random.Random(12)
