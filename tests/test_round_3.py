@@ -94,8 +94,10 @@ def test_more_files_are_written_by_more_tasks(spark, tmp_path, many_parts):
         assert own < len(writers), (table, len(writers))
 
 
-def test_health_is_summed_in_more_partitions(many_parts):
+def test_health_and_cohorts_are_summed_in_more_partitions(many_parts):
     assert insights.playback_health(many_parts, *EVER).rdd.getNumPartitions() == many_parts.parts
+    plan = insights.entry_cohorts(many_parts, *EVER)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"Exchange hashpartitioning\(m#\d+L, content_id#\d+L, {many_parts.parts}\)", plan)
 
 
 def random_sessions(spark):
