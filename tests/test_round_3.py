@@ -100,6 +100,19 @@ def test_health_and_cohorts_are_summed_in_more_partitions(many_parts):
     assert re.search(rf"Exchange hashpartitioning\(m#\d+L, content_id#\d+L, {many_parts.parts}\)", plan)
 
 
+def test_a_tick_deals_its_sessions_like_the_events(spark, many_parts):
+    ds, low = many_parts, T0
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = tick.session_tick(None, ds.events, ds.content, ds.tolerance, low, low + 3600 * 1000)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert {int(n) for n in re.findall(r"Exchange hashpartitioning\(sid#\d+, (\d+)\)", plan)} == {ds.parts}
+        assert sorted(r["sid"] for r in new.collect()) == ["s0", "s1"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def random_sessions(spark):
     """Events of 25 sessions, and the same dealt to four batches: out of order within ten minutes, some of them twice, and an event that ends all."""
     r = random.Random(12)

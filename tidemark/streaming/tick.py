@@ -32,7 +32,9 @@ def retraction(log: DataFrame, touched: DataFrame, key: str) -> DataFrame:
 
 def session_tick(log: DataFrame | None, events: DataFrame, content: DataFrame, tolerance: int, start: int, end: int, strict: bool = True) -> DataFrame:
     """New log rows for the sessions with an event in [start, end] (ms, both included), derived from all their events."""
-    return sessions_tick(log, events, content, tolerance, events.where(F.col("ts").between(start, end)).select("sid").distinct(), strict)
+    # Dealt like the events, so that a join that isn't broadcast takes a bounded share of them in a task.
+    touched = events.where(F.col("ts").between(start, end)).select("sid").repartition(partitions(events), "sid").distinct()
+    return sessions_tick(log, events, content, tolerance, touched, strict)
 
 
 def sessions_tick(log: DataFrame | None, events: DataFrame, content: DataFrame, tolerance: int, touched: DataFrame, strict: bool = True) -> DataFrame:
