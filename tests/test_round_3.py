@@ -94,6 +94,13 @@ def test_more_files_are_written_by_more_tasks(spark, tmp_path, many_parts):
         assert own < len(writers), (table, len(writers))
 
 
+def test_rows_of_one_time_are_written_by_many_tasks(spark):
+    """Sessions that were never active have no time to be dealt by."""
+    facts = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("sid"), F.concat(F.lit("u"), "id").alias("user_id"), F.lit(0).alias("first_active"))
+    most = dataset.in_time_order(facts, 10).groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count("p")).first()
+    assert most[0] < 4000 and most[1] == 10
+
+
 def test_health_and_cohorts_are_summed_in_more_partitions(many_parts):
     assert insights.playback_health(many_parts, *EVER).rdd.getNumPartitions() == many_parts.parts
     plan = insights.entry_cohorts(many_parts, *EVER)._jdf.queryExecution().executedPlan().toString()
