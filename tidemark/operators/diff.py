@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def _digest(columns: list[str], salt: int) -> Column:
+def row_digest(columns: list[str], salt: int) -> Column:
     # Hashing passes over nulls; flags tell apart where they stood.
     return F.xxhash64(F.lit(salt), *columns, *[F.col(c).isNull() for c in columns])
 
 
 def _digests(df: DataFrame, columns: list[str], keys: list[str], buckets: int) -> DataFrame:
-    bucket = F.pmod(_digest(keys, 1), F.lit(buckets)).cast("int")
-    whole = lambda salt: F.sum(_digest(columns, salt).cast("decimal(38,0)"))
+    bucket = F.pmod(row_digest(keys, 1), F.lit(buckets)).cast("int")
+    whole = lambda salt: F.sum(row_digest(columns, salt).cast("decimal(38,0)"))
     return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), whole(2).alias("a"), whole(3).alias("b"))
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, of: list[int]) -> DataFrame:
-    return df.where(F.pmod(_digest(keys, 1), F.lit(buckets)).isin(of))
+    return df.where(F.pmod(row_digest(keys, 1), F.lit(buckets)).isin(of))
 
 
 def _told(left: DataFrame, right: DataFrame, keys: list[str], buckets: int) -> list:

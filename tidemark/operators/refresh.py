@@ -1,14 +1,16 @@
 """Refresh of stored insight tables at the cost of what changed: sessions with new events, their users, and the days they show in.
 
 A session is derived again from all its events whenever one of them is new, however long ago it started and however late
-the event is. Tables of sessions and users take new versions of these keys; tables by the minute are computed again for
-the days that the sessions showed in, before or now. All tables change at once, by one manifest, after the gates hold.
+the event is; events are new that the digests kept of every session's events don't know. Tables of sessions and users take
+new versions of these keys; tables by the minute are computed again for the days that the sessions showed in, before or now.
+All tables change at once, by one manifest, after the gates hold.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,8 @@ from pyspark.sql.types import StructType
 from tidemark.functions.core import div, netted
 from tidemark.operators import derive
 from tidemark.operators import insights as i
-from tidemark.operators.dataset import Dataset
-from tidemark.operators.diff import compared
+from tidemark.operators.dataset import Dataset, side_by_side
+from tidemark.operators.diff import compared, row_digest
 from tidemark.operators.serving import minute_series
 from tidemark.operators.snapshots import Store, day_list
 from tidemark.vocabulary import INSIGHT_DIMS
@@ -42,6 +44,9 @@ BY_DAY = {
 }
 
 
+#: Those made of steps row by row, which stand by the day.
+OF_STEPS = ("minute_snapshot", "playback_health")
+
 #: Columns by which tables are dealt to buckets when they are compared.
 KEYS = {
     "session_facts": ["sid"], "state_transitions": ["sid"], "session_runs": ["sid"], "user_runs": ["user_id"], "content_transitions": ["user_id"], "platform_transitions": ["user_id"],
@@ -49,6 +54,9 @@ KEYS = {
 }
 
 
+#: By session, what tells whether its events are those that tables were made of.
+MARKS = ("n", "a", "b")
+
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
@@ -61,6 +69,8 @@ class Insights:
 
     def schema(self, name: str):
         """The columns of a table; looked up once for events and catalogues of the same columns, as plans of these tables are long."""
+        if name == "session_marks":
+            return f"sid {self.ds.events.schema['sid'].dataType.simpleString()}, n long, a decimal(38,0), b decimal(38,0)"
         key = self._source, name
         if key not in _SCHEMAS:
             ds = Dataset(self.ds.events, self.ds.content, self.ds.tolerance, self.ds.strict)
@@ -109,21 +119,20 @@ class Insights:
         keys: dict[str, str | None] = {"sid": None, "user_id": None}
         events, touched = ds.events, None
         if not first:
-            seen = events.where(new).groupBy("sid").agg(F.min("ts").alias("low"))
-            keys["sid"] = store.write("touched", seen)
+            keys["sid"] = self._touched(old, new)
+            if keys["sid"] is None:
+                return before
             seen = ds.events.sparkSession.read.parquet(keys["sid"])
             touched = seen.select("sid")
-            stood = old("session_facts").join(seen, "sid", "left_semi")
             # No event of these sessions is older than this one.
-            low = seen.agg(F.min("low").alias("x")).unionByName(stood.agg(F.min("session_start").alias("x"))).agg(F.min("x")).first()[0]
-            if low is None:
-                return before
-            events = events.where(F.col("ts") >= low).join(touched, "sid", "left_semi")
+            events = events.where(F.col("ts") >= seen.agg(F.min("low")).first()[0]).join(touched, "sid", "left_semi")
         part = Dataset(events, ds.content, ds.tolerance, ds.strict)
         # Facts and runs are made of the same intervals.
         draft = store.write("intervals", part.intervals)
         part._held["intervals"] = ds.events.sparkSession.read.schema(part.intervals.schema).parquet(draft)
-        tables = {name: store.upserted(before, name, "sid", self._known(name, make(part)), keys["sid"], sort) for name, (make, sort) in BY_SESSION.items()}
+        of_session = {name: partial(self._upserted, before, name, "sid", partial(make, part), keys["sid"], sort) for name, (make, sort) in BY_SESSION.items()}
+        of_session["session_marks"] = partial(self._upserted, before, "session_marks", "sid", lambda: (self._marks(ds.by_session) if first else seen).select("sid", *MARKS), keys["sid"])
+        tables = dict(zip(of_session, side_by_side(of_session.values()), strict=True))
         now = lambda name: store.read({"tables": tables}, name, self.schema(name))
         both = lambda name, key, by: _both(old(name) if not first else None, now(name), key, by)
         if not first:
@@ -131,29 +140,25 @@ class Insights:
             keys["user_id"] = store.write("users", users)
             users = ds.events.sparkSession.read.parquet(keys["user_id"])
         of_users = lambda df: df if first else df.join(users, "user_id", "left_semi")
-        tables["user_runs"] = store.upserted(before, "user_runs", "user_id", self._known("user_runs", derive.user_runs(netted(of_users(now("session_runs"))))), keys["user_id"], ("run_start",))
         people = Dataset(ds.events, ds.content, ds.tolerance, ds.strict)
         people._held["session_facts"] = of_users(now("session_facts"))
-        for name, (make, sort) in BY_USER.items():
-            tables[name] = store.upserted(before, name, "user_id", self._known(name, make(people)), keys["user_id"], sort)
+        of_user = {name: partial(self._upserted, before, name, "user_id", partial(make, people), keys["user_id"], sort) for name, (make, sort) in BY_USER.items()}
+        of_user["user_runs"] = partial(self._upserted, before, "user_runs", "user_id", lambda: derive.user_runs(netted(of_users(now("session_runs")))), keys["user_id"], ("run_start",))
+        tables |= dict(zip(of_user, side_by_side(of_user.values()), strict=True))
         # Days that the touched sessions and users show in, as they were or are.
         days = _days(both("session_facts", touched, "sid"), both("session_runs", touched, "sid"), both("user_runs", None if first else users, "user_id"), events)
         store.drop(draft)
         base = {"tables": {}} if new is None else before
         views = [(low * DAY, high * DAY, self._view(now, low * DAY, high * DAY)) for low, high in _ranges(days)]
-        for t, (make, day, _) in BY_DAY.items():
-            made = [self._known(t, make(view, low, high)).withColumn("day", day()) for low, high, view in views]
-            if not made:
-                tables[t] = base["tables"].get(t, {"days": {}})
-                continue
-            rows = made[0]
-            for r in made[1:]:
-                rows = rows.unionByName(r)
-            tables[t] = store.replaced(base, t, rows, days, ("m",) if "m" in rows.columns else ())
-            if t == "minute_snapshot":
-                # The tables that are made of it read what was just written.
-                for low, high, view in views:
-                    view._held[t] = store.read({"tables": tables}, t, self.schema(t), low // DAY, high // DAY)
+        steps = [store.write("steps", i.minute_steps(view, low, high)) for low, high, view in views]
+        for (_, _, view), path in zip(views, steps, strict=True):
+            view._held["minute_steps"] = ds.events.sparkSession.read.parquet(path)
+        tables |= dict(zip(BY_DAY, side_by_side([partial(self._replaced, base, t, views, days) for t in BY_DAY]), strict=True))
+        for (low, high, view), path in zip(views, steps, strict=True):
+            # Whoever asks the view again reads what was written.
+            del view._held["minute_steps"]
+            view._held["minute_snapshot"] = store.read({"tables": tables}, "minute_snapshot", self.schema("minute_snapshot"), low // DAY, high // DAY)
+            store.drop(path)
         # What was written counts only once a manifest names it.
         bad = {}
         for low, high, view in views:
@@ -164,6 +169,48 @@ class Insights:
             raise ValueError(f"refresh refused: {bad}")
         return store.commit(before, tables)
 
+    def _upserted(self, before: dict, name: str, key: str, make: Callable[[], DataFrame], keys: str | None, sort: Iterable[str] = ()) -> dict:
+        return self.store.upserted(before, name, key, self._known(name, make()), keys, sort)
+
+    def _replaced(self, before: dict, name: str, views: list[tuple[int, int, Dataset]], days: list[int]) -> dict:
+        """The entry of a table by day after it is made again for the views' windows."""
+        make, day, _ = BY_DAY[name]
+        made = [self._known(name, make(view, low, high)).withColumn("day", day()) for low, high, view in views]
+        if not made:
+            return before["tables"].get(name, {"days": {}})
+        rows = made[0]
+        for r in made[1:]:
+            rows = rows.unionByName(r)
+        return self.store.replaced(before, name, rows, days, ("m",) if "m" in rows.columns else (), name in OF_STEPS)
+
+    def _marks(self, events: DataFrame) -> DataFrame:
+        """By session, how many events it has and two digests of them, and of what else tables are made of; ``low`` is its first time."""
+        ds = self.ds
+        names = ds.content.columns
+        digest = lambda columns, salt: F.coalesce(F.sum(row_digest(columns, salt).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+        source = f"{ds.tolerance} {ds.strict} {ds.content.agg(F.count(F.lit(1)), digest(names, 2), digest(names, 3)).first()[:]}"
+        rows = events.withColumn("_source", F.lit(source))
+        columns = sorted(rows.columns)
+        return rows.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), digest(columns, 2).alias("a"), digest(columns, 3).alias("b"), F.min("ts").alias("low"))
+
+    def _touched(self, old, new: Column) -> str | None:
+        """Where sessions are written that the condition asks for and whose events are not those that tables were made of, with marks and a time ``low`` before which they have none; None where there are none."""
+        ds, store = self.ds, self.store
+        asked = store.write("asked", ds.events.where(new).groupBy("sid").agg(F.min("ts").alias("low")))
+        seen = ds.events.sparkSession.read.parquet(asked)
+        stood = old("session_facts").join(seen, "sid", "left_semi")
+        low = seen.agg(F.min("low").alias("x")).unionByName(stood.agg(F.min("session_start").alias("x"))).agg(F.min("x")).first()[0]
+        path = None
+        if low is not None:
+            marks = self._marks(ds.by_session.where(F.col("ts") >= low).join(seen.select("sid"), "sid", "left_semi"))
+            moved = marks.join(old("session_marks"), ["sid", *MARKS], "left_anti").join(stood.select("sid", "session_start"), "sid", "left")
+            path = store.write("touched", moved.select("sid", *MARKS, F.least("low", "session_start").alias("low")))
+            if ds.events.sparkSession.read.parquet(path).isEmpty():
+                store.drop(path)
+                path = None
+        store.drop(asked)
+        return path
+
     def _view(self, now, start: int, end: int) -> Dataset:
         """A dataset whose sessions, users and facts are the stored ones that a window of whole days can show."""
         ds = self.ds
@@ -200,10 +247,15 @@ def _ranges(days: list[int]) -> list[tuple[int, int]]:
 
 def gates(ds: Dataset, made: dict[str, DataFrame], start: int, end: int) -> dict[str, int]:
     """What must be 0 before anything is replaced: keys that several rows share, and minutes whose snapshot differs from the runs' deltas."""
-    repeated = lambda t, keys: made[t].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("bad")).select(F.lit(f"{t}_repeats_a_key").alias("gate"), "bad")
+    repeated = lambda t, by: made[t].groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("bad")).select(F.lit(f"{t}_repeats_a_key").alias("gate"), "bad")
     both = made["minute_snapshot"].groupBy(F.col("m").alias("t")).agg(F.sum("concurrent_sessions").alias("c")).join(minute_series(derive.deltas(ds.session_runs), start, end), "t", "full")
     out = both.where(F.coalesce("c", F.lit(0)) != F.coalesce("value", F.lit(0))).agg(F.count(F.lit(1)).alias("bad")).select(F.lit("snapshot_differs_from_deltas").alias("gate"), "bad")
-    for t, (_, _, keys) in BY_DAY.items():
-        if keys:
-            out = out.unionByName(repeated(t, keys))
-    return {r["gate"]: r["bad"] for r in out.collect()}
+    unique = {t: keys for t, (_, _, keys) in BY_DAY.items() if keys}
+    # Equal keys have equal hashes; only where hashes repeat, the keys are looked at.
+    for t, keys in unique.items():
+        out = out.unionByName(repeated(t, [F.xxhash64(*keys).alias("h")]))
+    found = {r["gate"]: r["bad"] for r in out.collect()}
+    for t, keys in unique.items():
+        if found[f"{t}_repeats_a_key"]:
+            found[f"{t}_repeats_a_key"] = repeated(t, keys).first()["bad"]
+    return found

@@ -120,10 +120,13 @@ class Store:
             return entry
         return {"key": key, "versions": [{"rows": self.write(name, self._merged(entry, rows.schema), sort), "keys": None}]}
 
-    def replaced(self, manifest: dict, name: str, rows: DataFrame, days: list[int], sort: Iterable[str] = ()) -> dict:
-        """The entry of a table by day after these days are rewritten: ``rows`` has a column ``day`` with these alone; days without rows go."""
+    def replaced(self, manifest: dict, name: str, rows: DataFrame, days: list[int], sort: Iterable[str] = (), dealt: bool = False) -> dict:
+        """The entry of a table by day after these days are rewritten: ``rows`` has a column ``day`` with these alone; days without rows go.
+
+        ``dealt``: few partitions have rows of the same day, and are written as they are.
+        """
         path = f"{self.folder}/data/{name}-{uuid.uuid4().hex}"
-        rows.repartition("day", *[c for c in sort][:1]).sortWithinPartitions("day", *sort).write.partitionBy("day").parquet(path)
+        (rows if dealt else rows.repartition("day", *[c for c in sort][:1])).sortWithinPartitions("day", *sort).write.partitionBy("day").parquet(path)
         at = self._paths.Path(path)
         made = {s.getPath().getName().removeprefix("day="): f"{path}/{s.getPath().getName()}" for s in self._fs.listStatus(at) if s.getPath().getName().startswith("day=")}
         if extra := {d for d in made if int(d) not in days}:
