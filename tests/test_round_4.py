@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.test_operators import T0, content, events
-from tests.test_refresh import NEWS, S0, both, rows
+from tests.test_refresh import HISTORY, NEWS, S0, both, rows
 from tidemark.operators import insights, refresh
 from tidemark.operators.dataset import Dataset
 
@@ -28,6 +28,17 @@ def test_a_refresh_of_what_is_known_commits_nothing(spark, tmp_path):
     assert not [p.name for p in (tmp_path / "data").iterdir() if p.name.startswith(("asked", "steps", "intervals"))]
 
 
+def test_a_comparison_writes_only_what_several_tables_are_made_of(spark, tmp_path, monkeypatch):
+    ev = events(spark, *HISTORY).withColumn("arrival", F.floor(F.col("ts") / 1000).cast("long"))
+    at = refresh.Insights(Dataset(ev, content(spark), 90), f"file://{tmp_path}")
+    at.build()
+    written, drop = [], type(at.store).drop
+    monkeypatch.setattr(type(at.store), "drop", lambda self, path: written.extend(p.name for p in (tmp_path / "data" / path.rsplit("/", 1)[1]).iterdir()) or drop(self, path))
+    told = at.verify(S0 - 9 * 86_400, S0 + 9 * 86_400).collect()
+    assert [r["table"] for r in told] == list(refresh.KEYS) and all(r["only_left"] == r["only_right"] == 0 for r in told)
+    assert sorted(written) == sorted(refresh.SHARED)
+
+
 def test_a_snapshot_shuffles_changes_instead_of_minutes(spark):
     """A session of ten hours is a few rows until its minutes are asked for, and windows cut it anywhere."""
     ev = events(spark, ("s", "VideoPlay", "", -18_000), ("s", "VideoError", "", 18_000), ("s", "VideoError", "", 18_030), ("t", "VideoPlay", "", 60), ("t", "VideoSessionEnd", "", 600))

@@ -54,6 +54,8 @@ KEYS = {
 }
 
 
+#: Tables of which others are made.
+SHARED = ("intervals", "session_facts", "session_runs", "user_runs", "minute_steps")
 #: By session, what tells whether its events are those that tables were made of.
 MARKS = ("n", "a", "b")
 
@@ -97,17 +99,19 @@ class Insights:
     def verify(self, start: int, end: int, tables: Iterable[str] = ()) -> DataFrame:
         """Tables (all unless named) against ones derived afresh from all events, by digests; tables by day over [start, end), whole days. A row per table, of which the last two columns are 0."""
         out, folder = None, f"{self.store.folder}/data/fresh-{uuid.uuid4().hex}"
-        # Written, so that what several tables are made of is derived once.
-        fresh = self.ds.stored(folder)
-        for name in tables or KEYS:
-            keys = KEYS[name]
+        # What several tables are made of is written, and derived once; what is only compared is not.
+        fresh = self.ds.drafted(folder, SHARED)
+
+        def one(name: str) -> DataFrame:
             if name in BY_DAY:
                 low, high = start // DAY * DAY, -(-end // DAY) * DAY
                 have, want = self.read(name, low, high), BY_DAY[name][0](fresh, low, high).drop("day")
             else:
                 have, want = self.read(name), fresh.user_runs if name == "user_runs" else (BY_SESSION | BY_USER)[name][0](fresh)
-            one = compared(name, have, want.select(*have.columns), keys)
-            out = one if out is None else out.unionByName(one)
+            return compared(name, have, want.select(*have.columns), KEYS[name])
+
+        for row in side_by_side([partial(one, name) for name in tables or KEYS]):
+            out = row if out is None else out.unionByName(row)
         self.store.drop(folder)
         return out
 
