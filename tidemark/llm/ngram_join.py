@@ -2,9 +2,10 @@
 
 Under any one order of all n-grams, two sets with Jaccard similarity t or more share one of their first
 ``n - ceil(t n) + 1`` members. So they do under every order, and a pair is verified only if it shares a
-prefix member under each of them. N-grams that many documents hold come last in all orders (a list found by
-counting over all documents, of bounded length), the others in the order of salted hashes. What two
-prefixes don't share up to the smaller of their ends bounds the similarity, too.
+prefix member under each of them. N-grams come in the order of levels of how many documents hold them (one
+byte a cell of hashes, filled by counting over all documents; any function of the n-gram is an order, so that
+cells may be shared), those of one level in the order of salted hashes. What two prefixes don't share up to the
+smaller of their ends bounds the similarity, too; so does a quarter of two sets, before whole ones are compared.
 
 Documents with equal sets are one class. In groups of up to ``small`` classes that share a prefix member the
 pairs are listed. In a larger group every class is first compared to one of them, which joins a cluster of
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, mix, sent, shingles, ship, slices, stage
+from tidemark.llm.common import MOST_SENT, discard, mix, sent, shingles, ship, slices, stage
 from tidemark.llm.components import components
 
 SMALL = 48
 BLOCK = 256
-#: N-grams that several documents within a stretch of text hold, counted so often in all; the most common ones are broadcast, this many at most.
-COMMON, MOST_COMMON = 4, 1 << 18
+#: N-grams that several documents within a stretch of text hold, counted so often in all; the levels of the most common ones are broadcast, of this many at most.
+COMMON, MOST_COMMON = 4, 1 << 21
+#: Cells of levels, a byte each, and levels to a doubling of the count.
+CELLS, FINE = 1 << 23, 8
 #: Bytes of text within which repeats are counted.
 STRETCH = 8 << 20
 ORDERS = 2
@@ -78,28 +81,16 @@ def _classes(n: int):
 
 
 class Orders:
-    """Prefixes of sets under the global orders: uncommon n-grams by salted hash, then the common ones by count."""
-
-    def __init__(self, common: list[tuple[int, int]], t: Fraction):
-        grams = np.array([g for g, _ in common], np.int64).view(np.uint64)
-        by = np.argsort(grams)
-        self.grams, self.t = grams[by], t
-        counts = np.array([c for _, c in common], np.int64)[by]
-        # Ranks are all different, as the order of a prefix must not depend on the set.
-        self.rank = np.empty(len(grams), np.uint64)
-        self.rank[np.lexsort((self.grams, counts))] = np.arange(len(grams))
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.grams & np.uint64((1 << 22) - 1)] = True
+    """Prefixes of sets under the global orders: n-grams by the level of their cell, then by salted hash."""
+
+    def __init__(self, levels: np.ndarray, t: Fraction):
+        self.levels, self.t = levels, t
 
     def prefix(self, grams: np.ndarray, order: int, more: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The first members of a set under an order, ``more`` than two linked sets need to share one, and their keys, ascending."""
         size = min(len(grams) - -(-len(grams) * self.t.numerator // self.t.denominator) + 1 + more, len(grams))
-        key = mix(grams, 20 + order) >> np.uint64(1)
-        if len(self.grams):
-            some = np.flatnonzero(self.maybe[grams & np.uint64((1 << 22) - 1)])
-            at = np.minimum(np.searchsorted(self.grams, grams[some]), len(self.grams) - 1)
-            known = self.grams[at] == grams[some]
-            key[some[known]] = np.uint64(1 << 63) + self.rank[at[known]]
+        level = self.levels[grams & np.uint64(len(self.levels) - 1)].astype(np.uint64)
+        key = (mix(grams, 20 + order) >> np.uint64(8)) | (level << np.uint64(56))
         first = np.argpartition(key, size - 1)[:size] if size < len(key) else np.arange(len(key))
         first = first[np.argsort(key[first])]
         return grams[first], key[first]
@@ -248,6 +239,35 @@ def linked(common: int, n: int, m: int, t: Fraction) -> bool:
     return common * t.denominator >= t.numerator * (n + m - common)
 
 
+def may_link(apart, both, t: Fraction):
+    """Whether sets may be linked of which so many members are known to be in one alone, and that have so many together; of numbers or columns."""
+    return apart * (t.numerator + t.denominator) <= both * (t.denominator - t.numerator)
+
+
+def _quarters(batches):
+    """Rows (fp, grams) to (fp, size, quarter): the n-grams below a quarter of all hashes, which sorted sets have in front."""
+    for batch in batches:
+        sets = [unpack(g).view(np.uint64) for g in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([pack(s[: np.searchsorted(s, np.uint64(1 << 62))]) for s in sets], pa.binary())], names=["fp", "size", "quarter"]
+        )
+
+
+def _sift(t: Fraction):
+    """Pairs (a, b, both, x, y) whose quarters x and y don't tell them apart."""
+
+    def run(batches):
+        for batch in batches:
+            for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                keep = []
+                for both, x, y in zip(rows.column(2).to_pylist(), rows.column(3), rows.column(4), strict=True):
+                    x, y = unpack(x.as_py()), unpack(y.as_py())
+                    keep.append(may_link(len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)), both, t))
+                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(keep)), rows.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    return run
+
+
 def _verify(t: Fraction):
     def run(batches):
         for batch in batches:
@@ -319,6 +339,42 @@ def _merged(groups: DataFrame, block: int) -> DataFrame:
     return groups.join(key, "gram", "left").select(F.coalesce("key", "gram").alias("gram"), "fp").distinct()
 
 
+def _levels(often: DataFrame) -> np.ndarray:
+    """The cells of the levels of n-grams (gram, level), of the highest levels that MOST_COMMON n-grams have; of n-grams that share a cell the highest one."""
+    # A row a level.
+    least, n = 256, 0
+    for level, c in sorted(map(tuple, often.groupBy("level").count().collect()), reverse=True):
+        n += c
+        if n > MOST_COMMON:
+            break
+        least = level
+    cells = often.where(F.col("level") >= least).select(F.col("gram").bitwiseAND(F.lit(CELLS - 1)).cast("int").alias("cell"), F.col("level").cast("short").alias("level")).toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    np.maximum.at(out, cells.column("cell").to_numpy(), cells.column("level").to_numpy().astype(np.uint8))
+    return out
+
+
+def _in_rounds(rows: DataFrame, by: list[str], n: int, make, name: str) -> DataFrame:
+    """What ``make`` makes of rows, in rounds of about n rows with the same values of ``by`` together, so that what is shuffled stays within what a round ships."""
+    rounds = max(-(-rows.count() // n), 1)
+    out = None
+    for k in range(rounds):
+        found = stage(make(rows.where(F.pmod(F.xxhash64(*by), F.lit(rounds)) == k) if rounds > 1 else rows), name)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _chosen(rows: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """Rows (id, dig, ...) of these keys. Texts are read once more for every so many keys, rather than shuffled."""
+    n = -(-keys.count() // most)
+    out = None
+    for k in range(max(n, 1)):
+        some = keys.where(F.pmod(F.xxhash64("id", "dig"), F.lit(n)) == k) if n > 1 else keys
+        found = rows.alias("d").join(F.broadcast(some).alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, t: Fraction = Fraction(9, 10), small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable over links, itself included).
 
@@ -334,10 +390,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("dig"), text.alias("text"))
     seen = stage(rows.mapInArrow(_classes(n), f"id {kind}, dig long, n long, fp binary, gram long, c long"), "shingled")
     nodes = seen.where("n is not null")
-    # At most MOST_COMMON rows come to the driver; the list only sets the order of n-grams.
     often = seen.where("gram is not null").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    common = [tuple(r) for r in often.orderBy(F.desc("c"), "gram").limit(MOST_COMMON).collect()]
-    orders = Orders(common, t)
+    orders = Orders(_levels(stage(often.select("gram", F.least(F.floor(F.log2("c") * FINE), F.lit(255)).cast("int").alias("level")), "often")), t)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,8 +412,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         upto = [sum(F.when(key(k, i) <= last, 1).otherwise(0) for i in range(MARKS)) for k in ("a", "b")]
         known = [F.ceil(F.col(f"p{k}") * u / MARKS) for k, u in zip(("a", "b"), upto, strict=True)]
         apart = known[0] + known[1] - 2 * F.col("c")
-        near = apart * (t.numerator + t.denominator) <= (F.col("na") + F.col("nb")) * (t.denominator - t.numerator)
-        left = stage(shared.where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | near).select("o", "a", "b", "c"), "candidates")
+        left = stage(shared.where(F.col("in_a").isNotNull() | F.col("in_b").isNotNull() | may_link(apart, F.col("na") + F.col("nb"), t)).select("o", "a", "b", "c"), "candidates")
         discard(groups)
         return left, large
 
@@ -374,8 +427,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs, large = candidates(rows.mapInArrow(_prefixes(n, orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(large.select("fp")).distinct()
     reps = stage(nodes.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("id", "dig")).alias("r")).select("r.*"), "representatives")
-    wanted = rows.alias("d").join(sent(reps).alias("r"), F.expr("d.id <=> r.id and d.dig = r.dig"), "left_semi")
-    sets = stage(wanted.mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
+    sets = stage(_chosen(rows, reps, MOST_SENT).mapInArrow(_sets(n), "fp binary, grams binary"), "sets")
     more, larger = candidates(sets.mapInArrow(_more_prefixes(orders), "o tinyint, gram long, fp binary, n long, marks binary"))
     pairs, large = pairs.unionByName(more), large.unionByName(larger)
     inside = large.select("o", "fp").distinct()
@@ -404,20 +456,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = few
     pairs, every = stage(pairs.join(sized.where(F.col("c") > block).select(F.col("node").alias("a")), "a", "left_semi"), "wide-pairs"), pairs
     discard(every)
-    x, y = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x")), sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
-
     n_sets = max(sets.count(), 1)
+    quarters = stage(sets.mapInArrow(_quarters, "fp binary, size long, quarter binary"), "quarters")
+
+    def both(some: DataFrame, of: DataFrame, column: str) -> DataFrame:
+        """Pairs with a column of either set as ``x`` and ``y``."""
+        named = lambda k, v: of.select(F.col("fp").alias(k), F.col(column).alias(v), *[F.col(c).alias(f"{c}_{k}") for c in of.columns if c not in ("fp", column)])
+        return some.join(named("a", "x"), "a").join(named("b", "y"), "b")
 
     def verified(some: DataFrame, name: str) -> DataFrame:
-        """The links among some pairs, in as many rounds as keep what a round ships near the size of all the sets."""
-        rounds = -(-some.count() // n_sets)
-        out = None
-        for k in range(max(rounds, 1)):
-            now = some.where(F.pmod(F.xxhash64("a", "b"), F.lit(max(rounds, 1))) == k)
-            # Rows that repeat an id and a text repeat a set, and so a link; that does no harm.
-            found = stage(now.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(t), "u binary, v binary"), name)
-            out = found if out is None else out.unionByName(found)
-        return out
+        """The links among some pairs, most of which a quarter of the sets tells apart; in rounds that ship about as much as all the sets."""
+        sift = lambda now: both(now, quarters, "quarter").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("both"), "x", "y").mapInArrow(_sift(t), "a binary, b binary")
+        some = _in_rounds(some, ["a", "b"], 2 * n_sets, sift, f"{name}-near")
+        keys = stage(some.select(F.col("a").alias("fp")).unionByName(some.select(F.col("b").alias("fp"))).distinct(), f"{name}-ends")
+        of = sets.join(sent(keys), "fp", "left_semi")
+        # Rows that repeat an id and a text repeat a set, and so a link; that does no harm.
+        return _in_rounds(some, ["a", "b"], n_sets, lambda now: both(now, of, "grams").select("a", "b", "x", "y").mapInArrow(_verify(t), "u binary, v binary"), name)
 
     if not pairs.isEmpty():
         # In larger clusters first every document's likeliest partner; pairs that these links connect need no look of their own.
@@ -463,6 +517,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sized = stage(sized, "steps")
     sized = sized.join(sized.groupBy("gram", "step").agg(F.ceil(F.count(F.lit(1)) / block).alias("k")), ["gram", "step"])
     mine = sized.withColumn("i", F.pmod(F.xxhash64("fp"), "k")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    blocks = mine.select("gram", "step", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp").join(sets, "fp")
-    grouped = blocks.groupBy("gram", "step", "i", "j").applyInArrow(_block(t), "u binary, v binary")
+    dealt = ["gram", "step", "i", "j"]
+    mine = stage(mine.select("gram", "step", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp"), "block-members")
+    grouped = _in_rounds(mine, dealt, n_sets, lambda now: now.join(sets, "fp").groupBy(*dealt).applyInArrow(_block(t), "u binary, v binary"), "block-links")
     return named(components(stage(links.unionByName(grouped), "links")))
